@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,9 @@ LENGTH = 400
 SEED = 150
 SEEDS = LENGTH - SEED + 1
 #: Suffixes of one merge, and the most merges, which bounds the splitters that are broadcast.
-MERGE, MOST_MERGES = 40_000, 20_000
+MERGE, MOST_MERGES = 20_000, 20_000
+#: Suffixes that a task sorts at a time.
+RUN = 20_000
 SAMPLES = 32
 
 _rng = np.random.default_rng(20240229)
@@ -241,19 +244,31 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = sorted(keyed(pdf))
-            keys = [r[0] for r in rows]
-            cuts = [0, *(bisect_right(keys, s) for s in held.value), len(rows)]
-            out = []
-            for target, (i, j) in enumerate(zip(cuts, cuts[1:])):
-                if j > i:
-                    rest, shared, sizes = front_code(keys[i:j])
-                    out.append((target, rest, shared, sizes, b"".join(r[1] for r in rows[i:j]), [len(r[1]) for r in rows[i:j]]))
-            yield pd.DataFrame(out, columns=["target", "rest", "shared", "sizes", "before", "before_sizes"])
+            suffixes = keyed(pdf)
+            while rows := sorted(islice(suffixes, RUN)):
+                keys = [r[0] for r in rows]
+                cuts = [0, *(bisect_right(keys, s) for s in held.value), len(rows)]
+                out = []
+                for target, (i, j) in enumerate(zip(cuts, cuts[1:])):
+                    if j > i:
+                        rest, shared, sizes = front_code(keys[i:j])
+                        out.append((target, rest, shared, sizes, b"".join(r[1] for r in rows[i:j]), [len(r[1]) for r in rows[i:j]]))
+                yield pd.DataFrame(out, columns=["target", "rest", "shared", "sizes", "before", "before_sizes"])
 
     runs = cand.mapInPandas(sort, "target int, rest binary, shared array<int>, sizes array<int>, before binary, before_sizes array<int>")
 
-    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    def by_target(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            for target, own in pdf.groupby("target", sort=True):
+                if held and held[0]["target"].iloc[0] != target:
+                    yield from merged(pd.concat(held))
+                    held = []
+                held.append(own)
+        if held:
+            yield from merged(pd.concat(held))
+
+    def merged(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         lefts = []
         for before, sizes in zip(pdf["before"], pdf["before_sizes"]):
             ends = np.cumsum(sizes)
@@ -272,17 +287,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         lcp = np.minimum(lcp, np.minimum(sizes, np.append(0, sizes[:-1])))
         low, high = spans_of(lcp, sizes, left, left_sizes)
         hit = high >= 0
-        parts = [pd.DataFrame({"uid": uid[hit], "start": (at - high)[hit], "end": (at - low + LENGTH)[hit], "h": np.int64(0), "edge": False})]
+        yield pd.DataFrame({"uid": uid[hit], "start": (at - high)[hit], "end": (at - low + LENGTH)[hit], "h": np.int64(0), "edge": False})
         # classes at either end may go on in the neighbouring merges
         new = np.nonzero(lcp < SEED)[0]
         edge = np.unique(np.concatenate([np.arange(0, new[new > 0][0] if (new > 0).any() else n), np.arange(new[-1] if len(new) else 0, n)]))
         for k in range(0, len(edge), 8192):
             e = edge[k : k + 8192]
             for o, who, h in _edge_strings([keys[i][:-12] for i in e], left[e], left_sizes[e]):
-                parts.append(pd.DataFrame({"uid": uid[e[who]], "start": at[e[who]] - o, "end": at[e[who]] - o + LENGTH, "h": h.view(np.int64), "edge": True}))
-        return pd.concat(parts)
+                yield pd.DataFrame({"uid": uid[e[who]], "start": at[e[who]] - o, "end": at[e[who]] - o + LENGTH, "h": h.view(np.int64), "edge": True})
 
-    found = cut(runs.groupBy("target").applyInPandas(merged, "uid long, start long, end long, h long, edge boolean"), "found")
+    # a partition has whole merges, one after the other
+    runs = runs.repartition(merges, "target").sortWithinPartitions("target")
+    found = cut(runs.mapInPandas(by_target, "uid long, start long, end long, h long, edge boolean"), "found")
     edges = found.filter("edge").dropDuplicates(["h", "uid", "start"])
     twice = edges.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
     hits = found.filter("not edge").select("uid", "start", "end").unionByName(edges.join(twice, "h").select("uid", "start", "end"))
