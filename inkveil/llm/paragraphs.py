@@ -22,6 +22,8 @@ MIN_WORDS = 8
 MIN_RUN, NEAR = 20, 80
 #: Lines with more words are divided where the words themselves say so, at the least of 2 * RADIUS + 1 neighbouring hashes.
 LONG, RADIUS = 40, 6
+#: Bits of the map of documents whose texts are looked up; a full map costs time only.
+BITMAP = 1 << 23
 #: Members of a bucket that one task compares at a time.
 BLOCK = 256
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -105,7 +107,7 @@ def similar(members: list[tuple[object, object, frozenset]], threshold: float) -
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, min_run: int = MIN_RUN) -> DataFrame:
-    """Rows (doc_id, start, length, n_words, text, cluster_doc_id, cluster_start, removed), one for each paragraph of a repeated passage.
+    """Rows (doc_id, start, length, n_words, cluster_doc_id, cluster_start, removed), one for each paragraph of a repeated passage.
 
     start and length are in bytes of the UTF-8 text. Paragraphs whose 5-word shingles (words in lower case) have a Jaccard
     similarity of `threshold` or more are linked; clusters are the links' components. The first paragraph of a cluster, by
@@ -126,68 +128,89 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         for pdf in batches:
             parts = []
             for doc, text in zip(pdf["doc_id"], pdf["t"]):
-                start, _, first, last, h = paragraphs(_raw(text))
+                raw = _raw(text)
+                start, end, first, last, h = paragraphs(raw)
                 if len(start):
-                    parts.append(((doc,) * len(start), start, signatures(first, last, h, bands).view(np.int64)))
+                    same = [xxhash.xxh64_intdigest(raw[s:e]) for s, e in zip(start.tolist(), end.tolist())]
+                    parts.append((np.full(len(start), doc), start, end - start, last - first, np.array(same, np.uint64).view(np.int64), signatures(first, last, h, bands).view(np.int64)))
             if parts:
-                sign = np.concatenate([x[2] for x in parts])
-                yield pd.DataFrame({"doc_id": np.concatenate([x[0] for x in parts]), "start": np.concatenate([x[1] for x in parts])} | {f"b{i}": sign[:, i] for i in range(bands)})
-
-    units = cut(src.mapInPandas(cutting, "doc_id long, start int" + "".join(f", b{i} long" for i in range(bands))), "paragraphs")
-    flat = units.select(F.struct("doc_id", "start").alias("u"), F.posexplode(F.array(*[f"b{i}" for i in range(bands)])).alias("band", "h"))
-    buckets = flat.groupBy("band", "h").agg(F.min("u").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = cut(flat.join(buckets, ["band", "h"]), "members")
-
-    # texts of the paragraphs that collide
-    wanted = members.select("u").distinct().select("u.doc_id", "u.start").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
-
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, text, starts in zip(pdf["doc_id"], pdf["t"], pdf["starts"]):
-                raw, need = (text or "").encode("utf-8", "replace"), set(starts.tolist())
-                start, end, first, last, _ = paragraphs(raw.lower())
-                rows += [(doc, s, e - s, n, raw[s:e].decode("utf-8", "replace")) for s, e, n in zip(start.tolist(), end.tolist(), (last - first).tolist()) if s in need]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "n_words", "text"])
-
-    found = cut(src.join(wanted, "doc_id").mapInPandas(texts, "doc_id long, start int, length int, n_words int, text string").dropDuplicates(["doc_id", "start"]).select(F.struct("doc_id", "start").alias("u"), "length", "n_words", "text"), "texts")
-    found = found.withColumn("norm", F.lower("text"))
+                cols = [np.concatenate(x) for x in zip(*parts)]
+                yield pd.DataFrame(dict(zip(["doc_id", "start", "length", "n_words", "same"], cols)) | {f"b{i}": cols[5][:, i] for i in range(bands)})
+
+    schema = "doc_id long, start int, length int, n_words int, same long" + "".join(f", b{i} long" for i in range(bands))
+    units = cut(src.mapInPandas(cutting, schema).withColumn("u", F.monotonically_increasing_id()), "paragraphs")
+    # bands have different hash functions, so a value stands for its band too
+    flat = units.select("u", F.explode(F.array(*[f"b{i}" for i in range(bands)])).alias("h"))
+    buckets = flat.groupBy("h").agg(F.min("u").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    members = cut(flat.join(buckets, "h"), "members")
+    slim = units.select("u", "same", "length")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        """(u, norm): the paragraphs' texts in lower case. A bitmap of bounded size spares most of the other documents a shuffle."""
+        wanted = units.select("u", "doc_id", "start").join(wanted.select("u").distinct(), "u")
+        place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
+        words = wanted.select(place.alias("place")).groupBy(F.expr("cast(place div 32 AS int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 32 AS int)))").alias("bits")).collect()
+        bitmap = np.zeros(BITMAP // 32, np.int64)
+        bitmap[[r[0] for r in words]] = [r[1] for r in words]
+        held = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+        def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                at = pdf["place"].to_numpy()
+                rows = []
+                for doc, text in pdf.loc[(held.value[at // 32] >> (at % 32)) & 1 == 1, ["doc_id", "t"]].itertuples(index=False):
+                    raw = _raw(text)
+                    start, end, *_ = paragraphs(raw)
+                    rows += [(doc, s, raw[s:e].decode("utf-8", "replace")) for s, e in zip(start.tolist(), end.tolist())]
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "norm"])
+
+        found = src.select("doc_id", "t", place.alias("place")).mapInPandas(pick, "doc_id long, start int, norm string")
+        return cut(found.join(wanted, ["doc_id", "start"]).groupBy("u").agg(F.first("norm").alias("norm")), "texts")
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        def same(x: str, y: str) -> bool:
+        def alike(x: str, y: str) -> bool:
             x, y = shingles(x), shingles(y)
             return len(x & y) >= threshold * len(x | y) - 1e-9
 
-        return pd.Series([same(x, y) for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([alike(x, y) for x, y in zip(a, b)], dtype=bool)
 
     pairs = members.filter("u <> hub").select("u", F.col("hub").alias("v")).distinct()
-    pairs = pairs.join(found.select("u", F.col("norm").alias("a")), "u").join(found.select(F.col("u").alias("v"), F.col("norm").alias("b")), "v")
-    equal = F.col("a") == F.col("b")
-    links = cut(pairs.filter(equal).select("u", "v").unionByName(pairs.filter(~equal).filter(close("a", "b")).select("u", "v")), "links")
+    pairs = pairs.join(slim, "u").join(slim.select(F.col("u").alias("v"), F.col("same").alias("same2"), F.col("length").alias("length2")), "v")
+    pairs = cut(pairs.select("u", "v", ((F.col("same") == F.col("same2")) & (F.col("length") == F.col("length2"))).alias("equal")), "pairs")
+    unequal = pairs.filter("not equal")
+    norm = texts(unequal.select(F.explode(F.array("u", "v")).alias("u")))
+    near = unequal.join(norm.select("u", F.col("norm").alias("a")), "u").join(norm.select(F.col("u").alias("v"), F.col("norm").alias("b")), "v").filter(close("a", "b"))
+    links = cut(pairs.filter("equal").select("u", "v").unionByName(near.select("u", "v")), "links")
     label = cut(components(links), "labels")
 
-    # buckets that still span components: all their pairs, in blocks
-    tagged = members.join(label, F.col("u") == F.col("node"), "left").select("band", "h", "n", "u", F.coalesce("component", "u").alias("c"))
-    spans = tagged.groupBy("band", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("band", "h")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("u"), blocks).cast("int")
-    rest = tagged.join(spans, ["band", "h"]).withColumn("i", own).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.join(found.select("u", "norm"), "u").groupBy("band", "h", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j")).agg(F.collect_list(F.struct("u", "c", "norm")).alias("l"))
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for members in pdf["l"]:
-                own = [(tuple(m["u"].values()), tuple(m["c"].values()), shingles(m["norm"])) for m in members]
-                out += [(*a, *b) for a, b in similar(own, threshold)]
-            yield pd.DataFrame(out, columns=["a", "b", "c", "d"], dtype="int64")
-
-    more = cut(rest.select("l").mapInPandas(compare, "a long, b int, c long, d int").distinct().select(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("start")).alias("u"), F.struct(F.col("c").alias("doc_id"), F.col("d").alias("start")).alias("v")), "more")
-    if not more.isEmpty():
-        label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-    out = found.join(label, F.col("u") == F.col("node")).select(
-        "u.doc_id", "u.start", "length", "n_words", "text", F.col("component.doc_id").alias("cluster_doc_id"), F.col("component.start").alias("cluster_start"), (F.col("u") != F.col("component")).alias("removed")
+    # buckets that still span components: their distinct paragraphs, all pairs of different components, in blocks
+    tagged = members.join(label, F.col("u") == F.col("node"), "left").select("h", "u", F.coalesce("component", "u").alias("c"))
+    spans = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
+    rest = cut(tagged.join(spans, "h").join(slim, "u"), "rest")
+    alike = rest.groupBy("h", "same", "length").agg(F.min("u").alias("v"), F.min("c").alias("c"))
+    equals = rest.drop("c").join(alike, ["h", "same", "length"]).filter("u <> v").select("u", "v")
+    rest = alike.select("h", F.col("v").alias("u"), "c")
+    if not rest.isEmpty():
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        rest = rest.join(rest.groupBy("h").agg(F.count("*").alias("n")), "h")
+        rest = rest.withColumn("i", F.pmod(F.xxhash64("u"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        rest = rest.join(texts(rest), "u").groupBy("h", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j")).agg(F.collect_set(F.struct("u", "c", "norm")).alias("l"))
+
+        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for members in pdf["l"]:
+                    out += similar([(m["u"], m["c"], shingles(m["norm"])) for m in members], threshold)
+                yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+        more = cut(rest.select("l").mapInPandas(compare, "u long, v long").unionByName(equals).distinct(), "more")
+        if not more.isEmpty():
+            label = cut(components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "labels")
+    out = label.join(units.select("u", "doc_id", "start", "length", "n_words"), F.col("node") == F.col("u"))
+    first = out.groupBy("component").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    out = out.join(first, "component").select(
+        "doc_id", "start", "length", "n_words", F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.start").alias("cluster_start"), (F.struct("doc_id", "start") != F.col("first")).alias("removed")
     )
     w = Window.partitionBy("doc_id").orderBy("start")
     apart = F.coalesce(F.col("start") - F.lag(F.col("start") + F.col("length")).over(w) > NEAR, F.lit(False))
@@ -218,4 +241,4 @@ def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated(table(spark, sf_dir, "documents")).drop("text")
+    return repeated(table(spark, sf_dir, "documents"))
