@@ -2,5 +2,51 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkveil.operators import patterns
+from inkveil.operators.relational import STATEMENTS
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
+
+
+def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    names = set(re.findall(r"\{(\w+)\}", text))
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names})
+
+    return query
+
+
+for _name, _text in STATEMENTS.items():
+    _spark, _duck = _text if isinstance(_text, tuple) else (_text, _text)
+    QUERIES[_name] = _run(_spark)
+    SQL[_name] = re.sub(r"\{(\w+)\}", r"\1", _duck)
+
+
+def detect_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patterns.detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def detect_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of entities with equal type and span, the one with the highest score."""
+    e = detect_entities(spark, sf_dir)
+    return e.groupBy("doc_id", "entity_type", "start", "end").agg(F.max("score").alias("score"))
+
+
+def detect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities at or over the default threshold by type, each span counted once."""
+    e = detect_dedup(spark, sf_dir).filter(F.coalesce("score", F.lit(0.0)) >= 0.85)
+    return e.groupBy("entity_type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+QUERIES |= {"detect_entities": detect_entities, "detect_dedup": detect_dedup, "detect_summary": detect_summary}
+_DEDUP = f'SELECT doc_id, entity_type, start, "end", max(score) AS score FROM ({patterns.DETECT_SQL}) GROUP BY ALL'
+SQL |= {"detect_entities": patterns.DETECT_SQL, "detect_dedup": _DEDUP, "detect_summary": f"SELECT entity_type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({_DEDUP}) WHERE coalesce(score, 0) >= 0.85 GROUP BY 1"}
