@@ -69,9 +69,10 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return out.withColumns({"n_repeat_words": F.size(covered).cast("long"), "word_chars": F.length(_without(t, SPACE)).cast("long"), "n_symbols": (F.length(t) - F.length(_without(t, SYMBOLS))).cast("long")}).drop("_again")
 
 
-def order_rules(measured: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """`rules` by rejections per second on at most `sample_rows` rows of `measured`, best first. The order never changes a verdict."""
-    sample = cut(measured.limit(sample_rows), "rules")
+def order_rules(texts: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+    """`rules` by rejections per second on at most `sample_rows` rows of `texts`, best first. The order never changes a verdict."""
+    # the sample is written before it is measured, else every partition's share of the limit would be measured
+    sample = cut(measures(cut(texts.limit(sample_rows), "sample")), "rules")
     rates = []
     for r in rules:
         began = time.perf_counter()
@@ -86,7 +87,7 @@ def apply_rules(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...]
     The rules stand in one CASE, so a row that one rejects is not put to the later ones. Null texts have no words: base_failed.
     """
     src = docs.withColumn("text", F.coalesce(F.col(text_col), F.lit("")))
-    order = order_rules(measures(src.select("text").limit(sample_rows)), rules, sample_rows)
+    order = order_rules(src.select("text"), rules, sample_rows)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     failed = F.when(F.col("base_failed"), F.lit("base"))
     for r in order:
