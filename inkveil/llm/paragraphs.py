@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,6 +27,10 @@ BITMAP = 1 << 23
 BLOCK = 256
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
+#: Multipliers of a word's bytes by place; bytes of a text that are hashed at a time.
+POWERS = np.cumprod(np.full(1024, MIX[4]))
+STEP = 1 << 20
+
 
 def tune_bands(threshold: float, recall: float = 0.99) -> int:
     """Bands of one row each that let a pair at `threshold` collide with probability `recall`.
@@ -42,39 +45,89 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def paragraphs(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Paragraphs of a UTF-8 text in lower case: byte starts and ends, first and last (exclusive) words, hashes of all words.
-
-    A paragraph is a line, or a part of a long line. Where long lines are divided depends on the words within RADIUS only,
-    so a passage is divided alike wherever it stands."""
-    tokens = raw.replace(b"\n", b" \n ").split(b" ")
-    size = np.array(list(map(len, tokens)), np.int64)
-    line = np.array(list(map(b"\n".__eq__, tokens)), bool)
-    gap = ~(line[:-1] | line[1:])
-    start = np.concatenate([[0], np.cumsum(size[:-1] + gap)])
-    at = np.nonzero((size > 0) & ~line)[0]
-    n = len(at)
+def words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte starts, byte ends and hashes of a text's words, in blocks so that very long texts need little memory.
+
+    Hashes only propose candidates and places to divide; equality is decided elsewhere."""
+    parts, at = [], 0
+    while at < len(raw):
+        end = at + STEP
+        if end < len(raw):
+            end = min((x for x in (raw.find(b" ", end), raw.find(b"\n", end)) if x >= 0), default=len(raw))
+        block = np.frombuffer(raw[at:end], np.uint8)
+        inside = (block != 32) & (block != 10)
+        edge = np.diff(inside.view(np.int8), prepend=0, append=0)
+        start, stop = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+        if len(start):
+            size = stop - start
+            first = np.cumsum(size) - size
+            place = np.arange(size.sum()) - np.repeat(first, size)
+            h = np.add.reduceat(block[inside] * POWERS[place % len(POWERS)], first)
+            parts.append((start + at, stop + at, _mix(h + size.astype(np.uint64) * MIX[4])))
+        at = end
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _least_around(p: np.ndarray) -> np.ndarray:
+    """The least of the 2 * RADIUS + 1 values around each one."""
+    pad, width, want = np.full(RADIUS, ~np.uint64(0)), 1, 2 * RADIUS + 1
+    x = np.concatenate([pad, p, pad])
+    while 2 * width <= want:
+        x, width = np.minimum(x[:-width], x[width:]), 2 * width
+    return np.minimum(x[: len(p)], x[want - width : want - width + len(p)])
+
+
+def paragraphs(raws: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Paragraphs of UTF-8 texts in lower case: the text's place in `raws`, byte start and end there, first and last (exclusive) words; hashes of all texts' words.
+
+    A paragraph is a line, or a part of a long line. Where long lines are divided depends on the text's words within RADIUS
+    only, so a passage is divided alike wherever it stands."""
+    joined = b"\n".join(raws)
+    base = np.cumsum([0] + [len(r) + 1 for r in raws])
+    start, end, h = words(joined)
+    n = len(start)
     if n == 0:
-        return (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, [tokens[i] for i in at.tolist()]), np.uint64, n)
-    number = np.cumsum(line)[at]
+        return (np.zeros(0, np.int64),) * 5 + (h,)
+    which = np.searchsorted(base, start, "right") - 1
+    number = np.searchsorted(np.nonzero(np.frombuffer(joined, np.uint8) == 10)[0], start)
     new = np.concatenate([[True], number[1:] != number[:-1]])
     first = np.nonzero(new)[0]
     length = np.diff(np.append(first, n))
-    if n > 1 and (length > LONG).any():
-        p = _mix(h * MIX[0] + np.append(h[1:], np.uint64(0)) * MIX[3])
-        padded = np.concatenate([np.full(RADIUS, ~np.uint64(0)), p, np.full(RADIUS, ~np.uint64(0))])
-        least = np.lib.stride_tricks.sliding_window_view(padded, 2 * RADIUS + 1).min(1)
-        new |= (p == least) & np.repeat(length > LONG, length)
+    if (length > LONG).any():
+        after = np.where(np.append(which[1:] == which[:-1], False), np.append(h[1:], np.uint64(0)), np.uint64(0))
+        p = _mix(h * MIX[0] + after * MIX[3])
+        place = np.arange(n) + RADIUS * which
+        spread = np.full(place[-1] + 1, ~np.uint64(0))
+        spread[place] = p
+        new |= (p == _least_around(spread)[place]) & np.repeat(length > LONG, length)
         first = np.nonzero(new)[0]
     last = np.append(first[1:], n)
     keep = last - first >= MIN_WORDS
     first, last = first[keep], last[keep]
-    return start[at[first]], start[at[last - 1]] + size[at[last - 1]], first, last, h
+    own = which[first]
+    return own, start[first] - base[own], end[last - 1] - base[own], first, last, h
+
+
+def gathered(ids: Iterable, texts: Iterable[str | None]) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and lower-case bytes of texts, about STEP bytes at a time."""
+    own, raws, size = [], [], 0
+    for i, text in zip(ids, texts):
+        own.append(i)
+        raws.append(_raw(text))
+        size += len(raws[-1])
+        if size > STEP:
+            yield own, raws
+            own, raws, size = [], [], 0
+    if own:
+        yield own, raws
 
 
 def signatures(first: np.ndarray, last: np.ndarray, h: np.ndarray, bands: int) -> np.ndarray:
     """MinHash values of each paragraph's 5-word shingles (paragraphs x bands)."""
+    if len(first) == 0:
+        return np.empty((0, bands), np.uint64)
     s = sum((h[i : len(h) - SHINGLE + 1 + i] * MIX[i] for i in range(SHINGLE)), np.uint64(0))
     ends = np.stack([first, last - SHINGLE + 1], 1).ravel()
     out = np.empty((len(first), bands), np.uint64)
@@ -126,16 +179,12 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
     def cutting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            parts = []
-            for doc, text in zip(pdf["doc_id"], pdf["t"]):
-                raw = _raw(text)
-                start, end, first, last, h = paragraphs(raw)
-                if len(start):
-                    same = [xxhash.xxh64_intdigest(raw[s:e]) for s, e in zip(start.tolist(), end.tolist())]
-                    parts.append((np.full(len(start), doc), start, end - start, last - first, np.array(same, np.uint64).view(np.int64), signatures(first, last, h, bands).view(np.int64)))
-            if parts:
-                cols = [np.concatenate(x) for x in zip(*parts)]
-                yield pd.DataFrame(dict(zip(["doc_id", "start", "length", "n_words", "same"], cols)) | {f"b{i}": cols[5][:, i] for i in range(bands)})
+            for own, raws in gathered(pdf["doc_id"], pdf["t"]):
+                which, start, end, first, last, h = paragraphs(raws)
+                same = [xxhash.xxh64_intdigest(raws[w][s:e]) for w, s, e in zip(which.tolist(), start.tolist(), end.tolist())]
+                cols = {"doc_id": np.array(own, np.int64)[which], "start": start, "length": end - start, "n_words": last - first, "same": np.array(same, np.uint64).view(np.int64)}
+                values = signatures(first, last, h, bands).view(np.int64)
+                yield pd.DataFrame(cols | {f"b{i}": values[:, i] for i in range(bands)})
 
     schema = "doc_id long, start int, length int, n_words int, same long" + "".join(f", b{i} long" for i in range(bands))
     units = cut(src.mapInPandas(cutting, schema).withColumn("u", F.monotonically_increasing_id()), "paragraphs")
@@ -157,12 +206,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 at = pdf["place"].to_numpy()
-                rows = []
-                for doc, text in pdf.loc[(held.value[at // 32] >> (at % 32)) & 1 == 1, ["doc_id", "t"]].itertuples(index=False):
-                    raw = _raw(text)
-                    start, end, *_ = paragraphs(raw)
-                    rows += [(doc, s, raw[s:e].decode("utf-8", "replace")) for s, e in zip(start.tolist(), end.tolist())]
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "norm"])
+                some = pdf[(held.value[at // 32] >> (at % 32)) & 1 == 1]
+                for own, raws in gathered(some["doc_id"], some["t"]):
+                    which, start, end, *_ = paragraphs(raws)
+                    norm = [raws[w][s:e].decode("utf-8", "replace") for w, s, e in zip(which.tolist(), start.tolist(), end.tolist())]
+                    yield pd.DataFrame({"doc_id": np.array(own, np.int64)[which], "start": start, "norm": np.array(norm, object)})
 
         found = src.select("doc_id", "t", place.alias("place")).mapInPandas(pick, "doc_id long, start int, norm string")
         return cut(found.join(wanted, ["doc_id", "start"]).groupBy("u").agg(F.first("norm").alias("norm")), "texts")
