@@ -32,7 +32,7 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "count_by_type": "SELECT coalesce(l_returnflag, 'UNKNOWN') AS entity_type, count(*) AS n FROM {lineitem} GROUP BY 1",
     "count_per_page": "SELECT p.l_linenumber AS page, count(e.l_orderkey) AS n FROM (SELECT DISTINCT l_linenumber FROM {lineitem}) p LEFT JOIN (SELECT * FROM {lineitem} WHERE l_quantity > 49 AND l_linenumber < 4) e ON p.l_linenumber = e.l_linenumber GROUP BY 1",
     "batch_summary": "SELECT count(*) AS total, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS successful, count(CASE WHEN o_orderstatus <> 'F' THEN 1 END) AS failed FROM {orders}",
-    "engine_label_stats": "SELECT l_returnflag AS entity, count(*) AS total, count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS positive, round(100.0 * count(CASE WHEN l_linestatus = 'F' THEN 1 END) / count(*), 4) AS rate FROM {lineitem} GROUP BY 1",
+    "engine_label_stats": "SELECT l_returnflag AS entity, count(*) AS total, count(CASE WHEN l_linestatus = 'F' THEN 1 END) AS positive, CAST(round(100.0 * count(CASE WHEN l_linestatus = 'F' THEN 1 END) / count(*), 4) AS DOUBLE) AS rate FROM {lineitem} GROUP BY 1",
     "confidence_summary": "SELECT l_returnflag AS entity, round(avg(l_quantity), 6) AS mean, min(l_quantity) AS least, max(l_quantity) AS most, round(stddev_pop(l_quantity), 6) AS deviation, count(*) AS n FROM {lineitem} GROUP BY 1",
     "records_by_day": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n, max(event_id) AS last_id FROM {events} GROUP BY 1, 2",
     "class_dictionary": "SELECT p_type AS entity_type, row_number() OVER (ORDER BY p_type) - 1 AS id FROM (SELECT DISTINCT p_type FROM {part}) t",
@@ -53,7 +53,7 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     # words and offsets
     "running_offset": _words("SELECT doc_id, idx, w, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) - (length(w) + 1) AS w_start FROM words"),
     "keyword_search": _words("SELECT doc_id, idx, w FROM words WHERE lower(trim(BOTH '.,!' FROM w)) IN ('license', 'mit', 'apache')"),
-    "document_density": _words("SELECT doc_id, count(*) AS n_words, round(1000.0 * sum(CASE WHEN w LIKE '%@%' THEN 1 ELSE 0 END) / count(*), 6) AS density FROM words GROUP BY doc_id"),
+    "document_density": _words("SELECT doc_id, count(*) AS n_words, CAST(round(1000.0 * sum(CASE WHEN w LIKE '%@%' THEN 1 ELSE 0 END) / count(*), 6) AS DOUBLE) AS density FROM words GROUP BY doc_id"),
     # scalars
     "operation_id": ("SELECT doc_id, substring(sha2(text, 256), 1, 16) AS operation_id FROM {documents}", "SELECT doc_id, substring(sha256(text), 1, 16) AS operation_id FROM documents"),
     "cache_key": ("SELECT doc_id, md5(concat_ws('|', text, lang)) AS k FROM {documents}", "SELECT doc_id, md5(concat_ws('|', text, lang)) AS k FROM documents"),

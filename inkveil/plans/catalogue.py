@@ -3,32 +3,39 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.operators import patterns
-from inkveil.operators.relational import STATEMENTS
+from inkveil.operators import boxes, patterns, relational, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-TABLES = "region nation customer supplier part orders lineitem events documents labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels pages".split()
 
 
 def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
-    names = set(re.findall(r"\{(\w+)\}", text))
+    names = set(re.findall(r"\{([a-z]\w+)\}", text))
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names})
+        # quantifiers of expressions have braces too, so tables are named here and not by the formatter
+        views = {t: f"inkveil_{t}_{uuid.uuid4().hex}" for t in names}
+        for t, view in views.items():
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(view)
+        out = spark.sql(re.sub(r"\{([a-z]\w+)\}", lambda m: f"{views[m[1]]} AS {m[1]}", text))
+        for view in views.values():
+            spark.catalog.dropTempView(view)
+        return out
 
     return query
 
 
-for _name, _text in STATEMENTS.items():
+for _name, _text in (relational.STATEMENTS | text.STATEMENTS | boxes.STATEMENTS).items():
     _spark, _duck = _text if isinstance(_text, tuple) else (_text, _text)
     QUERIES[_name] = _run(_spark)
-    SQL[_name] = re.sub(r"\{(\w+)\}", r"\1", _duck)
+    SQL[_name] = re.sub(r"\{([a-z]\w+)\}", r"\1", _duck)
 
 
 def detect_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,3 +57,18 @@ def detect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"detect_entities": detect_entities, "detect_dedup": detect_dedup, "detect_summary": detect_summary}
 _DEDUP = f'SELECT doc_id, entity_type, start, "end", max(score) AS score FROM ({patterns.DETECT_SQL}) GROUP BY ALL'
 SQL |= {"detect_entities": patterns.DETECT_SQL, "detect_dedup": _DEDUP, "detect_summary": f"SELECT entity_type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({_DEDUP}) WHERE coalesce(score, 0) >= 0.85 GROUP BY 1"}
+
+
+def entity_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that each entity touches; entities' offsets count in the text of words joined by single spaces."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0)), " ").alias("text"))
+    found = patterns.detect(docs).select("doc_id", "pattern", "start", "end")
+    return boxes.span_join(boxes.words(docs), found).select("doc_id", "pattern", "start", "end", "idx", "w")
+
+
+QUERIES["entity_words"] = entity_words
+SQL["entity_words"] = (
+    r"WITH documents AS (SELECT doc_id, array_to_string(regexp_extract_all(text, '[^ \t\n\r]+'), ' ') AS text FROM main.documents), "
+    "words AS (SELECT doc_id, idx, w, (sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY idx) - 1)::INT AS w_end FROM (SELECT doc_id, unnest(range(len(m)))::INT AS idx, unnest(m) AS w FROM (SELECT doc_id, string_split(text, ' ') AS m FROM documents WHERE text <> ''))) "
+    f'SELECT e.doc_id, e.pattern, e.start, e."end", idx, w FROM ({patterns.DETECT_SQL}) e JOIN words ON words.doc_id = e.doc_id AND w_end >= e.start AND w_end - length(w) <= e."end"'
+)
