@@ -21,7 +21,7 @@ MIN_WORDS = 8
 MIN_RUN, NEAR = 20, 80
 #: Lines with more words are divided where the words themselves say so, at the least of 2 * RADIUS + 1 neighbouring hashes.
 LONG, RADIUS = 40, 6
-#: Bits of the map of documents whose texts are looked up; a full map costs time only.
+#: Bits of the map of keys that a later join keeps; a full map costs time only.
 BITMAP = 1 << 23
 #: Members of a bucket that one task compares at a time.
 BLOCK = 256
@@ -141,8 +141,9 @@ def _raw(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "replace").lower()
 
 
-def shingles(text: str) -> frozenset[tuple[str, ...]]:
-    words = text.split()
+def shingles(text: bytes) -> frozenset[tuple[bytes, ...]]:
+    words = text.replace(b"\n", b" ").split(b" ")
+    words = [w for w in words if w]
     return frozenset(zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else frozenset([tuple(words)])
 
 
@@ -159,6 +160,14 @@ def similar(members: list[tuple[object, object, frozenset]], threshold: float) -
                 yield members[j][0], members[k][0]
 
 
+def _probable(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of which `wanted` may hold the key: all that it holds and a few others, by a bitmap of at most BITMAP / 32 rows."""
+    place = F.pmod(F.xxhash64(key), F.lit(BITMAP))
+    bits = wanted.select(place.alias("p")).groupBy(F.expr("cast(p div 32 AS int)").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 AS int)))").alias("_bits"))
+    held = rows.withColumn("_p", place).withColumn("_w", F.expr("cast(_p div 32 AS int)")).join(F.broadcast(bits), "_w")
+    return held.filter("(shiftright(_bits, cast(_p % 32 AS int)) & 1) = 1").select(*rows.columns)
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, min_run: int = MIN_RUN) -> DataFrame:
     """Rows (doc_id, start, length, n_words, cluster_doc_id, cluster_start, removed), one for each paragraph of a repeated passage.
 
@@ -169,9 +178,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     A single short line that recurs, such as a licence note, isn't a passage: a run of clustered paragraphs of a document
     counts from `min_run` words on (1: every clustered paragraph).
 
-    Every paragraph of a band's bucket is compared with the bucket's first one. If a bucket then still spans several
-    components, all its pairs of different components are compared, in blocks. So no link is lost in large buckets, and
-    copies are never expanded into all pairs. Null and empty texts have no paragraphs. Rows with a null id are left out;
+    Equal paragraphs are taken together first. Every paragraph of a band's bucket is compared with the bucket's first one. If
+    a bucket then still spans several components, all its pairs of different components are compared, in blocks. So no link
+    is lost in large buckets, and copies are never expanded into all pairs. Null and empty texts have no paragraphs. Rows with a null id are left out;
     rows that share an id count as one document.
     """
     bands = tune_bands(threshold)
@@ -181,81 +190,57 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         for pdf in batches:
             for own, raws in gathered(pdf["doc_id"], pdf["t"]):
                 which, start, end, first, last, h = paragraphs(raws)
-                same = [xxhash.xxh64_intdigest(raws[w][s:e]) for w, s, e in zip(which.tolist(), start.tolist(), end.tolist())]
-                cols = {"doc_id": np.array(own, np.int64)[which], "start": start, "length": end - start, "n_words": last - first, "same": np.array(same, np.uint64).view(np.int64)}
+                norm = [raws[w][s:e] for w, s, e in zip(which.tolist(), start.tolist(), end.tolist())]
+                same = np.fromiter(map(xxhash.xxh64_intdigest, norm), np.uint64, len(norm)).view(np.int64)
+                cols = {"doc_id": np.array(own, np.int64)[which], "start": start, "length": end - start, "n_words": last - first, "same": same}
                 values = signatures(first, last, h, bands).view(np.int64)
-                yield pd.DataFrame(cols | {f"b{i}": values[:, i] for i in range(bands)})
+                yield pd.DataFrame(cols | {f"b{i}": values[:, i] for i in range(bands)} | {"norm": pd.Series(norm, dtype=object)})
 
-    schema = "doc_id long, start int, length int, n_words int, same long" + "".join(f", b{i} long" for i in range(bands))
+    schema = "doc_id long, start int, length int, n_words int, same long" + "".join(f", b{i} long" for i in range(bands)) + ", norm binary"
     units = cut(src.mapInPandas(cutting, schema).withColumn("u", F.monotonically_increasing_id()), "paragraphs")
-    # bands have different hash functions, so a value stands for its band too
-    flat = units.select("u", F.explode(F.array(*[f"b{i}" for i in range(bands)])).alias("h"))
-    buckets = flat.groupBy("h").agg(F.min("u").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    # equal paragraphs are one kind, known by its least u; what follows deals with kinds only, so copies cost nothing more
+    values = [f"b{i}" for i in range(bands)]
+    kinds = cut(units.groupBy("same", "length").agg(F.min("u").alias("u"), F.count("*").alias("n"), *[F.min(v).alias(v) for v in values]), "kinds")
+    # bands have different hash functions, so a value stands for its band too; both sides of the join share one shuffle
+    flat = kinds.select("u", F.explode(F.array(*values)).alias("h")).repartition("h")
+    buckets = flat.groupBy("h").agg(F.min("u").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     members = cut(flat.join(buckets, "h"), "members")
-    slim = units.select("u", "same", "length")
-
-    def texts(wanted: DataFrame) -> DataFrame:
-        """(u, norm): the paragraphs' texts in lower case. A bitmap of bounded size spares most of the other documents a shuffle."""
-        wanted = units.select("u", "doc_id", "start").join(wanted.select("u").distinct(), "u")
-        place = F.pmod(F.xxhash64("doc_id"), F.lit(BITMAP))
-        words = wanted.select(place.alias("place")).groupBy(F.expr("cast(place div 32 AS int)").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(place % 32 AS int)))").alias("bits")).collect()
-        bitmap = np.zeros(BITMAP // 32, np.int64)
-        bitmap[[r[0] for r in words]] = [r[1] for r in words]
-        held = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-        def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                at = pdf["place"].to_numpy()
-                some = pdf[(held.value[at // 32] >> (at % 32)) & 1 == 1]
-                for own, raws in gathered(some["doc_id"], some["t"]):
-                    which, start, end, *_ = paragraphs(raws)
-                    norm = [raws[w][s:e].decode("utf-8", "replace") for w, s, e in zip(which.tolist(), start.tolist(), end.tolist())]
-                    yield pd.DataFrame({"doc_id": np.array(own, np.int64)[which], "start": start, "norm": np.array(norm, object)})
-
-        found = src.select("doc_id", "t", place.alias("place")).mapInPandas(pick, "doc_id long, start int, norm string")
-        return cut(found.join(wanted, ["doc_id", "start"]).groupBy("u").agg(F.first("norm").alias("norm")), "texts")
+    wanted = members.select("u").distinct()
+    norm = cut(_probable(units.select("u", "norm"), "u", wanted).join(wanted, "u", "left_semi"), "texts")
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        def alike(x: str, y: str) -> bool:
+        def alike(x: bytes, y: bytes) -> bool:
             x, y = shingles(x), shingles(y)
             return len(x & y) >= threshold * len(x | y) - 1e-9
 
         return pd.Series([alike(x, y) for x, y in zip(a, b)], dtype=bool)
 
     pairs = members.filter("u <> hub").select("u", F.col("hub").alias("v")).distinct()
-    pairs = pairs.join(slim, "u").join(slim.select(F.col("u").alias("v"), F.col("same").alias("same2"), F.col("length").alias("length2")), "v")
-    pairs = cut(pairs.select("u", "v", ((F.col("same") == F.col("same2")) & (F.col("length") == F.col("length2"))).alias("equal")), "pairs")
-    unequal = pairs.filter("not equal")
-    norm = texts(unequal.select(F.explode(F.array("u", "v")).alias("u")))
-    near = unequal.join(norm.select("u", F.col("norm").alias("a")), "u").join(norm.select(F.col("u").alias("v"), F.col("norm").alias("b")), "v").filter(close("a", "b"))
-    links = cut(pairs.filter("equal").select("u", "v").unionByName(near.select("u", "v")), "links")
+    near = pairs.join(norm.select("u", F.col("norm").alias("a")), "u").join(norm.select(F.col("u").alias("v"), F.col("norm").alias("b")), "v").filter(close("a", "b"))
+    links = cut(near.select("u", "v"), "links")
     label = cut(components(links), "labels")
 
-    # buckets that still span components: their distinct paragraphs, all pairs of different components, in blocks
-    tagged = members.join(label, F.col("u") == F.col("node"), "left").select("h", "u", F.coalesce("component", "u").alias("c"))
+    # buckets that still span components: all pairs of different components, in blocks
+    tagged = members.join(label, F.col("u") == F.col("node"), "left").select("h", "size", "u", F.coalesce("component", "u").alias("c"))
     spans = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
-    rest = cut(tagged.join(spans, "h").join(slim, "u"), "rest")
-    alike = rest.groupBy("h", "same", "length").agg(F.min("u").alias("v"), F.min("c").alias("c"))
-    equals = rest.drop("c").join(alike, ["h", "same", "length"]).filter("u <> v").select("u", "v")
-    rest = alike.select("h", F.col("v").alias("u"), "c")
-    if not rest.isEmpty():
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        rest = rest.join(rest.groupBy("h").agg(F.count("*").alias("n")), "h")
-        rest = rest.withColumn("i", F.pmod(F.xxhash64("u"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rest = rest.join(texts(rest), "u").groupBy("h", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j")).agg(F.collect_set(F.struct("u", "c", "norm")).alias("l"))
-
-        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                out = []
-                for members in pdf["l"]:
-                    out += similar([(m["u"], m["c"], shingles(m["norm"])) for m in members], threshold)
-                yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-        more = cut(rest.select("l").mapInPandas(compare, "u long, v long").unionByName(equals).distinct(), "more")
-        if not more.isEmpty():
-            label = cut(components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "labels")
-    out = label.join(units.select("u", "doc_id", "start", "length", "n_words"), F.col("node") == F.col("u"))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rest = tagged.join(spans, "h").withColumn("i", F.pmod(F.xxhash64("u"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = rest.join(norm, "u").groupBy("h", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j")).agg(F.collect_list(F.struct("u", "c", "norm")).alias("l"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for own in pdf["l"]:
+                out += similar([(m["u"], m["c"], shingles(m["norm"])) for m in own], threshold)
+            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    more = cut(rest.select("l").mapInPandas(compare, "u long, v long").distinct(), "more")
+    if not more.isEmpty():
+        label = cut(components(links.unionByName(more)), "labels")
+    told = kinds.join(label, F.col("u") == F.col("node"), "left").filter("n > 1 or node is not null").select("same", "length", F.coalesce("component", "u").alias("component"))
+    told = cut(told, "told")
+    out = cut(_probable(units.select("doc_id", "start", "length", "n_words", "same"), "same", told).join(told, ["same", "length"]), "clustered")
     first = out.groupBy("component").agg(F.min(F.struct("doc_id", "start")).alias("first"))
     out = out.join(first, "component").select(
         "doc_id", "start", "length", "n_words", F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.start").alias("cluster_start"), (F.struct("doc_id", "start") != F.col("first")).alias("removed")
