@@ -206,7 +206,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     buckets = flat.groupBy("h").agg(F.min("u").alias("hub"), F.count("*").alias("size")).filter("size > 1")
     members = cut(flat.join(buckets, "h"), "members")
     wanted = members.select("u").distinct()
-    norm = cut(_probable(units.select("u", "norm"), "u", wanted).join(wanted, "u", "left_semi"), "texts")
+    # an inner join: a semi-join would be moved below the bitmap, and every text be shuffled
+    norm = cut(_probable(units.select("u", "norm"), "u", wanted).join(wanted, "u"), "texts")
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
