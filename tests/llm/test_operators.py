@@ -115,6 +115,33 @@ def test_paragraphs(docs):
     assert kept[22] == dict(plain(docs))[22] and len(kept[23]) < len(dict(plain(docs))[23]) and len(kept[20]) < 0.5 * len(dict(plain(docs))[20])
 
 
+def test_paragraphs_clusters(spark):
+    """Clusters against brute force over all pairs, in buckets that hold several components and more than a block."""
+    base = prose(1, 40).split(" ")
+    rows = [(i, " ".join(base[:k] + [f"own{i}"] + base[k:])) for i, k in enumerate((0, 5, 20, 39, 40))]
+    rows += [(10 + i, " ".join(base[:9]) + " " + prose(50 + i, 30)) for i in range(6)]
+    rows += [(20 + i, rows[6][1]) for i in range(4)] + [(30, rows[7][1] + " tail"), (31, "short line")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = paragraphs.repeated(df, min_run=1).collect()
+    cut = {}
+    for i, t in rows:
+        raw = t.lower().encode()
+        which, start, end, *_ = paragraphs.paragraphs([raw])
+        for a, b in zip(start.tolist(), end.tolist()):
+            cut[i, a] = paragraphs.shingles(raw[a:b])
+    group = {k: k for k in cut}
+    for a in cut:
+        for b in cut:
+            if a < b and len(cut[a] & cut[b]) >= 0.8 * len(cut[a] | cut[b]) - 1e-9 and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {k: new if g == old else g for k, g in group.items()}
+    size = Counter(group.values())
+    assert {((r["doc_id"], r["start"]), (r["cluster_doc_id"], r["cluster_start"])) for r in got} == {(k, g) for k, g in group.items() if size[g] > 1}
+    assert all(r["removed"] == ((r["doc_id"], r["start"]) != (r["cluster_doc_id"], r["cluster_start"])) for r in got)
+    empty = paragraphs.repeated(df.limit(0))
+    assert empty.count() == 0 and paragraphs.remove(df, empty).count() == len(rows)
+
+
 def test_decontamination(spark, docs):
     items = [(1, prose(500, 90)), (2, prose(900, 40)), (3, "What is it? " + prose(3, 83).split(" ", 5)[5]), (4, None), (5, "")]
     bench = spark.createDataFrame(items, "item_id long, text string")
