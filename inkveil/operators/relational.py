@@ -48,8 +48,6 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "daily_quota": "SELECT event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) <= 20 AS admitted FROM {events}",
     "retention": "SELECT event_id, event_type FROM {events} WHERE ts < TIMESTAMP '2024-01-30 00:00:00' - CASE event_type WHEN 'error' THEN INTERVAL '15' DAY WHEN 'purchase' THEN INTERVAL '20' DAY ELSE INTERVAL '25' DAY END",
     "paged_list": "SELECT o_orderkey, o_orderdate FROM {orders} ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40",
-    "chunk_split": "SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / ceil((SELECT count(*) FROM {documents}) / 7.0)) AS INT) AS chunk FROM {documents}",
-    "verification_sample": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM {documents}) t WHERE rn % 10 = 0",
     # words and offsets
     "running_offset": _words("SELECT doc_id, idx, w, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY idx ROWS UNBOUNDED PRECEDING) - (length(w) + 1) AS w_start FROM words"),
     "keyword_search": _words("SELECT doc_id, idx, w FROM words WHERE lower(trim(BOTH '.,!' FROM w)) IN ('license', 'mit', 'apache')"),

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.operators import boxes, patterns, relational, text
+from inkveil.operators import boxes, numbering, patterns, relational, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -72,3 +72,22 @@ SQL["entity_words"] = (
     "words AS (SELECT doc_id, idx, w, (sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY idx) - 1)::INT AS w_end FROM (SELECT doc_id, unnest(range(len(m)))::INT AS idx, unnest(m) AS w FROM (SELECT doc_id, string_split(text, ' ') AS m FROM documents WHERE text <> ''))) "
     f'SELECT e.doc_id, e.pattern, e.start, e."end", idx, w FROM ({patterns.DETECT_SQL}) e JOIN words ON words.doc_id = e.doc_id AND w_end >= e.start AND w_end - length(w) <= e."end"'
 )
+
+
+def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in seven contiguous chunks of equal size (the last may be smaller)."""
+    rows = numbering.numbered(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id")
+    return rows.select("doc_id", F.floor((F.col("rn") - 1) / F.ceil(F.col("total") / 7)).cast("int").alias("chunk"))
+
+
+def verification_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document."""
+    rows = numbering.numbered(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id"), "doc_id")
+    return rows.filter("rn % 10 = 0").select("doc_id")
+
+
+QUERIES |= {"chunk_split": chunk_split, "verification_sample": verification_sample}
+SQL |= {
+    "chunk_split": "SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / ceil((SELECT count(*) FROM documents) / 7.0)) AS INT) AS chunk FROM documents",
+    "verification_sample": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) t WHERE rn % 10 = 0",
+}
