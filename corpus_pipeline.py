@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import decontamination, packing, paragraphs, quality_crf, simhash
+from inkveil.llm import decontamination, near_copies, packing, paragraphs, quality_crf
 from inkveil.llm.common import cut, table
 
 
@@ -15,10 +15,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return quality_crf.score(docs, model).filter(F.col("score") >= 0.5).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """`docs` with a key `_row` of its own for each row; ids may be null or repeat. Written, so that the keys stay."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    first = simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    """The row with the smallest id of each group of near copies (Jaccard of 5-word shingles of 0.8 or more); null ids come last."""
+    rows = keyed(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", F.xxhash64("text").alias("_hash"), "_row").alias("_order")
+    first = near_copies.near_copies(rows, "_row").join(rows.select("_row", order), F.col("row") == F.col("_row")).groupBy("component").agg(F.min("_order").alias("first")).select("first._row")
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,123 @@
+"""Near copies of whole documents for the pipeline: MinHash candidates, exact Jaccard of 5-word shingles."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import components, cut
+from .paragraphs import MIX, SHINGLE, _mix, _probable, gathered, words
+
+#: Bands of one row each: a pair at 0.8 shares one with probability 1 - 0.2 ** 6 = 0.99994.
+BANDS = 6
+#: Members of a bucket that one task compares at a time.
+BLOCK = 64
+SPACES = bytes.maketrans(b"\t\v\f\r", b"    ")
+
+
+def shingle_set(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the 5-word shingles of a text with the word hashes `h`; a shorter text is one shingle."""
+    n = min(len(h), SHINGLE)
+    if n == 0:
+        return np.zeros(0, np.uint64)
+    s = sum((h[i : len(h) - n + 1 + i] * MIX[i] for i in range(n)), np.uint64(n))
+    return np.unique(_mix(s))
+
+
+def shingle_sets(ids, texts) -> Iterator[tuple[object, np.ndarray]]:
+    for own, raws in gathered(ids, texts):
+        raws = [r.translate(SPACES) for r in raws]
+        start, _, h = words(b"\n".join(raws))
+        at = np.searchsorted(start, np.cumsum([0] + [len(r) + 1 for r in raws]))
+        for k, i in enumerate(own):
+            yield i, shingle_set(h[at[k] : at[k + 1]])
+
+
+def alike(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of sets whose Jaccard similarity is `threshold` or more."""
+    n = len(sets)
+    x = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(x, kind="stable")
+    x, owner = x[order], owner[order]
+    common, d = np.zeros(n * n, np.int64), 1
+    while d < n and (same := x[d:] == x[:-d]).any():  # owners of equal values ascend
+        common += np.bincount(owner[:-d][same] * n + owner[d:][same], minlength=n * n)
+        d += 1
+    common = common.reshape(n, n)
+    size = np.array([len(s) for s in sets])
+    close = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
+    i, j = np.nonzero(np.triu(close & (common > 0), 1))
+    return zip(i.tolist(), j.tolist())
+
+
+def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", threshold: float = 0.8) -> DataFrame:
+    """Rows (row, component) for every row of `docs`; `row_col` is a distinct long for each row.
+
+    Documents whose sets of 5-word shingles (words in lower case) have a Jaccard similarity of `threshold` or more are
+    linked; component is the least row reachable. Equal sets are one kind, so copies are never expanded. Each kind of a
+    bucket is compared with the bucket's first one; in buckets that still span components all pairs are, in blocks.
+    Texts without words are copies of each other.
+    """
+    values = [f"b{i}" for i in range(BANDS)]
+    seeds = np.array([(b + 1) * 0x9E3779B97F4A7C15 % 2**64 for b in range(BANDS)], np.uint64)
+    src = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("t"))
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for i, s in shingle_sets(pdf["row"], pdf["t"]):
+                least = np.array([_mix(s + x).min() for x in seeds] if len(s) else seeds * 0, np.uint64).view(np.int64)
+                rows.append((i, np.uint64(xxhash.xxh64_intdigest(s.tobytes())).view(np.int64), len(s), *least.tolist()))
+            yield pd.DataFrame(rows, columns=["row", "same", "n", *values])
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(i, s.tobytes()) for i, s in shingle_sets(pdf["u"], pdf["t"])]
+            yield pd.DataFrame(rows, columns=["u", "s"])
+
+    units = cut(src.mapInPandas(sign, "row long, same long, n int" + "".join(f", {v} long" for v in values)), "signatures")
+    kinds = cut(units.groupBy("same", "n").agg(F.min("row").alias("u"), *[F.min(v).alias(v) for v in values]), "kinds")
+    flat = kinds.filter("n > 0").select("u", "n", F.explode(F.array(*values)).alias("h")).repartition("h")
+    buckets = flat.groupBy("h").agg(F.min(F.struct("u", "n")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    members = cut(flat.join(buckets, "h"), "members")
+    wanted = members.select("u").distinct()
+    held = _probable(src.select(F.col("row").alias("u"), "t"), "u", wanted).mapInPandas(carry, "u long, s binary")
+    sets = cut(held.join(wanted, "u"), "sets")
+
+    @F.pandas_udf("boolean")
+    def close(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = [any(alike([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)], threshold)) for x, y in zip(a, b)]
+        return pd.Series(out, dtype=bool)
+
+    # sets whose sizes differ by more than the threshold can't reach it
+    sizes = F.least("n", "hub.n") >= F.lit(threshold) * F.greatest("n", "hub.n") - 1e-9
+    pairs = members.filter(sizes & (F.col("u") != F.col("hub.u"))).select("u", F.col("hub.u").alias("v")).distinct()
+    near = pairs.join(sets.select("u", F.col("s").alias("a")), "u").join(sets.select(F.col("u").alias("v"), F.col("s").alias("b")), "v").filter(close("a", "b"))
+    links = cut(near.select("u", "v"), "links")
+    label = cut(components(links), "labels")
+
+    tagged = members.join(label, F.col("u") == F.col("node"), "left").select("h", "size", "u", F.coalesce("component", "u").alias("c"))
+    spans = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rest = tagged.filter("size > 2").join(spans, "h").withColumn("i", F.pmod(F.xxhash64("u"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = rest.join(sets, "u").groupBy("h", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j")).agg(F.collect_list(F.struct("u", "c", "s")).alias("l"))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for own in pdf["l"]:
+                found = alike([np.frombuffer(m["s"], np.uint64) for m in own], threshold)
+                out += [(own[i]["u"], own[j]["u"]) for i, j in found if own[i]["c"] != own[j]["c"]]
+            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+
+    more = cut(rest.select("l").mapInPandas(compare, "u long, v long").distinct(), "more")
+    if not more.isEmpty():
+        label = cut(components(links.unionByName(more)), "labels")
+    told = kinds.join(label, F.col("u") == F.col("node"), "left").select("same", "n", F.coalesce("component", "u").alias("component"))
+    return units.select("row", "same", "n").join(told, ["same", "n"]).select("row", "component")
