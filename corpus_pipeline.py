@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier document has; those of which nothing is left go."""
-    spans = paragraphs.repeated(docs).filter("removed")
+    spans = paragraphs.passages(docs).filter("removed")
     out = paragraphs.remove(docs, spans)
     return out.filter("text is null or text <> '' or n_chars = 0").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

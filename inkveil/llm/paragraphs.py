@@ -274,5 +274,12 @@ def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     return docs.join(own, docs[id_col] == F.col("_id"), "left").withColumn(text_col, without(F.col(text_col), F.col("_spans"))).select(*docs.columns)
 
 
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of `repeated` and, for runs of over 50 words however lines and parts divide them, of `runs`; they may overlap."""
+    from .runs import runs
+
+    return repeated(docs, id_col, text_col).unionByName(runs(docs, id_col, text_col))
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated(table(spark, sf_dir, "documents"))
+    return passages(table(spark, sf_dir, "documents"))
