@@ -16,8 +16,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with a key `_row` of its own for each row; ids may be null or repeat. Written, so that the keys stay."""
-    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    """`docs` with a key `_row` of its own for each row, in order of id (nulls last) and text hash. Written, so that the keys stay."""
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    return cut(docs.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "keyed")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +30,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier document has; those of which nothing is left go."""
-    spans = paragraphs.passages(docs).filter("removed")
-    out = paragraphs.remove(docs, spans)
+    """Rows without the passages that an earlier row has; those of which nothing is left go."""
+    rows = keyed(docs)
+    spans = paragraphs.passages(rows, "_row").filter("removed")
+    out = paragraphs.remove(rows, spans, "_row")
     return out.filter("text is null or text <> '' or n_chars = 0").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    leaks = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold no benchmark item."""
+    rows = keyed(docs)
+    leaks = decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), "_row").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(leaks, "_row", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
