@@ -59,7 +59,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: No stage but the last few filters could be said in SQL; tests hold each stage against a brute-force version.
+#: No stage but the last few filters could be said in SQL; tests hold near_dedup against brute force and others on planted rows.
 ORACLE_SQL = None
 
 
