@@ -95,7 +95,9 @@ def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     gone = gone.withColumn("left", F.coalesce(F.col("w") - F.lag("w").over(by) > GRAM, F.lit(True))).withColumn("right", F.coalesce(F.lead("w").over(by) - F.col("w") > GRAM, F.lit(True)))
     gone = cut(gone, "gone")
     # contexts of outermost grams and of all other places of theirs
-    wanted = held.join(gone.filter("left or right").select("g").distinct(), "g").groupBy("doc_id").agg(F.collect_list(F.struct("w", "g")).alias("own"))
+    outer = gone.filter("left or right")
+    places = held.join(outer.select("g").distinct(), "g").join(outer.select("doc_id", "w", F.lit(True).alias("outer")), ["doc_id", "w"], "left")
+    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("w", "g", "outer")).alias("own"))
     wanted = cut(wanted, "wanted")
     near = _probable(src, "doc_id", wanted).join(wanted, "doc_id")
 
@@ -109,23 +111,25 @@ def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                     if known.get(w) != g % 2**64:  # rows of one id with other texts
                         continue
                     lo, hi = max(0, w - EDGE), w + GRAM
-                    rows.append((i, w, g, int(start[w]), h[lo:w][::-1].tobytes(), h[hi : hi + EDGE].tobytes(), start[lo:w][::-1], end[hi : hi + EDGE]))
+                    edges = (start[lo:w][::-1], end[hi : hi + EDGE]) if place["outer"] else (None, None)
+                    rows.append((i, w, g, int(start[w]), h[lo:w][::-1].tobytes(), h[hi : hi + EDGE].tobytes(), *edges))
             yield pd.DataFrame(rows, columns=["doc_id", "w", "g", "start", "l", "r", "lb", "rb"])
 
     contexts = cut(near.mapInPandas(around, "doc_id long, w int, g long, start int, l binary, r binary, lb array<int>, rb array<int>"), "contexts")
-    kinds = contexts.groupBy("g", "l", "r").agg(F.min(F.struct("doc_id", "start")).alias("o")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("o", "l", "r"))).alias("m"))
+    contexts = contexts.withColumn("c", F.xxhash64("l", "r"))
+    kinds = contexts.groupBy("g", "c").agg(F.min(F.struct("doc_id", "start")).alias("o"), F.first("l").alias("l"), F.first("r").alias("r")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("o", "c", "l", "r"))).alias("m"))
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for g, own in zip(pdf["g"], pdf["m"]):
                 for m, (nl, nr) in zip(own, longest([(m["l"], m["r"]) for m in own])):
-                    rows.append((g, m["l"], m["r"], m["o"]["doc_id"], m["o"]["start"], nl, nr))
-            yield pd.DataFrame(rows, columns=["g", "l", "r", "o_id", "o_start", "nl", "nr"])
+                    rows.append((g, m["c"], m["o"]["doc_id"], m["o"]["start"], nl, nr))
+            yield pd.DataFrame(rows, columns=["g", "c", "o_id", "o_start", "nl", "nr"])
 
-    told = kinds.mapInPandas(reach, "g long, l binary, r binary, o_id long, o_start int, nl int, nr int")
+    told = kinds.mapInPandas(reach, "g long, c long, o_id long, o_start int, nl int, nr int")
     first = (F.col("doc_id") == F.col("o_id")) & (F.col("start") == F.col("o_start"))
-    far = contexts.join(told, ["g", "l", "r"]).select("doc_id", "w", "lb", "rb", F.when(first, F.col("nl")).otherwise(F.size("lb")).alias("nl"), F.when(first, F.col("nr")).otherwise(F.size("rb")).alias("nr"))
+    far = contexts.filter("lb is not null").select("doc_id", "w", "g", "c", "start", "lb", "rb").join(told, ["g", "c"]).select("doc_id", "w", "lb", "rb", F.when(first, F.col("nl")).otherwise(F.size("lb")).alias("nl"), F.when(first, F.col("nr")).otherwise(F.size("rb")).alias("nr"))
     far = far.dropDuplicates(["doc_id", "w"])
     touching = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("w") - F.col("first.w") < GRAM + EDGE)
     out = gone.join(far, ["doc_id", "w"], "left").withColumn("nl", F.when(F.col("left") & ~touching, F.coalesce("nl", F.lit(0))).otherwise(0)).withColumn("nr", F.when(F.col("right"), F.coalesce("nr", F.lit(0))).otherwise(0))
