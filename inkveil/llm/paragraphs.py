@@ -1,9 +1,8 @@
-"""Operator 1: substring dedup by MinHash banding of paragraphs."""
+"""Operator 1: substring dedup by MinHash banding of paragraphs, and exact repeated runs of words wherever lines break."""
 
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -19,12 +18,12 @@ SHINGLE = 5
 MIN_WORDS = 8
 #: Paragraphs that repeat count as a passage where neighbouring ones have so many words together; NEAR bytes apart is neighbouring.
 MIN_RUN, NEAR = 20, 80
-#: Lines with more words are divided where the words themselves say so, at the least of 2 * RADIUS + 1 neighbouring hashes.
-LONG, RADIUS = 40, 6
 #: Bits of the map of keys that a later join keeps; a full map costs time only.
 BITMAP = 1 << 23
 #: Members of a bucket that one task compares at a time.
-BLOCK = 256
+BLOCK = 64
+#: White space other than spaces and line feeds becomes a space.
+SPACES = bytes.maketrans(b"\t\v\f\r", b"    ")
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 #: Multipliers of a word's bytes by place; bytes of a text that are hashed at a time.
@@ -70,52 +69,12 @@ def words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def _least_around(p: np.ndarray) -> np.ndarray:
-    """The least of the 2 * RADIUS + 1 values around each one."""
-    pad, width, want = np.full(RADIUS, ~np.uint64(0)), 1, 2 * RADIUS + 1
-    x = np.concatenate([pad, p, pad])
-    while 2 * width <= want:
-        x, width = np.minimum(x[:-width], x[width:]), 2 * width
-    return np.minimum(x[: len(p)], x[want - width : want - width + len(p)])
-
-
-def paragraphs(raws: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Paragraphs of UTF-8 texts in lower case: the text's place in `raws`, byte start and end there, first and last (exclusive) words; hashes of all texts' words.
-
-    A paragraph is a line, or a part of a long line. Where long lines are divided depends on the text's words within RADIUS
-    only, so a passage is divided alike wherever it stands."""
-    joined = b"\n".join(raws)
-    base = np.cumsum([0] + [len(r) + 1 for r in raws])
-    start, end, h = words(joined)
-    n = len(start)
-    if n == 0:
-        return (np.zeros(0, np.int64),) * 5 + (h,)
-    which = np.searchsorted(base, start, "right") - 1
-    number = np.searchsorted(np.nonzero(np.frombuffer(joined, np.uint8) == 10)[0], start)
-    new = np.concatenate([[True], number[1:] != number[:-1]])
-    first = np.nonzero(new)[0]
-    length = np.diff(np.append(first, n))
-    if (length > LONG).any():
-        after = np.where(np.append(which[1:] == which[:-1], False), np.append(h[1:], np.uint64(0)), np.uint64(0))
-        p = _mix(h * MIX[0] + after * MIX[3])
-        place = np.arange(n) + RADIUS * which
-        spread = np.full(place[-1] + 1, ~np.uint64(0))
-        spread[place] = p
-        new |= (p == _least_around(spread)[place]) & np.repeat(length > LONG, length)
-        first = np.nonzero(new)[0]
-    last = np.append(first[1:], n)
-    keep = last - first >= MIN_WORDS
-    first, last = first[keep], last[keep]
-    own = which[first]
-    return own, start[first] - base[own], end[last - 1] - base[own], first, last, h
-
-
 def gathered(ids: Iterable, texts: Iterable[str | None]) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and lower-case bytes of texts, about STEP bytes at a time."""
     own, raws, size = [], [], 0
     for i, text in zip(ids, texts):
         own.append(i)
-        raws.append(_raw(text))
+        raws.append((text or "").encode("utf-8", "replace").lower().translate(SPACES))
         size += len(raws[-1])
         if size > STEP:
             yield own, raws
@@ -124,8 +83,30 @@ def gathered(ids: Iterable, texts: Iterable[str | None]) -> Iterator[tuple[list,
         yield own, raws
 
 
+def word_lists(ids: Iterable, texts: Iterable[str | None]) -> Iterator[tuple[object, bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """Id, lower-case bytes, byte starts, byte ends and hashes of the words of each text."""
+    for own, raws in gathered(ids, texts):
+        base = np.cumsum([0] + [len(r) + 1 for r in raws])
+        start, end, h = words(b"\n".join(raws))
+        at = np.searchsorted(start, base)
+        for k, i in enumerate(own):
+            s = slice(at[k], at[k + 1])
+            yield i, raws[k], start[s] - base[k], end[s] - base[k], h[s]
+
+
+def lines(raw: bytes, start: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last (exclusive) words of a text's paragraphs: its lines of `min_words` words or more."""
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    number = np.searchsorted(np.nonzero(np.frombuffer(raw, np.uint8) == 10)[0], start)
+    first = np.nonzero(np.diff(number, prepend=-1))[0]
+    last = np.append(first[1:], len(start))
+    keep = last - first >= min_words
+    return first[keep], last[keep]
+
+
 def signatures(first: np.ndarray, last: np.ndarray, h: np.ndarray, bands: int) -> np.ndarray:
-    """MinHash values of each paragraph's 5-word shingles (paragraphs x bands)."""
+    """MinHash values of each paragraph's 5-word shingles (paragraphs x bands); a paragraph has SHINGLE words at least."""
     if len(first) == 0:
         return np.empty((0, bands), np.uint64)
     s = sum((h[i : len(h) - SHINGLE + 1 + i] * MIX[i] for i in range(SHINGLE)), np.uint64(0))
@@ -137,27 +118,31 @@ def signatures(first: np.ndarray, last: np.ndarray, h: np.ndarray, bands: int) -
     return out
 
 
-def _raw(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "replace").lower()
-
-
-def shingles(text: bytes) -> frozenset[tuple[bytes, ...]]:
-    words = text.replace(b"\n", b" ").split(b" ")
-    words = [w for w in words if w]
-    return frozenset(zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else frozenset([tuple(words)])
-
-
-def similar(members: list[tuple[object, object, frozenset]], threshold: float) -> Iterator[tuple[object, object]]:
-    """Pairs of different classes among (id, class, shingles) whose Jaccard similarity is `threshold` or more."""
-    holders: dict[tuple, list[int]] = defaultdict(list)
-    for k, (_, kind, own) in enumerate(members):
-        common: Counter[int] = Counter()
-        for s in own:
-            common.update(j for j in holders[s] if members[j][1] != kind)
-            holders[s].append(k)
-        for j, c in common.items():
-            if c >= threshold * (len(own) + len(members[j][2]) - c) - 1e-9:
-                yield members[j][0], members[k][0]
+def shingle_set(h: np.ndarray) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the 5-word shingles of a text with the word hashes `h`; a shorter text is one shingle."""
+    n = min(len(h), SHINGLE)
+    if n == 0:
+        return np.zeros(0, np.uint64)
+    s = sum((h[i : len(h) - n + 1 + i] * MIX[i] for i in range(n)), np.uint64(n))
+    return np.unique(_mix(s))
+
+
+def alike(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int]]:
+    """Places (i, j) of sets whose Jaccard similarity is `threshold` or more."""
+    n = len(sets)
+    x = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    order = np.argsort(x, kind="stable")
+    x, owner = x[order], owner[order]
+    common, d = np.zeros(n * n, np.int64), 1
+    while d < n and (same := x[d:] == x[:-d]).any():  # owners of equal values ascend
+        common += np.bincount(owner[:-d][same] * n + owner[d:][same], minlength=n * n)
+        d += 1
+    common = common.reshape(n, n)
+    size = np.array([len(s) for s in sets])
+    close = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
+    i, j = np.nonzero(np.triu(close & (common > 0), 1))
+    return zip(i.tolist(), j.tolist())
 
 
 def _probable(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -168,88 +153,141 @@ def _probable(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return held.filter("(shiftright(_bits, cast(_p % 32 AS int)) & 1) = 1").select(*rows.columns)
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, min_run: int = MIN_RUN) -> DataFrame:
-    """Rows (doc_id, start, length, n_words, cluster_doc_id, cluster_start, removed), one for each paragraph of a repeated passage.
-
-    start and length are in bytes of the UTF-8 text. Paragraphs whose 5-word shingles (words in lower case) have a Jaccard
-    similarity of `threshold` or more are linked; clusters are the links' components. The first paragraph of a cluster, by
-    doc_id and start, stays; the others are `removed`.
+def verified(members: DataFrame, sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Labels (node, component) of nodes that share a bucket and whose sets have a Jaccard similarity of `threshold` or more.
 
-    A single short line that recurs, such as a licence note, isn't a passage: a run of clustered paragraphs of a document
-    counts from `min_run` words on (1: every clustered paragraph).
-
-    Equal paragraphs are taken together first. Every paragraph of a band's bucket is compared with the bucket's first one. If
-    a bucket then still spans several components, all its pairs of different components are compared, in blocks. So no link
-    is lost in large buckets, and copies are never expanded into all pairs. Null and empty texts have no paragraphs. Rows with a null id are left out;
-    rows that share an id count as one document.
+    members: (h, u, hub, size), a row for each node u of bucket h with the bucket's hub and size. sets: (u, s), sorted
+    64-bit values. Every node is compared with its bucket's hub. If a bucket then still spans several components, all its
+    pairs of different components are compared, in blocks, so no link is lost in large buckets.
     """
-    bands = tune_bands(threshold)
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).filter("doc_id is not null")
-
-    def cutting(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for own, raws in gathered(pdf["doc_id"], pdf["t"]):
-                which, start, end, first, last, h = paragraphs(raws)
-                norm = [raws[w][s:e] for w, s, e in zip(which.tolist(), start.tolist(), end.tolist())]
-                same = np.fromiter(map(xxhash.xxh64_intdigest, norm), np.uint64, len(norm)).view(np.int64)
-                cols = {"doc_id": np.array(own, np.int64)[which], "start": start, "length": end - start, "n_words": last - first, "same": same}
-                values = signatures(first, last, h, bands).view(np.int64)
-                yield pd.DataFrame(cols | {f"b{i}": values[:, i] for i in range(bands)} | {"norm": pd.Series(norm, dtype=object)})
-
-    schema = "doc_id long, start int, length int, n_words int, same long" + "".join(f", b{i} long" for i in range(bands)) + ", norm binary"
-    units = cut(src.mapInPandas(cutting, schema).withColumn("u", F.monotonically_increasing_id()), "paragraphs")
-    # equal paragraphs are one kind, known by its least u; what follows deals with kinds only, so copies cost nothing more
-    values = [f"b{i}" for i in range(bands)]
-    kinds = cut(units.groupBy("same", "length").agg(F.min("u").alias("u"), F.count("*").alias("n"), *[F.min(v).alias(v) for v in values]), "kinds")
-    # bands have different hash functions, so a value stands for its band too; both sides of the join share one shuffle
-    flat = kinds.select("u", F.explode(F.array(*values)).alias("h")).repartition("h")
-    buckets = flat.groupBy("h").agg(F.min("u").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    members = cut(flat.join(buckets, "h"), "members")
-    wanted = members.select("u").distinct()
-    # an inner join: a semi-join would be moved below the bitmap, and every text be shuffled
-    norm = cut(_probable(units.select("u", "norm"), "u", wanted).join(wanted, "u"), "texts")
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        def alike(x: bytes, y: bytes) -> bool:
-            x, y = shingles(x), shingles(y)
-            return len(x & y) >= threshold * len(x | y) - 1e-9
-
-        return pd.Series([alike(x, y) for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([any(alike([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)], threshold)) for x, y in zip(a, b)], dtype=bool)
 
     pairs = members.filter("u <> hub").select("u", F.col("hub").alias("v")).distinct()
-    near = pairs.join(norm.select("u", F.col("norm").alias("a")), "u").join(norm.select(F.col("u").alias("v"), F.col("norm").alias("b")), "v").filter(close("a", "b"))
-    links = cut(near.select("u", "v"), "links")
+    near = pairs.join(sets.select("u", F.col("s").alias("a")), "u").join(sets.select(F.col("u").alias("v"), F.col("s").alias("b")), "v")
+    # sets whose sizes differ by more than the threshold can't reach it
+    sizes = F.least(F.length("a"), F.length("b")) >= F.lit(threshold) * F.greatest(F.length("a"), F.length("b")) - 1e-9
+    links = cut(near.filter(sizes).filter(close("a", "b")).select("u", "v"), "links")
     label = cut(components(links), "labels")
-
-    # buckets that still span components: all pairs of different components, in blocks
-    tagged = members.join(label, F.col("u") == F.col("node"), "left").select("h", "size", "u", F.coalesce("component", "u").alias("c"))
+    tagged = members.filter("size > 2").join(label, F.col("u") == F.col("node"), "left").select("h", "size", "u", F.coalesce("component", "u").alias("c"))
     spans = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    blocks = F.ceil(F.col("size") / block).cast("int")
     rest = tagged.join(spans, "h").withColumn("i", F.pmod(F.xxhash64("u"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.join(norm, "u").groupBy("h", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j")).agg(F.collect_list(F.struct("u", "c", "norm")).alias("l"))
+    rest = rest.join(sets, "u").groupBy("h", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j")).agg(F.collect_list(F.struct("u", "c", "s")).alias("l"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for own in pdf["l"]:
-                out += similar([(m["u"], m["c"], shingles(m["norm"])) for m in own], threshold)
+                found = alike([np.frombuffer(m["s"], np.uint64) for m in own], threshold)
+                out += [(own[i]["u"], own[j]["u"]) for i, j in found if own[i]["c"] != own[j]["c"]]
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     more = cut(rest.select("l").mapInPandas(compare, "u long, v long").distinct(), "more")
-    if not more.isEmpty():
-        label = cut(components(links.unionByName(more)), "labels")
-    told = kinds.join(label, F.col("u") == F.col("node"), "left").filter("n > 1 or node is not null").select("same", "length", F.coalesce("component", "u").alias("component"))
+    return label if more.isEmpty() else cut(components(links.unionByName(more)), "labels")
+
+
+def prints(src: DataFrame, bands: int, min_words: int) -> DataFrame:
+    """One row for each distinct (doc_id, text) of `src` (u, doc_id, t): what its words are, its paragraphs and its grams.
+
+    Texts of equal words (in lower case) are one kind, told apart by two 64-bit hashes and the number of words; `first` is
+    the (doc_id, u) of the kind's first text. Written as a file.
+    """
+    from .runs import chosen
+
+    arrays = {"p_start": "int", "p_len": "int", "p_words": "int", "p_same": "long", "p_also": "long", **{f"p_b{i}": "long" for i in range(bands)}, "w": "int", "start": "int", "stop": "int", "g": "long", "c": "long"}
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for (u, doc_id), raw, start, end, h in word_lists(zip(pdf["u"], pdf["doc_id"]), pdf["t"]):
+                first, last = lines(raw, start, min_words)
+                begin, stop = start[first], end[last - 1]
+                values = signatures(first, last, h, bands).view(np.int64)
+                norm = [h[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist())]
+                same = [np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in norm), np.uint64, len(norm)).view(np.int64) for seed in (0, 1)]
+                kind = [np.uint64(xxhash.xxh64_intdigest(h.tobytes(), seed)).view(np.int64) for seed in (0, 1)]
+                rows.append((u, doc_id, len(h), len(raw), *kind, begin, stop - begin, last - first, *same, *values.T, *chosen(start, end, h)))
+            yield pd.DataFrame(rows, columns=["u", "doc_id", "n_words", "n_bytes", "kind", "also", *arrays])
+
+    schema = "u long, doc_id long, n_words int, n_bytes int, kind long, also long" + "".join(f", {k} array<{v}>" for k, v in arrays.items())
+    return cut(src.mapInPandas(look, schema), "prints")
+
+
+def _paragraphs(texts: DataFrame, src: DataFrame, bands: int, threshold: float, min_run: int) -> DataFrame:
+    values = [f"b{i}" for i in range(bands)]
+    own = ["p_start", "p_len", "p_words", "p_same", "p_also", *(f"p_{v}" for v in values)]
+    x = F.explode(F.arrays_zip(*own)).alias("x")
+    units = texts.select("u", "doc_id", x).select("u", "doc_id", *(F.col(f"x.{c}").alias(c.removeprefix("p_")) for c in own)).withColumnsRenamed({"len": "length", "words": "n_words", "same": "k"})
+    # equal paragraphs are one kind; what follows deals with kinds only, so copies cost nothing more
+    kinds = units.groupBy("k", "also").agg(F.min(F.struct("doc_id", "start", "u", "length")).alias("o"), F.count("*").alias("n"), *[F.min(v).alias(v) for v in values])
+    # bands have different hash functions, so a value stands for its band too; both sides of the join share one shuffle
+    flat = kinds.select("k", "o", F.explode(F.array(*values)).alias("h")).repartition("h")
+    buckets = flat.groupBy("h").agg(F.min("k").alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    members = cut(flat.join(buckets, "h").withColumnRenamed("k", "node"), "members")
+    asked = members.groupBy("node").agg(F.min("o").alias("o")).groupBy(F.col("o.u").alias("u")).agg(F.collect_list(F.struct("node", "o.start", "o.length")).alias("own"))
+    asked = cut(asked, "asked")
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for own, raw, start, _, h in word_lists(pdf["own"], pdf["t"]):
+                for x in own:
+                    a, b = np.searchsorted(start, [x["start"], x["start"] + x["length"]])
+                    rows.append((x["node"], shingle_set(h[a:b]).tobytes()))
+            yield pd.DataFrame(rows, columns=["u", "s"])
+
+    sets = cut(_probable(src, "u", asked).join(asked, "u").mapInPandas(carry, "u long, s binary").dropDuplicates(["u"]), "sets")
+    label = verified(members.select("h", F.col("node").alias("u"), "hub", "size"), sets, threshold)
+    told = units.groupBy("k", "also").agg(F.count("*").alias("n")).join(label, F.col("k") == F.col("node"), "left").filter("n > 1 or node is not null").select("k", "also", F.coalesce("component", "k").alias("component"))
     told = cut(told, "told")
-    out = cut(_probable(units.select("doc_id", "start", "length", "n_words", "same"), "same", told).join(told, ["same", "length"]), "clustered")
-    first = out.groupBy("component").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    out = cut(_probable(units.select("u", "doc_id", "start", "length", "n_words", "k", "also"), "k", told).join(told, ["k", "also"]).drop("k", "also"), "clustered")
+    first = out.groupBy("component").agg(F.min(F.struct("doc_id", "start", "u")).alias("first"))
     out = out.join(first, "component").select(
-        "doc_id", "start", "length", "n_words", F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.start").alias("cluster_start"), (F.struct("doc_id", "start") != F.col("first")).alias("removed")
+        "u", "doc_id", "start", "length", "n_words", F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.start").alias("cluster_start"), (F.struct("doc_id", "start", "u") != F.col("first")).alias("removed")
     )
-    w = Window.partitionBy("doc_id").orderBy("start")
+    w = Window.partitionBy("u").orderBy("start")
     apart = F.coalesce(F.col("start") - F.lag(F.col("start") + F.col("length")).over(w) > NEAR, F.lit(False))
     out = out.withColumn("run", F.sum(apart.cast("int")).over(w))
-    return out.withColumn("run", F.sum("n_words").over(Window.partitionBy("doc_id", "run"))).filter(F.col("run") >= min_run).drop("run")
+    return out.withColumn("run", F.sum("n_words").over(Window.partitionBy("u", "run"))).filter(F.col("run") >= min_run).drop("run", "u")
+
+
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, min_run: int = MIN_RUN, min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows (doc_id, start, length, n_words, cluster_doc_id, cluster_start, removed), one for each repeated passage found.
+
+    start and length are in bytes of the UTF-8 text. Three kinds of passages are found; their spans may overlap:
+
+    - whole texts of `min_run` words or more whose words (in lower case) equal those of another text; the first stays, the others are `removed`;
+    - paragraphs, i.e. lines of `min_words` (5 at least) words or more, whose 5-word shingles have a Jaccard similarity of `threshold`
+      or more. They are linked, clusters are the links' components; the first paragraph by doc_id and start stays and is
+      returned too, the others are `removed`. A single short line that recurs, such as a licence note, isn't a passage: a
+      run of clustered paragraphs of a text counts from `min_run` words on (1: every clustered paragraph);
+    - runs of over 50 equal words, wherever lines break (see `runs`), all but the first.
+
+    Equality is of 64-bit hashes of words; equal texts and paragraphs have two more such hashes in common. Null and empty
+    texts have no passages. Rows with a null id are left out; equal rows count once; texts that share an id are
+    searched one by one, but their spans can't be told apart, so give each row an id of its own.
+    """
+    from .runs import runs
+
+    bands = tune_bands(threshold)
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).filter("doc_id is not null and t is not null")
+    src = src.withColumn("u", F.xxhash64("doc_id", "t"))
+    all_texts = prints(src, bands, max(SHINGLE, min_words))
+    own = all_texts.filter("n_words > 0").groupBy("u").agg(*(F.min(c).alias(c) for c in ("doc_id", "n_words", "n_bytes", "kind", "also")))
+    first = own.groupBy("kind", "also", "n_words").agg(F.min(F.struct("doc_id", "u")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    copies = cut(_probable(own, "kind", first).join(first, ["kind", "also", "n_words"]).withColumn("removed", F.struct("doc_id", "u") != F.col("first")), "copies")
+    # of equal rows one is looked at, of equal texts the first
+    twice = cut(all_texts.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u"), "twice")
+    single = all_texts.join(copies.filter("removed").select("u"), "u", "left_anti")
+    doubled = single.join(twice, "u", "left_semi").dropDuplicates(["u"])
+    texts = single.join(twice, "u", "left_anti").unionByName(doubled)
+    whole = copies.filter(F.col("n_words") >= min_run).select(
+        "doc_id", F.lit(0).alias("start"), F.col("n_bytes").alias("length"), "n_words", F.col("first.doc_id").alias("cluster_doc_id"), F.lit(0).alias("cluster_start"), "removed"
+    )
+    return whole.unionByName(_paragraphs(texts, src, bands, threshold, min_run)).unionByName(runs(texts, src))
 
 
 def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,12 +312,5 @@ def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     return docs.join(own, docs[id_col] == F.col("_id"), "left").withColumn(text_col, without(F.col(text_col), F.col("_spans"))).select(*docs.columns)
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of `repeated` and, for runs of over 50 words however lines and parts divide them, of `runs`; they may overlap."""
-    from .runs import runs
-
-    return repeated(docs, id_col, text_col).unionByName(runs(docs, id_col, text_col))
-
-
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages(table(spark, sf_dir, "documents"))

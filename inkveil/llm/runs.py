@@ -1,4 +1,4 @@
-"""Exact repeated runs of over 50 words, wherever lines break: winnowed word grams, extended word by word."""
+"""Exact repeated runs of over 50 words, wherever lines break: winnowed word grams, linked through equal stretches between them and extended word by word."""
 
 from __future__ import annotations
 
@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
-from .near_copies import SPACES
-from .paragraphs import MIX, _mix, _probable, gathered, words
+from .paragraphs import MIX, _mix, _probable, word_lists
 
-#: Words of a gram and grams of a window: a run of GRAM + WINDOW - 1 = 50 words holds a chosen gram, and chosen grams abut.
-GRAM, WINDOW = 26, 25
-#: Words that a run can go beyond its outermost grams.
-EDGE = WINDOW - 1
+#: Words of a gram and grams of a window: a run of GRAM + WINDOW - 1 = 51 words holds a chosen gram.
+GRAM, WINDOW = 12, 40
+#: Shorter runs are no passages.
+LEAST = GRAM + WINDOW - 1
+#: In a stretch of equal grams (one word over and over), one in so many is taken.
+THIN = 20
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
 
 def grams(h: np.ndarray) -> np.ndarray:
@@ -34,106 +37,120 @@ def grams(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def chosen(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of a text's chosen grams: the least of each window, the last one of equals."""
-    if len(h) < GRAM + WINDOW - 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """pick (minimum or maximum) over each `width` neighbours, by doubling."""
+    size = 1
+    while size * 2 <= width:
+        x = pick(x[: len(x) - size], x[size:])
+        size *= 2
+    return pick(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
+
+
+def chosen(start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A text's chosen grams, those least in a window: word, byte start, byte end, hash, and the hash of the words up to the end of the next one (0: none).
+
+    Equal runs have equal grams chosen wherever they stand, but for windows over their ends."""
+    if len(h) < LEAST:
+        return (np.zeros(0, np.int32),) * 3 + (np.zeros(0, np.int64),) * 2
     g = grams(h)
-    view = np.lib.stride_tricks.sliding_window_view(g[::-1], WINDOW)
-    at = np.unique(len(g) - 1 - (np.arange(len(view)) + view.argmin(1)))
-    return at, g[at]
-
-
-def texts(ids, column) -> Iterator[tuple[object, np.ndarray, np.ndarray, np.ndarray]]:
-    """Id, byte starts, byte ends and hashes of the words of each text."""
-    for own, raws in gathered(ids, column):
-        raws = [r.translate(SPACES) for r in raws]
-        base = np.cumsum([0] + [len(r) + 1 for r in raws])
-        start, end, h = words(b"\n".join(raws))
-        at = np.searchsorted(start, base)
-        for k, i in enumerate(own):
-            s = slice(at[k], at[k + 1])
-            yield i, start[s] - base[k], end[s] - base[k], h[s]
-
-
-def longest(members: list[tuple[bytes, bytes]]) -> list[tuple[int, int]]:
-    """For each (words before, words after), nearest first, the most words it shares with an earlier one on either side."""
-    seen: tuple[set, set] = (set(), set())
+    least = _slide(g, WINDOW, np.minimum)
+    pad = np.zeros(WINDOW - 1, np.uint64)
+    at = np.nonzero(_slide(np.concatenate([pad, least, pad]), WINDOW, np.maximum) == g)[0]
+    again = (np.diff(at, prepend=-2) == 1) & (g[at] == g[at - 1])
+    if again.any():
+        since = np.arange(len(at)) - np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
+        at = at[since % THIN == 0]
+    n = len(h)
+    down, up = np.cumprod(np.full(n, _INVERSE)), np.cumprod(np.full(n, _BASE))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(h * up)])
+    stretch = np.zeros(len(at), np.uint64)
+    if len(at) > 1:
+        stop = at[1:] + GRAM
+        stretch[:-1] = _mix((sums[stop] - sums[at[:-1]]) * down[at[:-1]] + (stop - at[:-1]).astype(np.uint64)) | np.uint64(1)
+    return at.astype(np.int32), start[at].astype(np.int32), end[at + GRAM - 1].astype(np.int32), g[at].view(np.int64), stretch.view(np.int64)
+
+
+def around(h: np.ndarray, start: np.ndarray, end: np.ndarray, w: int, right: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words beside the gram at word `w`, nearest first, and the bytes where each of them ends (on the left: starts)."""
+    if right:
+        s = slice(w + GRAM, w + GRAM + WINDOW)
+        return h[s], end[s]
+    s = slice(max(0, w - WINDOW), w)
+    return h[s][::-1], start[s][::-1]
+
+
+def in_common(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Words that two contexts have in common from their beginnings on."""
     out = []
-    for sides in members:
-        found = []
-        for side, known in zip(sides, seen):
-            heads = [side[: 8 * n] for n in range(1, len(side) // 8 + 1)]
-            found.append(next((n for n in range(len(heads), 0, -1) if heads[n - 1] in known), 0))
-            known.update(heads)
-        out.append(tuple(found))
-    return out
+    for x, y in zip(a, b):
+        n = min(len(x), len(y)) // 8
+        differ = np.nonzero(np.frombuffer(x, np.int64, n) != np.frombuffer(y, np.int64, n))[0]
+        out.append(int(differ[0]) if len(differ) else n)
+    return pd.Series(out, dtype="int32")
 
 
-def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows like those of `paragraphs.repeated` for runs of over 50 words that occur before, by id and start; all are `removed`.
+def runs(texts: DataFrame, src: DataFrame) -> DataFrame:
+    """Rows like those of `paragraphs.passages` for runs of over 50 words that occur before, by id and place; all are `removed`.
 
-    Equality is of 64-bit hashes of words in lower case. Every gram but the first of its kind goes; where no removed gram
-    stands next to it, it is extended by the words that it shares with an earlier one.
+    texts: rows of `paragraphs.prints`; src: (u, doc_id, t), their texts. Grams that occur once are left out by a join. Each
+    other occurrence of a gram is compared with an earlier one: if the stretch to the next (or from the last) chosen gram
+    occurs earlier too, it is covered whole; else the words beside the gram are compared one by one with those beside the
+    first occurrence that shares the stretch on the other side, or else with the gram's first occurrence. What is covered is
+    joined to runs; those over 50 words count. So a run with two or more chosen grams is found whole; of a run with a
+    single one, a part can stay if that gram's first occurrence stands among other words.
+
+    Groups are only aggregated to their least member, which is joined back; contexts are cut to WINDOW words.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).filter("doc_id is not null and t is not null")
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for i, start, end, h in texts(pdf["doc_id"], pdf["t"]):
-                at, g = chosen(h)
-                if len(at):
-                    yield pd.DataFrame({"doc_id": i, "w": at, "start": start[at], "stop": end[at + GRAM - 1], "g": g.view(np.int64)})
-
-    all_grams = cut(src.mapInPandas(choose, "doc_id long, w int, start int, stop int, g long"), "grams")
-    many = cut(all_grams.groupBy("g").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start", "w")).alias("first")).filter("n > 1").drop("n"), "firsts")
-    held = cut(_probable(all_grams, "g", many).join(many, "g"), "held")
-    by = Window.partitionBy("doc_id").orderBy("w")
-    # in texts that repeat themselves, the first gram stays whole
-    beside = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("w") - F.col("first.w") < GRAM)
-    gone = held.filter(~beside).dropDuplicates(["doc_id", "w"])
-    gone = gone.withColumn("left", F.coalesce(F.col("w") - F.lag("w").over(by) > GRAM, F.lit(True))).withColumn("right", F.coalesce(F.lead("w").over(by) - F.col("w") > GRAM, F.lit(True)))
-    gone = cut(gone, "gone")
-    # contexts of outermost grams and of all other places of theirs
-    outer = gone.filter("left or right")
-    places = held.join(outer.select("g").distinct(), "g").join(outer.select("doc_id", "w", F.lit(True).alias("outer")), ["doc_id", "w"], "left")
-    wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("w", "g", "outer")).alias("own"))
-    wanted = cut(wanted, "wanted")
-    near = _probable(src, "doc_id", wanted).join(wanted, "doc_id")
-
-    def around(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for (i, start, end, h), own in zip(texts(pdf["doc_id"], pdf["t"]), pdf["own"]):
-                known = dict(zip(*(x.tolist() for x in chosen(h))))
-                for place in own:
-                    w, g = place["w"], place["g"]
-                    if known.get(w) != g % 2**64:  # rows of one id with other texts
-                        continue
-                    lo, hi = max(0, w - EDGE), w + GRAM
-                    edges = (start[lo:w][::-1], end[hi : hi + EDGE]) if place["outer"] else (None, None)
-                    rows.append((i, w, g, int(start[w]), h[lo:w][::-1].tobytes(), h[hi : hi + EDGE].tobytes(), *edges))
-            yield pd.DataFrame(rows, columns=["doc_id", "w", "g", "start", "l", "r", "lb", "rb"])
-
-    contexts = cut(near.mapInPandas(around, "doc_id long, w int, g long, start int, l binary, r binary, lb array<int>, rb array<int>"), "contexts")
-    contexts = contexts.withColumn("c", F.xxhash64("l", "r"))
-    kinds = contexts.groupBy("g", "c").agg(F.min(F.struct("doc_id", "start")).alias("o"), F.first("l").alias("l"), F.first("r").alias("r")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("o", "c", "l", "r"))).alias("m"))
-
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def beside(c: str, by: int):
+        return F.get(F.col(c), F.col("i") + by)
+
+    flat = texts.select("u", "doc_id", "w", "start", "stop", "c", F.posexplode("g").alias("i", "g"))
+    flat = flat.select(
+        "u", "doc_id", "g", beside("w", 0).alias("w"), beside("start", 0).alias("start"), beside("stop", 0).alias("stop"), beside("c", 0).alias("c"), F.coalesce(beside("c", -1), F.lit(0)).alias("cp"),
+        beside("w", -1).alias("w_before"), beside("start", -1).alias("start_before"), beside("w", 1).alias("w_after"), beside("stop", 1).alias("stop_after"),
+    )
+    many = cut(flat.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "often")
+    held = cut(_probable(flat, "g", many).join(many, "g"), "held")
+    me = F.struct("doc_id", "u", "w", "start")
+    first = held.groupBy("g").agg(F.min(me).alias("f"))
+    after = held.filter("c <> 0").groupBy("g", "c").agg(F.min(me).alias("fr"))
+    before = held.filter("cp <> 0").groupBy("g", "cp").agg(F.min(me).alias("fl"))
+    gone = held.join(first, "g").filter(me > F.col("f")).join(after, ["g", "c"], "left").join(before, ["g", "cp"], "left")
+    right, left = F.coalesce(F.col("fr") < me, F.lit(False)), F.coalesce(F.col("fl") < me, F.lit(False))
+    gone = cut(gone.withColumns({"right": right, "left": left}), "gone")
+    covered = gone.select(
+        "u", "doc_id", F.when(F.col("left"), F.col("w_before")).otherwise(F.col("w")).alias("lo"), (F.when(F.col("right"), F.col("w_after")).otherwise(F.col("w")) + GRAM).alias("hi"),
+        F.when(F.col("left"), F.col("start_before")).otherwise(F.col("start")).alias("start"), F.when(F.col("right"), F.col("stop_after")).otherwise(F.col("stop")).alias("stop"), "f",
+    )
+    # sides that are open: (u, w, right) and the occurrence to compare with
+    to_right = F.when(~F.col("right"), F.struct(F.lit(True).alias("right"), F.when(F.col("left"), F.col("fl")).otherwise(F.col("f")).alias("p")))
+    to_left = F.when(~F.col("left"), F.struct(F.lit(False).alias("right"), F.when(F.col("right"), F.col("fr")).otherwise(F.col("f")).alias("p")))
+    asks = gone.select("u", "w", F.explode(F.filter(F.array(to_right, to_left), lambda x: x.isNotNull())).alias("x")).select("u", "w", "x.right", F.col("x.p.u").alias("pu"), F.col("x.p.w").alias("pw"), F.lit(True).alias("mine"))
+    theirs = asks.select(F.col("pu").alias("u"), F.col("pw").alias("w"), "right").distinct().withColumns({"pu": F.lit(0).cast("long"), "pw": F.lit(0), "mine": F.lit(False)})
+    wanted = cut(asks.unionByName(theirs).groupBy("u").agg(F.collect_list(F.struct("w", "right", "pu", "pw", "mine")).alias("own")), "wanted")
+
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for g, own in zip(pdf["g"], pdf["m"]):
-                for m, (nl, nr) in zip(own, longest([(m["l"], m["r"]) for m in own])):
-                    rows.append((g, m["c"], m["o"]["doc_id"], m["o"]["start"], nl, nr))
-            yield pd.DataFrame(rows, columns=["g", "c", "o_id", "o_start", "nl", "nr"])
-
-    told = kinds.mapInPandas(reach, "g long, c long, o_id long, o_start int, nl int, nr int")
-    first = (F.col("doc_id") == F.col("o_id")) & (F.col("start") == F.col("o_start"))
-    far = contexts.filter("lb is not null").select("doc_id", "w", "g", "c", "start", "lb", "rb").join(told, ["g", "c"]).select("doc_id", "w", "lb", "rb", F.when(first, F.col("nl")).otherwise(F.size("lb")).alias("nl"), F.when(first, F.col("nr")).otherwise(F.size("rb")).alias("nr"))
-    far = far.dropDuplicates(["doc_id", "w"])
-    touching = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("w") - F.col("first.w") < GRAM + EDGE)
-    out = gone.join(far, ["doc_id", "w"], "left").withColumn("nl", F.when(F.col("left") & ~touching, F.coalesce("nl", F.lit(0))).otherwise(0)).withColumn("nr", F.when(F.col("right"), F.coalesce("nr", F.lit(0))).otherwise(0))
-    out = out.withColumn("start", F.when(F.col("nl") > 0, F.expr("lb[nl - 1]")).otherwise(F.col("start"))).withColumn("stop", F.when(F.col("nr") > 0, F.expr("rb[nr - 1]")).otherwise(F.col("stop")))
-    out = out.withColumn("run", F.sum(F.col("left").cast("int")).over(by))
-    out = out.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max(F.col("w") + F.col("nr")) - F.min(F.col("w") - F.col("nl")) + GRAM).alias("n_words"), F.min_by("first", "w").alias("first"))
-    return out.filter("n_words > 50").select("doc_id", "start", (F.col("stop") - F.col("start")).alias("length"), "n_words", F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.start").alias("cluster_start"), F.lit(True).alias("removed"))
+            for (u, doc_id, own), _, start, end, h in word_lists(zip(pdf["u"], pdf["doc_id"], pdf["own"]), pdf["t"]):
+                for x in own:
+                    w = x["w"]
+                    words, at = around(h, start, end, w, x["right"])
+                    rows.append((u, doc_id, w, x["right"], x["mine"], x["pu"], x["pw"], words.tobytes(), at if x["mine"] else at[:0], int(start[w]), int(end[w + GRAM - 1])))
+            yield pd.DataFrame(rows, columns=["u", "doc_id", "w", "right", "mine", "pu", "pw", "words", "at", "start", "stop"])
+
+    schema = "u long, doc_id long, w int, right boolean, mine boolean, pu long, pw int, words binary, at array<int>, start int, stop int"
+    near = cut(_probable(src, "u", wanted).join(wanted, "u").mapInPandas(contexts, schema).dropDuplicates(["u", "w", "right", "mine"]), "contexts")
+    other = near.filter("not mine").select(F.col("u").alias("pu"), F.col("w").alias("pw"), "right", F.col("words").alias("theirs"))
+    far = near.filter("mine").join(other, ["pu", "pw", "right"]).withColumn("n", F.pandas_udf(in_common, "int")("words", "theirs")).filter("n > 0")
+    reached = far.select(
+        "u", "doc_id", F.when(F.col("right"), F.col("w")).otherwise(F.col("w") - F.col("n")).alias("lo"), (F.col("w") + GRAM + F.when(F.col("right"), F.col("n")).otherwise(0)).alias("hi"),
+        F.when(F.col("right"), F.col("start")).otherwise(F.expr("at[n - 1]")).alias("start"), F.when(F.col("right"), F.expr("at[n - 1]")).otherwise(F.col("stop")).alias("stop"),
+    )
+    by = Window.partitionBy("u").orderBy("lo", "hi")
+    out = covered.unionByName(reached, allowMissingColumns=True)
+    out = out.withColumn("new", F.coalesce(F.col("lo") > F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+    out = out.withColumn("run", F.sum(F.col("new").cast("int")).over(by))
+    out = out.groupBy("doc_id", "u", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("hi") - F.min("lo")).alias("n_words"), F.min("f").alias("f"))
+    return out.filter(F.col("n_words") >= LEAST).select("doc_id", "start", (F.col("stop") - F.col("start")).alias("length"), "n_words", F.col("f.doc_id").alias("cluster_doc_id"), F.col("f.start").alias("cluster_start"), F.lit(True).alias("removed"))

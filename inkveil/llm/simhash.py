@@ -9,38 +9,67 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, table
 
 BYTES = 8
+#: Fingerprints of a posting list that are compared in one piece.
+BLOCK = 256
 
 
-def fingerprint(text: str | None, k: int = 3) -> int:
-    """64-bit SimHash of the k-word shingles of `text`, repeats included; 0 without words."""
+def fingerprint(text: str | None, k: int = 3, distinct: bool = False) -> int:
+    """64-bit SimHash of the k-word shingles of `text`, repeats included unless `distinct`; 0 without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
-    n = max(1, len(words) - k + 1)
-    shingles = map(b" ".join, zip(*(words[i : i + n] for i in range(k)))) if len(words) >= k else [b" ".join(words)]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), np.uint64, n)
+    shingles = map(b" ".join, zip(*(words[i : len(words) - k + 1 + i] for i in range(k)))) if len(words) >= k else [b" ".join(words)]
+    h = np.fromiter(map(xxhash.xxh64_intdigest, set(shingles) if distinct else shingles, repeat(42)), np.uint64)
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):  # bounded memory for very long texts
+    for at in range(0, len(h), 65536):  # bounded memory for very long texts
         ones += np.unpackbits(h[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
 
 
-def _links(values: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the links at `bits` or fewer differing bits among distinct fingerprints of one posting list.
+def covering(shared: int, size: int) -> list[tuple[int, ...]]:
+    """Sets of `size` byte positions such that every `shared` positions hold one of them, found greedily."""
+    want = set(combinations(range(BYTES), shared))
+    out = []
+    while want:
+        best = max(combinations(range(BYTES), size), key=lambda k: sum(set(k) <= set(s) for s in want))
+        out.append(best)
+        want = {s for s in want if not set(best) <= set(s)}
+    return out
 
-    The list holds at most 256 ** bits values, since all but `bits` bytes are equal."""
+
+def _under(fp: Column, positions: tuple[int, ...]) -> Column:
+    """The list under which a fingerprint is posted for these byte positions."""
+    mask = sum(0xFF << 8 * p for p in positions)
+    return F.xxhash64(F.lit(mask - (1 << 64) if mask >> 63 else mask), fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
+
+
+def post(nodes: DataFrame, lists: list[tuple[int, ...]]) -> DataFrame:
+    """`nodes` (u, fp) once for each set of positions, with the list's key `h`."""
+    return nodes.withColumn("h", F.explode(F.array(*[_under(F.col("fp"), p) for p in lists])))
+
+
+def close_pairs(x: np.ndarray, bits: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of fingerprints that share `shared` positional bytes or more, by a tally, and differ in `bits` bits or fewer."""
+    differ = x[:, None] ^ x[None, :]
+    tally = (differ.view(np.uint8).reshape(len(x), len(x), BYTES) == 0).sum(2, dtype=np.uint8)
+    i, j = np.nonzero(np.triu(tally >= shared, 1))
+    near = np.bitwise_count(differ[i, j]) <= bits
+    return i[near], j[near]
+
+
+def forest(values: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the links at `bits` or fewer differing bits among the distinct fingerprints of one posting list.
+
+    Lists over BLOCK have all but `bits` bytes equal, hence 256 ** bits values at most; there neighbours are looked up."""
     n = len(values)
-    if n <= 256:
-        x = values[:, None] ^ values[None, :]
-        # count filter: positional bytes that two fingerprints share
-        shared = (x.view(np.uint8).reshape(n, n, BYTES) == 0).sum(2)
-        i, j = np.nonzero(np.triu((shared >= BYTES - bits) & (np.bitwise_count(x) <= bits), 1))
+    if n <= BLOCK:
+        i, j = close_pairs(values, bits, BYTES - bits)
         pairs = zip(i.tolist(), j.tolist())
     else:
         at = {v: i for i, v in enumerate(values.tolist())}
@@ -65,15 +94,16 @@ def _links(values: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2, k: int = 3) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id) for every row of `docs`.
 
-    Distinct fingerprints are posted under every choice of 8 - `bits` byte positions: two fingerprints that differ in
-    `bits` or fewer bits share at least 8 - `bits` positional bytes, the guaranteed minimum, hence a posting list. A list
-    can hold no more than 256 ** bits values, whatever the corpus, so no list is unbounded; `bits` is 1 or 2. Within a
-    list shared bytes are tallied, pairs under the minimum are dropped, and Hamming distance is verified. Only a spanning
-    forest leaves a list. Equal fingerprints are one node, so copies are never expanded.
+    Fingerprints that differ in `bits` (1 or 2) or fewer bits share at least 8 - `bits` positional bytes, the guaranteed
+    minimum. Distinct fingerprints are posted under sets of four byte positions, so chosen that any two with the minimum
+    meet in a list (2 bits: 6 lists each). In a list shared bytes are tallied, pairs under the minimum are dropped, the
+    others' Hamming distance is verified. Lists of over BLOCK fingerprints are posted again under sets of 8 - `bits`
+    positions, which no more than 256 ** bits can share, whatever the corpus. Only a spanning forest leaves a list.
+    Equal fingerprints are one node, so copies are never expanded.
 
-    component_id is the smallest id reachable. Null or empty texts have
-    fingerprint zero and link to each other. Rows with a null id get a null component unless copies give one.
-    Repeated ids keep their rows. Other columns of `docs` are ignored, whatever their names.
+    component_id is the smallest id reachable. Null or empty texts have fingerprint zero and link to each other. Rows with
+    a null id get a null component unless copies give one. Repeated ids keep their rows. Other columns of `docs` are
+    ignored, whatever their names.
     """
     if bits not in (1, 2):
         raise ValueError("bits must be 1 or 2")
@@ -84,27 +114,107 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
 
     fps = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(prints, "id long, fp long"), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("id").alias("rep"))
-    keep = list(combinations(range(BYTES), BYTES - bits))
-    masks = [sum(0xFF << 8 * p for p in c) for c in keep]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    posts = reps.filter("rep is not null").select("fp", "rep", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("m", "key"))
-    lists = posts.groupBy("m", "key").agg(F.collect_list(F.struct("fp", "rep")).alias("l")).filter(F.size("l") > 1).select("l.fp", "l.rep")
+    reps = cut(fps.groupBy("fp").agg(F.min("id").alias("u")), "reps")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for fp, rep in zip(pdf["fp"], pdf["rep"]):
+            for fp, rep in zip(pdf["fp"], pdf["u"]):
                 order = np.argsort(rep)
                 rep = np.asarray(rep)[order]
-                out += [(rep[i], rep[j]) for i, j in _links(np.asarray(fp, np.int64)[order].view(np.uint64), bits)]
+                out += [(rep[i], rep[j]) for i, j in forest(np.asarray(fp, np.int64)[order].view(np.uint64), bits)]
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    edges = cut(lists.mapInPandas(join, "u long, v long").distinct(), "links")
+    def linked(posts: DataFrame) -> DataFrame:
+        lists = posts.groupBy("h").agg(F.collect_list(F.struct("fp", "u")).alias("l")).filter(F.size("l") > 1)
+        return lists.select("l.fp", "l.u").mapInPandas(join, "u long, v long").distinct()
+
+    short = covering(BYTES - bits, 4)
+    posts = post(reps.filter("u is not null"), short).repartition("h")
+    large = cut(posts.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("h"), "large")
+    if large.isEmpty():
+        edges = cut(linked(posts), "links")
+    else:
+        again = posts.join(large, "h", "left_semi").select("u", "fp").distinct()
+        again = post(again, list(combinations(range(BYTES), BYTES - bits)))
+        edges = cut(linked(posts.join(large, "h", "left_anti")).unionByName(linked(again)).distinct(), "links")
     label = components(edges)
-    classes = reps.join(label, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    classes = reps.join(label, F.col("u") == F.col("node"), "left").select("fp", F.coalesce("component", "u").alias("component_id"))
     return fps.join(classes, "fp", "left").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", threshold: float = 0.8, bits: int = 8, shared: int = 3) -> DataFrame:
+    """Rows (row, component) for every row of `docs`; `row_col` is a distinct long for each row.
+
+    Candidates come from the byte-position index over SimHash fingerprints of the distinct words: pairs that share `shared`
+    positional bytes or more and differ in `bits` or fewer bits. Any pair of 8 - `shared` differing bits has that minimum;
+    of pairs with more bits, up to `bits`, those are found that do share so many bytes. A candidate is linked if the
+    Jaccard similarity of its 5-word shingles (words in lower case, 64-bit hashes) is `threshold` or more. component is
+    the least row reachable. Texts of equal shingle sets are one node, so copies are never expanded; texts without words
+    are copies of each other.
+
+    Each node of a list is first compared with the list's least one. In lists that then still hold several components,
+    pairs of different components are tallied, in blocks of at most BLOCK x BLOCK.
+    """
+    from .paragraphs import _probable, alike, shingle_set, word_lists
+
+    src = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("t"))
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for (i, t), _, _, _, h in word_lists(zip(pdf["row"], pdf["t"]), pdf["t"]):
+                s = shingle_set(h)
+                rows.append((i, *(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), x)).view(np.int64) for x in (0, 1)), len(s), np.uint64(fingerprint(t, 1, True)).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["row", "same", "also", "n", "fp"])
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(i, shingle_set(h).tobytes()) for i, _, _, _, h in word_lists(pdf["u"], pdf["t"])], columns=["u", "s"])
+
+    @F.pandas_udf("boolean")
+    def close(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([any(alike([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)], threshold)) for x, y in zip(a, b)], dtype=bool)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Of candidates (u, v) those with the similarity."""
+        wanted = cut(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct(), "wanted")
+        sets = cut(_probable(src.withColumnRenamed("row", "u"), "u", wanted).join(wanted, "u").mapInPandas(carry, "u long, s binary"), "sets")
+        both = pairs.join(sets.withColumnRenamed("s", "a"), "u").join(sets.select(F.col("u").alias("v"), F.col("s").alias("b")), "v")
+        sizes = F.least(F.length("a"), F.length("b")) >= F.lit(threshold) * F.greatest(F.length("a"), F.length("b")) - 1e-9
+        return cut(both.filter(sizes).filter(close("a", "b")).select("u", "v"), "verified")
+
+    units = cut(src.mapInPandas(sign, "row long, same long, also long, n int, fp long"), "signatures")
+    kinds = cut(units.groupBy("same", "also", "n").agg(F.min("row").alias("u"), F.min("fp").alias("fp")), "kinds")
+    posts = post(kinds.filter("n > 0").select("u", "fp"), covering(shared, shared)).repartition("h")
+    heads = posts.groupBy("h").agg(F.min(F.struct("u", "fp")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    members = cut(posts.join(heads, "h"), "members")
+    hubs = cut(members.filter((F.col("u") != F.col("hub.u")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= bits)).select("u", F.col("hub.u").alias("v")).distinct(), "pairs")
+    links = verified(hubs)
+    label = cut(components(links), "labels")
+
+    tagged = members.filter("size > 2").join(label, F.col("u") == F.col("node"), "left").select("h", "size", "u", "fp", F.coalesce("component", "u").alias("c"))
+    spans = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
+    blocks = F.ceil(F.col("size") / (BLOCK // 2)).cast("int")
+    rest = tagged.join(spans, "h").withColumn("i", F.pmod(F.xxhash64("u"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = rest.groupBy("h", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j")).agg(F.collect_list(F.struct("u", "c", "fp")).alias("l"))
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for u, c, fp in zip(pdf["u"], pdf["c"], pdf["fp"]):
+                i, j = close_pairs(np.asarray(fp, np.int64).view(np.uint64), bits, shared)
+                other = np.asarray(c)[i] != np.asarray(c)[j]
+                a, b = np.asarray(u)[i[other]], np.asarray(u)[j[other]]
+                out.append(pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)}))
+            yield pd.concat(out) if out else pd.DataFrame({"u": [], "v": []}, dtype="int64")
+
+    more = cut(rest.select("l.u", "l.c", "l.fp").mapInPandas(tally, "u long, v long").distinct().join(hubs, ["u", "v"], "left_anti"), "more")
+    if not more.isEmpty():
+        label = cut(components(links.unionByName(verified(more))), "labels")
+    told = kinds.join(label, F.col("u") == F.col("node"), "left").select("same", "also", "n", F.coalesce("component", "u").alias("component"))
+    return units.select("row", "same", "also", "n").join(told, ["same", "also", "n"]).select("row", "component")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from inkveil.llm import near_copies
+from inkveil.llm import simhash
 
 from test_operators import prose
 
@@ -40,7 +40,7 @@ def test_near_copies(spark):
     rows = list(enumerate(texts()))
     df = spark.createDataFrame(rows, "_row long, text string")
     want = brute(rows)
-    assert {r["row"]: r["component"] for r in near_copies.near_copies(df, "_row").collect()} == want
+    assert {r["row"]: r["component"] for r in simhash.near_copies(df, "_row").collect()} == want
     assert sum(want[i + 20] == i for i in range(20)) >= 4
 
 

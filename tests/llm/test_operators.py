@@ -55,7 +55,7 @@ def test_simhash_long_list():
     import numpy as np
 
     values = np.array([0x1234 + (i << 20) for i in range(600)], np.uint64)
-    links = list(simhash._links(values, 2))
+    links = list(simhash.forest(values, 2))
     assert len(links) <= 599 and all(int(values[i] ^ values[j]).bit_count() <= 2 for i, j in links)
 
 
@@ -108,7 +108,7 @@ def test_merge_compares_no_known_prefix():
 
 
 def test_paragraphs(docs):
-    spans = paragraphs.repeated(docs)
+    spans = paragraphs.passages(docs)
     got = {(r["doc_id"], r["removed"]) for r in spans.collect()}
     assert {22, 23, 20, 3, 21} <= {i for i, _ in got} and not any(i in {i for i, _ in got} for i in (0, 1, 2, 4, 5, 24, 25, 26))
     kept = {r["doc_id"]: r["text"] for r in paragraphs.remove(docs, spans.filter("removed")).collect()}
@@ -120,15 +120,17 @@ def test_paragraphs_clusters(spark):
     base = prose(1, 40).split(" ")
     rows = [(i, " ".join(base[:k] + [f"own{i}"] + base[k:])) for i, k in enumerate((0, 5, 20, 39, 40))]
     rows += [(10 + i, " ".join(base[:9]) + " " + prose(50 + i, 30)) for i in range(6)]
-    rows += [(20 + i, rows[6][1]) for i in range(4)] + [(30, rows[7][1] + " tail"), (31, "short line")]
+    rows += [(20 + i, rows[6][1] + f"\nline {i}") for i in range(4)] + [(30, rows[7][1] + " tail"), (31, "short line")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = paragraphs.repeated(df, min_run=1).collect()
+    got = paragraphs.passages(df, min_run=1).collect()
     cut = {}
     for i, t in rows:
-        raw = t.lower().encode()
-        which, start, end, *_ = paragraphs.paragraphs([raw])
-        for a, b in zip(start.tolist(), end.tolist()):
-            cut[i, a] = paragraphs.shingles(raw[a:b])
+        at = 0
+        for line in t.split("\n"):
+            w = line.lower().split()
+            if len(w) >= 8:
+                cut[i, at] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+            at += len(line.encode()) + 1
     group = {k: k for k in cut}
     for a in cut:
         for b in cut:
@@ -138,7 +140,7 @@ def test_paragraphs_clusters(spark):
     size = Counter(group.values())
     assert {((r["doc_id"], r["start"]), (r["cluster_doc_id"], r["cluster_start"])) for r in got} == {(k, g) for k, g in group.items() if size[g] > 1}
     assert all(r["removed"] == ((r["doc_id"], r["start"]) != (r["cluster_doc_id"], r["cluster_start"])) for r in got)
-    empty = paragraphs.repeated(df.limit(0))
+    empty = paragraphs.passages(df.limit(0))
     assert empty.count() == 0 and paragraphs.remove(df, empty).count() == len(rows)
 
 

@@ -1,6 +1,6 @@
 """Planted passages of over 50 words in long, wrapped and short lines: all of each goes from every text but the first."""
 
-from inkveil.llm import paragraphs
+from inkveil.llm import paragraphs, runs
 
 from test_operators import prose
 
@@ -27,4 +27,4 @@ def test_planted_passages(spark):
     kept = {r["doc_id"]: (r["text"] or "").split() for r in paragraphs.remove(df, spans).collect()}
     assert [(i, kept[i]) for i, _ in want] == want
     assert kept[901] == (prose(3, 30) + " " + prose(4, 30)).split()
-    assert len(kept[904]) >= 26
+    assert len(kept[904]) >= runs.GRAM
