@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import decontamination, near_copies, packing, paragraphs, quality_crf
+from inkveil.llm import decontamination, packing, paragraphs, quality_crf, simhash
 from inkveil.llm.common import cut, table
 
 
@@ -16,21 +16,20 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with a key `_row` of its own for each row, in order of id (nulls last) and text hash. Written, so that the keys stay."""
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    return cut(docs.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    """`docs` with a key `_row` of its own for each row, in the order they are read. Written, so that the keys stay; no shuffle."""
+    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group of near copies (Jaccard of 5-word shingles of 0.8 or more); null ids come last."""
+    """The row with the smallest id of each group of near copies: SimHash candidates with a Jaccard of 5-word shingles of 0.8 or more. Null ids come last."""
     rows = keyed(docs)
     order = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", F.xxhash64("text").alias("_hash"), "_row").alias("_order")
-    first = near_copies.near_copies(rows, "_row").join(rows.select("_row", order), F.col("row") == F.col("_row")).groupBy("component").agg(F.min("_order").alias("first")).select("first._row")
+    first = simhash.near_copies(rows, "_row").join(rows.select("_row", order), F.col("row") == F.col("_row")).groupBy("component").agg(F.min("_order").alias("first")).select("first._row")
     return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without the passages that an earlier row has; those of which nothing is left go."""
+    """Rows without the passages that a row before, in the order they are read, has; those of which nothing is left go."""
     rows = keyed(docs)
     spans = paragraphs.passages(rows, "_row").filter("removed")
     out = paragraphs.remove(rows, spans, "_row")
