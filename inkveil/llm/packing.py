@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -23,8 +22,12 @@ LENGTH = 2048
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Texts with these go through the tokenizer whole: separators that only Python takes for white space, and a letter whose lower case depends on its neighbours.
 ODD = re.compile("[\x1c-\x1f\u03a3]")
+#: Words of letters that every Unicode version classes alike; other words go through the tokenizer as they are.
+PLAIN = re.compile(r"[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*\Z")
 #: Words whose ids a Python worker keeps; beyond it the memory is cleared, which changes no result.
-MEMORY = 1_000_000
+MEMORY = 200_000
+#: Texts by which it is seen whether a tokenizer file splits as PIECE does; if not, whole texts go through it.
+PROBES = ("Hello, world's 2nd caf\u00e9: na\u00efve?!", "a\x00b\x01 \x7f\x0ec", "it's WE'LL '' x_y-z 12.5%", "\u00c9t\u00e9 \u00df\u00fc", " lead  and\ttrail\n")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -48,6 +51,11 @@ class WordTokenizer:
         self.letters = _byte_letters()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.known = True
+        self.known = all(self.encode(t).tolist() == self._whole(t).tolist() for t in PROBES)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     @classmethod
     def of(cls, path: str) -> WordTokenizer:
@@ -56,20 +64,22 @@ class WordTokenizer:
         return cls._made[path]
 
     def _piece(self, piece: str) -> bytes:
-        written = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        written = piece.encode("utf-8").decode("latin-1").translate(self.letters)
         ids = np.array([t.id for t in self.tokenizer.model.tokenize(written)], np.uint32).tobytes()
         self.pieces[piece] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
-        text = (word if word.isascii() else unicodedata.normalize("NFC", word)).lower()
-        ids = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECE.findall(text)])
+        if PLAIN.match(word):
+            ids = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECE.findall(word.lower())])
+        else:
+            ids = self._whole(word).tobytes()
         self.words[word] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
-        if ODD.search(text) or any(s in text for s in self.special):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        if not self.known or ODD.search(text) or any(s in text for s in self.special):
+            return self._whole(text)
         if len(self.words) > MEMORY:
             self.words.clear()
             self.pieces.clear()
@@ -95,12 +105,20 @@ def plan(counts: dict[int, int], size: int = LENGTH) -> list[tuple[list[tuple[in
         b = np.nonzero(here[a : size - a + 1])[0] + a if a * 2 <= size else np.zeros(0, np.int64)
         pairs[a + b] += 1
 
+    triples = np.zeros(size + 1, np.int64)  # how many lengths at hand go with some pair to this sum
+    for a in np.nonzero(here)[0]:
+        triples[a:] += pairs[: size + 1 - a] > 0
+
     def gone(a: int) -> None:
+        had = pairs > 0
+        triples[a:] -= had[: size + 1 - a]
         here[a] = False
         b = np.nonzero(here[: size - a + 1])[0]
         pairs[a + b] -= 1
         if 2 * a <= size:
             pairs[2 * a] -= 1
+        for s in np.nonzero(had & (pairs == 0))[0]:
+            triples[np.nonzero(here[: size - s + 1])[0] + s] -= 1
 
     def use(combination: list[int]) -> bool:
         need = Counter(combination)
@@ -125,7 +143,7 @@ def plan(counts: dict[int, int], size: int = LENGTH) -> list[tuple[list[tuple[in
             if not gap:
                 use([a])
             elif not ((gap <= a and n[gap] and use([a, gap])) or (pairs[gap] > 0 and any(use([a, *p]) for p in pair(gap, a)))):
-                b = np.arange(min(a, gap - 2), 0, -1)
+                b = np.arange(min(a, gap - 2) if triples[gap] > 0 else 0, 0, -1)
                 b = b[here[b] & (pairs[gap - b] > 0)]
                 if not any(use([a, int(x), *p]) for x in b for p in pair(gap - int(x), int(x))):
                     break
