@@ -13,17 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .paragraphs import _probable
 
 #: Bytes of a repeated string.
 LENGTH = 400
 #: Bytes of the seed by which suffixes are chosen; every string of LENGTH bytes has SEEDS of them.
 SEED = 150
 SEEDS = LENGTH - SEED + 1
+#: Bytes to the left or to the right of a seed of which a string over it holds at least one whole.
+SIDE = (LENGTH - SEED) // 2
 #: Suffixes of one merge, and the most merges, which bounds the splitters that are broadcast.
-MERGE, MOST_MERGES = 20_000, 20_000
+MERGE, MOST_MERGES = 20_000, 200_000
 #: Suffixes that a task sorts at a time.
 RUN = 20_000
-SAMPLES = 32
+#: Keys from which a merge's splitter is taken, and the most keys that the driver sees.
+SAMPLES, MOST_SAMPLES = 32, 800_000
 
 _rng = np.random.default_rng(20240229)
 _LETTER = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -53,20 +57,29 @@ def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def seeds(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the seeds of a text that are least in some string of LENGTH bytes.
+def seeds(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the seeds of a text that are least in some string of LENGTH bytes, and hashes of each with SIDE bytes more to the left and to the right (0: there aren't so many).
 
-    Equal strings have equal least seeds at equal places, wherever they stand. All of equally small seeds are taken."""
+    Equal strings have equal least seeds at equal places, wherever they stand. All of equally small seeds are taken. A
+    string of LENGTH bytes over a seed holds SIDE bytes to its left or to its right, so one of the hashes recurs with it."""
     n = len(raw)
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     up, down = _power(n)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_LETTER[np.frombuffer(raw, np.uint8)] * down)])
     h = _mix((sums[SEED:] - sums[:-SEED]) * up[: n - SEED + 1])
     least = _slide(h, SEEDS, np.minimum)
     pad = np.zeros(SEEDS - 1, np.uint64)
     at = np.nonzero(_slide(np.concatenate([pad, least, pad]), SEEDS, np.maximum) == h)[0]
-    return at, h[at]
+
+    def wide(start: np.ndarray, kind: int) -> np.ndarray:
+        ok = (start >= 0) & (start + SEED + SIDE <= n)
+        a = start[ok]
+        out = np.zeros(len(at), np.uint64)
+        out[ok] = _mix((sums[a + SEED + SIDE] - sums[a]) * up[a] + np.uint64(kind)) | np.uint64(1)
+        return out
+
+    return at, wide(at - SIDE, 1), wide(at, 2)
 
 
 def common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
@@ -194,9 +207,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed), one for each row of `docs`; removed: array of (start, length).
 
     A byte is removed if a LENGTH-byte string over it starts anywhere else too. Texts with copies are removed whole from
-    LENGTH bytes on. Of distinct texts, only suffixes at seeds are sorted, at which every such string has one: seeds
-    whose hash occurs once can't be in a repeat. Tasks sort suffixes into front-coded runs; runs go to merges by sampled
-    splitters, ties being split by text and place, so a very common suffix doesn't gather in one merge. In a merge's order,
+    LENGTH bytes on. Of distinct texts, only suffixes at seeds are sorted, at which every such string has one: a seed
+    that occurs once only with the SIDE bytes to its left, and once with those to its right, isn't in a repeat. Tasks sort suffixes into front-coded runs; runs go to merges by sampled
+    splitters, which stand between seeds unless a seed alone has more than a merge; then ties are split by text and place, so
+    a very common suffix doesn't gather in one merge. In a merge's order,
     shared prefixes are known, and the bytes before the suffixes complete the strings. A class of suffixes that may
     go on in another merge sends its distinct strings' hashes to be counted over all merges.
 
@@ -209,14 +223,15 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for pdf in batches:
             raws = [t.encode("utf-8", "replace") for t in pdf["t"]]
             found = [seeds(r) for r in raws]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "sha": pdf["sha"], "n_bytes": [len(r) for r in raws], "at": [x[0] for x in found], "h": [x[1].view(np.int64) for x in found]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "sha": pdf["sha"], "n_bytes": [len(r) for r in raws], "at": [x[0] for x in found], "l": [x[1].view(np.int64) for x in found], "r": [x[2].view(np.int64) for x in found]})
 
-    all_docs = cut(src.mapInPandas(find, "doc_id long, sha string, n_bytes long, at array<int>, h array<long>"), "seeds")
-    texts = all_docs.groupBy("sha").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("at").alias("at"), F.first("h").alias("h"))
+    all_docs = cut(src.mapInPandas(find, "doc_id long, sha string, n_bytes long, at array<int>, l array<long>, r array<long>"), "seeds")
+    texts = all_docs.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("at").alias("at"), F.first("l").alias("l"), F.first("r").alias("r"))
     texts = cut(texts.filter(F.size("at") > 0).withColumn("uid", F.monotonically_increasing_id()), "texts")
-    flat = texts.select("uid", F.explode(F.arrays_zip("at", "h")).alias("x")).select("uid", "x.at", "x.h")
-    often = flat.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    places = flat.join(often, "h").groupBy("uid").agg(F.collect_list("at").alias("at"))
+    flat = texts.select("uid", F.explode(F.arrays_zip("at", "l", "r")).alias("x")).select("uid", "x.at", F.explode(F.array("x.l", "x.r")).alias("h")).filter("h <> 0")
+    # written first, so that the join's partitions can be split where a key is very common
+    often = cut(flat.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
+    places = _probable(flat, "h", often).join(often, "h").select("uid", "at").distinct().groupBy("uid").agg(F.collect_list("at").alias("at"))
     chosen = texts.select("uid", "sha", "doc_id").join(places, "uid")
     pick = src.join(chosen.withColumnRenamed("doc_id", "rep"), "sha").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
     cand = cut(pick.dropDuplicates(["uid"]).select("uid", "sha", "t", "at"), "candidates")
@@ -232,14 +247,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     merges = max(1, min(MOST_MERGES, -(-total // MERGE)))
     splitters: list[bytes] = []
     if merges > 1:
-        one_in = max(1, total // (merges * SAMPLES))
+        one_in = max(1, total // min(merges * SAMPLES, MOST_SAMPLES))
 
         def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 yield pd.DataFrame({"k": [k for k, *_ in keyed(pdf) if int.from_bytes(hashlib.blake2b(k[-12:], digest_size=8).digest()) % one_in == 0]})
 
         got = sorted(bytes(r[0]) for r in cand.mapInPandas(sample, "k binary").collect())
-        splitters = [got[i * len(got) // merges] for i in range(1, merges)] if got else []
+        # merges meet between seeds, but for seeds of which there is more than one merge
+        marks = [got[i * len(got) // merges] for i in range(1, merges)] if got else []
+        splitters = sorted({m if i and m[:SEED] == marks[i - 1][:SEED] else m[:SEED] for i, m in enumerate(marks)})
     held = spark.sparkContext.broadcast(splitters)
 
     def sort(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -258,17 +275,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     runs = cand.mapInPandas(sort, "target int, rest binary, shared array<int>, sizes array<int>, before binary, before_sizes array<int>")
 
     def by_target(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        own_rows: list[pd.DataFrame] = []
         for pdf in batches:
             for target, own in pdf.groupby("target", sort=True):
-                if held and held[0]["target"].iloc[0] != target:
-                    yield from merged(pd.concat(held))
-                    held = []
-                held.append(own)
-        if held:
-            yield from merged(pd.concat(held))
+                if own_rows and own_rows[0]["target"].iloc[0] != target:
+                    yield from merged(pd.concat(own_rows))
+                    own_rows = []
+                own_rows.append(own)
+        if own_rows:
+            yield from merged(pd.concat(own_rows))
 
     def merged(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        target = int(pdf["target"].iloc[0])
         lefts = []
         for before, sizes in zip(pdf["before"], pdf["before_sizes"]):
             ends = np.cumsum(sizes)
@@ -288,9 +306,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         low, high = spans_of(lcp, sizes, left, left_sizes)
         hit = high >= 0
         yield pd.DataFrame({"uid": uid[hit], "start": (at - high)[hit], "end": (at - low + LENGTH)[hit], "h": np.int64(0), "edge": False})
-        # classes at either end may go on in the neighbouring merges
+        # a seed's class goes on in the neighbouring merge where the splitter between them stands within it
         new = np.nonzero(lcp < SEED)[0]
-        edge = np.unique(np.concatenate([np.arange(0, new[new > 0][0] if (new > 0).any() else n), np.arange(new[-1] if len(new) else 0, n)]))
+        within = [0 < i + 1 <= len(held.value) and len(held.value[i]) > SEED and held.value[i][:SEED] == k[:SEED] for i, k in ((target - 1, keys[0]), (target, keys[-1]))]
+        first = np.arange(0, new[new > 0][0] if (new > 0).any() else n) if within[0] else np.zeros(0, np.int64)
+        last = np.arange(new[-1] if len(new) else 0, n) if within[1] else np.zeros(0, np.int64)
+        edge = np.unique(np.concatenate([first, last]))
         for k in range(0, len(edge), 8192):
             e = edge[k : k + 8192]
             for o, who, h in _edge_strings([keys[i][:-12] for i in e], left[e], left_sizes[e]):
@@ -300,7 +321,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     runs = runs.repartition(merges, "target").sortWithinPartitions("target")
     found = cut(runs.mapInPandas(by_target, "uid long, start long, end long, h long, edge boolean"), "found")
     edges = found.filter("edge").dropDuplicates(["h", "uid", "start"])
-    twice = edges.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    twice = cut(edges.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "twice")
     hits = found.filter("not edge").select("uid", "start", "end").unionByName(edges.join(twice, "h").select("uid", "start", "end"))
 
     def carve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -334,4 +355,4 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents")).drop("removed")
+    return repeats(table(spark, sf_dir, "documents"))

@@ -84,7 +84,12 @@ def test_packing(docs):
         assert at <= 2048
 
 
-def test_suffixes(docs):
+@pytest.mark.parametrize("merge", [20_000, 60, 7])
+def test_suffixes(docs, merge, monkeypatch):
+    monkeypatch.setattr(suffixes, "MERGE", merge)
+    shared = [prose(800 + i, 90) for i in range(3)]
+    more = [(100 + i, prose(900 + i, 40 + i) + " " + shared[i % 3][: 300 + 20 * (i % 14)] + " " + prose(950 + i, 50)) for i in range(60)]
+    docs = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(more, "doc_id long, text string"))
     got = {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.repeats(docs).collect()}
     raws = [(i, (t or "").encode()) for i, t in plain(docs)]
     seen = Counter(r[p : p + 400] for _, r in raws for p in range(len(r) - 399))
@@ -99,6 +104,20 @@ def test_suffixes(docs):
     assert got == want
 
 
+def test_token_ids():
+    """Ids of odd strings are those of the tokenizer itself."""
+    import random
+
+    import public_tokenizers
+
+    own, rng = packing.WordTokenizer.of(public_tokenizers.path("word_bpe_49k.json")), random.Random(3)
+    assert own.known
+    pool = [chr(i) for i in range(0x180)] + list("\u0301\u4e2d\u0429\u2003\u3000\u200b\u1e9e\u0130\u03a3\u0558")
+    for _ in range(4000):
+        text = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 14)))
+        assert own.encode(text).tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_merge_compares_no_known_prefix():
     runs = [sorted(f"{'a' * (i % 7)}{i * j % 97}".encode() for i in range(50)) for j in (3, 5, 7)]
     coded = [suffixes.decode(rest, s.tolist(), n.tolist()) for rest, s, n in map(suffixes.front_code, runs)]
