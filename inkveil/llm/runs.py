@@ -90,7 +90,9 @@ def in_common(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def runs(texts: DataFrame, src: DataFrame) -> DataFrame:
-    """Rows like those of `paragraphs.passages` for runs of over 50 words that occur before, by id and place; all are `removed`.
+    """Rows like those of `paragraphs.passages` for runs of over 50 words that occur before, by id and place; they are `removed`.
+
+    Besides, there is a row, not `removed`, for the first gram of each place where such a run was seen first.
 
     texts: rows of `paragraphs.prints`; src: (u, doc_id, t), their texts. Grams that occur once are left out by a join. Each
     other occurrence of a gram is compared with an earlier one: if the stretch to the next (or from the last) chosen gram
@@ -112,7 +114,7 @@ def runs(texts: DataFrame, src: DataFrame) -> DataFrame:
     )
     many = cut(flat.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "often")
     held = cut(_probable(flat, "g", many).join(many, "g"), "held")
-    me = F.struct("doc_id", "u", "w", "start")
+    me = F.struct("doc_id", "u", "w", "start", "stop")
     first = held.groupBy("g").agg(F.min(me).alias("f"))
     after = held.filter("c <> 0").groupBy("g", "c").agg(F.min(me).alias("fr"))
     before = held.filter("cp <> 0").groupBy("g", "cp").agg(F.min(me).alias("fl"))
@@ -153,4 +155,7 @@ def runs(texts: DataFrame, src: DataFrame) -> DataFrame:
     out = out.withColumn("new", F.coalesce(F.col("lo") > F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
     out = out.withColumn("run", F.sum(F.col("new").cast("int")).over(by))
     out = out.groupBy("doc_id", "u", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("hi") - F.min("lo")).alias("n_words"), F.min("f").alias("f"))
-    return out.filter(F.col("n_words") >= LEAST).select("doc_id", "start", (F.col("stop") - F.col("start")).alias("length"), "n_words", F.col("f.doc_id").alias("cluster_doc_id"), F.col("f.start").alias("cluster_start"), F.lit(True).alias("removed"))
+    out = cut(out.filter(F.col("n_words") >= LEAST), "runs")
+    length, place = (F.col("stop") - F.col("start")).alias("length"), [F.col("f.doc_id").alias("cluster_doc_id"), F.col("f.start").alias("cluster_start")]
+    kept = out.select("f.doc_id", "f.start", (F.col("f.stop") - F.col("f.start")).alias("length"), F.lit(GRAM).alias("n_words"), *place, F.lit(False).alias("removed")).distinct()
+    return out.select("doc_id", "start", length, "n_words", *place, F.lit(True).alias("removed")).unionByName(kept)
