@@ -181,8 +181,17 @@ def verified(members: DataFrame, sets: DataFrame, threshold: float, block: int =
         for pdf in batches:
             out = []
             for own in pdf["l"]:
-                found = alike([np.frombuffer(m["s"], np.uint64) for m in own], threshold)
-                out += [(own[i]["u"], own[j]["u"]) for i, j in found if own[i]["c"] != own[j]["c"]]
+                # only links that join what isn't joined yet, so a block gives fewer links than it has members
+                group = {m["c"]: m["c"] for m in own}
+                for i, j in alike([np.frombuffer(m["s"], np.uint64) for m in own], threshold):
+                    a, b = (own[x]["c"] for x in (i, j))
+                    while group[a] != a:
+                        a = group[a]
+                    while group[b] != b:
+                        b = group[b]
+                    if a != b:
+                        group[max(a, b)] = min(a, b)
+                        out.append((own[i]["u"], own[j]["u"]))
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
     more = cut(rest.select("l").mapInPandas(compare, "u long, v long").distinct(), "more")

@@ -115,9 +115,10 @@ def runs(texts: DataFrame, src: DataFrame) -> DataFrame:
     many = cut(flat.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "often")
     held = cut(_probable(flat, "g", many).join(many, "g"), "held")
     me = F.struct("doc_id", "u", "w", "start", "stop")
-    first = held.groupBy("g").agg(F.min(me).alias("f"))
-    after = held.filter("c <> 0").groupBy("g", "c").agg(F.min(me).alias("fr"))
-    before = held.filter("cp <> 0").groupBy("g", "cp").agg(F.min(me).alias("fl"))
+    # written first, so that the joins' partitions can be split where a gram is very common
+    first = cut(held.groupBy("g").agg(F.min(me).alias("f")), "firsts")
+    after = cut(held.filter("c <> 0").groupBy("g", "c").agg(F.min(me).alias("fr")), "firsts")
+    before = cut(held.filter("cp <> 0").groupBy("g", "cp").agg(F.min(me).alias("fl")), "firsts")
     gone = held.join(first, "g").filter(me > F.col("f")).join(after, ["g", "c"], "left").join(before, ["g", "cp"], "left")
     right, left = F.coalesce(F.col("fr") < me, F.lit(False)), F.coalesce(F.col("fl") < me, F.lit(False))
     gone = cut(gone.withColumns({"right": right, "left": left}), "gone")
