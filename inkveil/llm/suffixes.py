@@ -23,7 +23,7 @@ SEEDS = LENGTH - SEED + 1
 #: Bytes to the left or to the right of a seed of which a string over it holds at least one whole.
 SIDE = (LENGTH - SEED) // 2
 #: Suffixes of one merge, and the most merges, which bounds the splitters that are broadcast.
-MERGE, MOST_MERGES = 20_000, 200_000
+MERGE, MOST_MERGES = 50_000, 200_000
 #: Suffixes that a task sorts at a time.
 RUN = 20_000
 #: Keys from which a merge's splitter is taken, and the most keys that the driver sees.
@@ -180,9 +180,10 @@ def spans_of(lcp: np.ndarray, sizes: np.ndarray, left: np.ndarray, left_sizes: n
     return low, high
 
 
-def _edge_strings(right: list[bytes], left: np.ndarray, left_sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(o, members, hashes): the strings that start o bytes before each suffix, by 64-bit hashes, each distinct one once."""
-    sizes = np.array([len(x) for x in right])
+def _edge_strings(right: list[bytes], reach: np.ndarray, left: np.ndarray, left_sizes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(o, members, hashes): the strings that start o bytes before each suffix, by 64-bit hashes, each distinct one once.
+
+    reach: bytes that a suffix can share with any suffix of another merge, i.e. shares with the splitter between them."""
     block = np.zeros((len(right), LENGTH), np.uint8)
     for i, x in enumerate(right):
         block[i, : len(x)] = np.frombuffer(x, np.uint8)
@@ -197,7 +198,7 @@ def _edge_strings(right: list[bytes], left: np.ndarray, left_sizes: np.ndarray)
     for o in range(SEEDS):
         if o:
             before = before + _LETTER[left[:, o - 1]] * up[o - 1]
-        ok = np.nonzero((left_sizes >= o) & (sizes >= LENGTH - o))[0]
+        ok = np.nonzero((left_sizes >= o) & (reach >= LENGTH - o))[0]
         if len(ok):
             h, first = np.unique(_mix(before[ok] * up[LENGTH - o] + total[ok, o]), return_index=True)
             yield o, ok[first], h
@@ -312,9 +313,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         first = np.arange(0, new[new > 0][0] if (new > 0).any() else n) if within[0] else np.zeros(0, np.int64)
         last = np.arange(new[-1] if len(new) else 0, n) if within[1] else np.zeros(0, np.int64)
         edge = np.unique(np.concatenate([first, last]))
+        reach = np.zeros(n, np.int64)
+        if len(first):
+            shares = np.append(common_prefix(keys[0], held.value[target - 1]), lcp[1 : len(first)])
+            reach[first] = np.minimum.accumulate(shares)
+        if len(last):
+            shares = np.append(common_prefix(keys[-1], held.value[target]), lcp[last[-1] : last[0] : -1])
+            reach[last] = np.maximum(reach[last], np.minimum.accumulate(shares)[::-1])
         for k in range(0, len(edge), 8192):
             e = edge[k : k + 8192]
-            for o, who, h in _edge_strings([keys[i][:-12] for i in e], left[e], left_sizes[e]):
+            for o, who, h in _edge_strings([keys[i][:-12] for i in e], np.minimum(reach, sizes)[e], left[e], left_sizes[e]):
                 yield pd.DataFrame({"uid": uid[e[who]], "start": at[e[who]] - o, "end": at[e[who]] - o + LENGTH, "h": h.view(np.int64), "edge": True})
 
     # a partition has whole merges, one after the other
@@ -344,10 +352,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pd.DataFrame(rows, columns=["sha", "removed", "kept"])
 
     carved = cand.join(hits.distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "uid").mapInPandas(carve, "sha string, removed array<struct<start:long,length:long>>, kept string")
-    copies = all_docs.groupBy("sha").agg(F.count("*").alias("copies")).join(carved, "sha", "left")
-    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= LENGTH)
+    # written first, so that the join's partitions can be split where a text has very many copies
+    copies = cut(all_docs.groupBy("sha").agg(F.count("*").alias("copies")).join(carved, "sha", "left").filter("copies > 1 or removed is not null"), "copies")
+    whole = (F.coalesce("copies", F.lit(1)) > 1) & (F.col("n_bytes") >= LENGTH)
     spans = F.when(whole, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("length")))).otherwise(F.coalesce("removed", F.array().cast("array<struct<start:long,length:long>>")))
-    out = all_docs.select("doc_id", "sha", "n_bytes").join(copies, "sha").withColumn("removed", spans)
+    out = all_docs.select("doc_id", "sha", "n_bytes").join(copies, "sha", "left").withColumn("removed", spans)
     return out.select(
         "doc_id", "n_bytes", F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["length"]).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", "sha")).alias("kept_sha256"), "removed",
