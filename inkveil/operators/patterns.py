@@ -25,6 +25,31 @@ PATTERNS = (
     ("IP_ADDRESS_P", "ipv6_simple_pattern", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", 0.90),
     ("MEDICAL_LICENSE_P", "norwegian_hpr_number", r"\bHPR-(?:\d{7}|[A-Z0-9]{9})\b", 0.90),
 )
+# The patterns that take parts of others with a word in front, times, addresses of streets, of the web and of coins.
+MORE_PATTERNS = (
+    ("NO_ADDRESS_P", "street_postcode_city", r"\b[ÆØÅA-Z][\wÆØÅæøå.\- ]+?\s+\d+\s*[A-Za-z]?(?:\s*[A-Za-z]\d+)?\s*,?\s*\d{4}\s+[A-ZÆØÅæøå][A-Za-zÆØÅæøå]*(?:\s+[A-ZÆØÅæøå][A-Za-zÆØÅæøå]*)*\b", 0.90),
+    ("NO_ADDRESS_P", "street_and_number", r"\b[ÆØÅA-Z][A-Za-zÆØÅæøå.\- ]+(?:gate|gata|vei|veien|veg|vegen|plass|allé|alle|tun)\s+\d+\s*[A-Za-z]?\b", 0.60),
+    ("NO_COMPANY_NUMBER_P", "company_number_with_prefix", r"\b(?:organisasjonsnummer|organisasjonsnr|orgnr|org\.nr\.|org\s?nr)\.?:?\s*\d{3}[\s]?\d{3}[\s]?\d{3}\b", 0.90),
+    ("NO_LICENSE_PLATE_P", "license_plate_with_prefix", r"\b(?:reg\.?(?:istrerings)?nr\.?|bilnr\.?|bilskilt:?)\s*[A-Z]{2}[\s]?\d{4,5}\b", 0.90),
+    ("EMAIL_ADDRESS_P", "email_with_prefix_unicode", r"\b(?:e-post|epost|mail|e-mail):?\s*[A-Za-z0-9._%+\-ÆØÅæøå]+@[A-Za-z0-9.\-ÆØÅæøå]+\.[A-Za-zÆØÅæøå]{2,}\b", 0.95),
+    ("DATE_TIME_P", "norwegian_date_time", r"\b(?:0?[1-9]|[12][0-9]|3[01])\.(?:0?[1-9]|1[0-2])\.\d{2,4}\s+(?:[01]?\d|2[0-3]):[0-5]\d\b", 0.70),
+    ("DATE_TIME_P", "norwegian_text_date", r"\b(?:0?[1-9]|[12][0-9]|3[01])\.?\s*(?:januar|februar|mars|april|mai|juni|juli|august|september|oktober|november|desember)\s*\d{2,4}\b", 0.70),
+    ("CRYPTO_P", "bitcoin_address", r"\b(bc1|[13])[a-zA-HJ-NP-Z0-9]{25,39}\b", 0.85),
+    ("URL_P", "url_pattern", r"https?://(?:[-\w.]|(?:%[\da-fA-F]{2}))+[^\s,]", 0.70),
+    ("URL_P", "domain_pattern", r"\b(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+[a-z0-9][a-z0-9-]{0,61}[a-z0-9]\b", 0.70),
+)
+# Patterns with look-around, which only Java's expressions have; spaces behind a label are 20 at most.
+LOOKING_PATTERNS = (
+    ("PERSON_P", "person_first_last", r"\b[ÆØÅA-Z][æøåa-z]+(?:-[ÆØÅA-Z][æøåa-z]+)?(?:\s+[ÆØÅA-Z][æøåa-z]+(?:-[ÆØÅA-Z][æøåa-z]+)?)+\b(?!\s+(?:gate|vei|veien|gata|veg|vegen|kommune)\b)", 0.55),
+    ("PERSON_P", "person_single_labeled", r"(?<=\b(?:navn|fornavn|etternavn)\s{0,20}:?\s{0,20})[ÆØÅA-Z][æøåa-z]{2,}\b", 0.70),
+    ("NO_PHONE_NUMBER_P", "norwegian_phone_flex", r"(?<!\d)(?:\+47|0047)?\s*(?:\d[\s\-]?){7}\d(?!\d)", 0.70),
+    ("NO_PHONE_NUMBER_P", "norwegian_phone_plain", r"(?<!\d)\d{8}(?!\d)", 0.50),
+)
+#: What a text must hold for a pattern to match at all; digits for those not named.
+NEEDS = {
+    "email_pattern_unicode": "@", "email_with_prefix_unicode": "@", "ethereum_address": "0x", "norwegian_hpr_number": "-", "url_pattern": "://", "domain_pattern": ".", "ipv4_pattern": ".", "ipv6_simple_pattern": ":",
+    "norwegian_date_numeric": ".", "iso_date_pattern": "-", "norwegian_date_time": ":", "person_first_last": " ", "person_single_labeled": "navn",
+}
 
 
 def _entity(kind: str, name: str, score: float) -> Callable[[Column], Column]:
@@ -37,20 +62,23 @@ def _entity(kind: str, name: str, score: float) -> Callable[[Column], Column]:
 def detect(docs: DataFrame, patterns: tuple = PATTERNS) -> DataFrame:
     """Rows (doc_id, entity_type, pattern, start, end, score, original_text). Offsets count characters from 0.
 
-    One pass over the texts: matches and the pieces between them give the places, all in JVM expressions. Null texts have none."""
+    Matches and the pieces between them give the places, all in JVM expressions; a text is only gone through for patterns
+    whose needs it meets. Letters of any script count as such for case and word borders. Null texts have none."""
     found = []
+    none = F.array().cast("array<struct<start:int,m:string>>")
+    digits = F.col("text").rlike("[0-9]")
     for kind, name, expression, score in patterns:
-        rx = F.lit("(?i)" + expression)
-        hits = F.regexp_extract_all("text", rx, F.lit(0))
-        gaps = F.split(F.col("text"), "(?i)" + expression, -1)
+        rx = "(?iu)" + expression
+        hits = F.regexp_extract_all("text", F.lit(rx), F.lit(0))
+        gaps = F.split(F.col("text"), rx, -1)
         zipped = F.arrays_zip(hits.alias("m"), F.slice(gaps, 1, F.size(hits)).alias("g"))
         spans = F.aggregate(
             zipped,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,m:string>>").alias("out")),
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
             lambda a, x: F.struct((a["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["g"])).alias("start"), x["m"].alias("m")))).alias("out")),
         )["out"]
-        none = F.array().cast("array<struct<start:int,m:string>>")
-        found.append(F.transform(F.when(F.size(hits) > 0, spans).otherwise(none), _entity(kind, name, score)))
+        needs = F.contains(F.lower("text"), F.lit(NEEDS[name])) if name in NEEDS else digits
+        found.append(F.transform(F.when(needs & F.col("text").rlike(rx), spans).otherwise(none), _entity(kind, name, score)))
     return docs.filter("text is not null").select("doc_id", F.explode(reduce(F.concat, found)).alias("e")).select("doc_id", "e.*")
 
 
@@ -58,9 +86,13 @@ def _quoted(s: str) -> str:
     return s.replace("'", "''")
 
 
-#: The same rows in DuckDB's SQL.
-DETECT_SQL = "SELECT doc_id, entity_type, pattern, start::INT AS start, (start + length(m))::INT AS \"end\", score::DOUBLE AS score, m AS original_text FROM (\n" + "\nUNION ALL ".join(
-    f"SELECT doc_id, '{k}' AS entity_type, '{n}' AS pattern, {v} AS score, unnest(m) AS m, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))) AS start"
-    f" FROM (SELECT doc_id, regexp_extract_all(text, '(?i){_quoted(e)}') AS m, regexp_split_to_array(text, '(?i){_quoted(e)}') AS g FROM documents WHERE text IS NOT NULL)"
-    for k, n, e, v in PATTERNS
-) + ")"
+def detect_sql(patterns: tuple, source: str = "documents") -> str:
+    """The same rows in DuckDB's SQL, of patterns without look-around."""
+    return "SELECT doc_id, entity_type, pattern, start::INT AS start, (start + length(m))::INT AS \"end\", score::DOUBLE AS score, m AS original_text FROM (\n" + "\nUNION ALL ".join(
+        f"SELECT doc_id, '{k}' AS entity_type, '{n}' AS pattern, {v} AS score, unnest(m) AS m, unnest(list_transform(range(1, len(m) + 1), lambda i: list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0))) AS start"
+        f" FROM (SELECT doc_id, regexp_extract_all(text, '(?i){_quoted(e)}') AS m, regexp_split_to_array(text, '(?i){_quoted(e)}') AS g FROM {source} WHERE text IS NOT NULL)"
+        for k, n, e, v in patterns
+    ) + ")"
+
+
+DETECT_SQL = detect_sql(PATTERNS)

@@ -19,9 +19,10 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     "entity_method_join": "SELECT l_orderkey, l_linenumber, s_name FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey WHERE l_quantity / 50 >= 0.85",
     "document_summary": "SELECT o_orderkey, count(l_orderkey) AS n_entities FROM {orders} LEFT JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_orderkey",
     "ban_semi_join": "SELECT event_id, user_id FROM {events} WHERE EXISTS (SELECT 1 FROM {customer} WHERE c_custkey = user_id AND c_acctbal < 0)",
-    "not_yet_processed": "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)",
+    "not_yet_processed": "SELECT c_custkey FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')",
     "common_files": "SELECT c_custkey AS id FROM {customer} INTERSECT SELECT o_custkey AS id FROM {orders}",
-    "rows_left": "SELECT c_custkey AS id FROM {customer} EXCEPT SELECT o_custkey AS id FROM {orders}",
+    "all_parties": "SELECT c_name AS name, c_nationkey AS nation FROM {customer} UNION SELECT s_name, s_nationkey FROM {supplier}",
+    "rows_left": "SELECT c_custkey AS id FROM {customer} EXCEPT SELECT o_custkey AS id FROM {orders} WHERE o_orderstatus = 'P'",
     "type_count_comparison": "SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS n_a, coalesce(b.n, 0) AS n_b, coalesce(a.n, 0) - coalesce(b.n, 0) AS difference FROM (SELECT l_returnflag AS k, count(*) AS n FROM {lineitem} GROUP BY 1) a FULL OUTER JOIN (SELECT o_orderstatus AS k, count(*) AS n FROM {orders} GROUP BY 1) b ON a.k = b.k",
     # filters
     "score_threshold": "SELECT l_orderkey, l_linenumber, l_quantity / 50 AS score FROM {lineitem} WHERE coalesce(l_quantity / 50, 0) >= 0.85",
@@ -55,7 +56,6 @@ STATEMENTS: dict[str, str | tuple[str, str]] = {
     # scalars
     "operation_id": ("SELECT doc_id, substring(sha2(text, 256), 1, 16) AS operation_id FROM {documents}", "SELECT doc_id, substring(sha256(text), 1, 16) AS operation_id FROM documents"),
     "cache_key": ("SELECT doc_id, md5(concat_ws('|', text, lang)) AS k FROM {documents}", "SELECT doc_id, md5(concat_ws('|', text, lang)) AS k FROM documents"),
-    "truncate_at_space": ("SELECT doc_id, regexp_replace(substring(text, 1, 200), ' [^ ]*$', '') AS t FROM {documents}", "SELECT doc_id, regexp_replace(substring(text, 1, 200), ' [^ ]*$', '') AS t FROM documents"),
     "slash_scrub": ("SELECT doc_id, length(text) - length(replace(text, '*', '')) AS n_stars, replace(replace(text, '*', ''), '/', '') AS t FROM {documents}", "SELECT doc_id, length(text) - length(replace(text, '*', '')) AS n_stars, replace(replace(text, '*', ''), '/', '') AS t FROM documents"),
     "log_category": "SELECT event_id, CASE WHEN event_type = 'error' THEN 'sensitive' WHEN event_type IN ('signup', 'purchase') THEN 'personal' ELSE 'standard' END AS category FROM {events}",
     "mask_name": ("SELECT c_custkey, concat(substring(c_name, 1, 1), repeat('*', length(c_name) - 2), substring(c_name, -1)) AS masked FROM {customer} WHERE length(c_name) > 2", "SELECT c_custkey, concat(substring(c_name, 1, 1), repeat('*', length(c_name) - 2), substring(c_name, -1, 1)) AS masked FROM customer WHERE length(c_name) > 2"),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.operators import boxes, numbering, patterns, relational, text
+from inkveil.plans import entity_queries, record_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +92,24 @@ SQL |= {
     "chunk_split": "SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / ceil((SELECT count(*) FROM documents) / 7.0)) AS INT) AS chunk FROM documents",
     "verification_sample": "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents) t WHERE rn % 10 = 0",
 }
+
+
+_SAMPLE = (
+    "SELECT o_orderkey AS doc_id, concat('Ærlig talt: Storgata vei ', o_orderkey % 90, ', 0150 Oslo. Org.nr. 123 456 ', 100 + o_orderkey % 800, ', reg.nr. AB 12345, epost: ola', o_custkey, '@firma.no, 12.03.2024 14:30, 3. mars 2024,"
+    " 1BoatSLRHtKNngkdXEeobR76b53LETtpyT, https://www.firma.no/side, kontonr. 1234 56 78901, 01019012345, NO93 8601 1117 947, 0x52908400098527886E0F7030069857D2E4169EE7, fe80:0:0:0:1:2:3:4, HPR-1234567, 2024-02-03, 10.0.0.', o_orderkey % 256) AS text FROM {}"
+)
+_ALL = patterns.PATTERNS + patterns.MORE_PATTERNS
+
+
+def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All patterns without look-around over texts in which each has a hit."""
+    return patterns.detect(spark.sql(_SAMPLE.format(f"parquet.`{sf_dir}/orders.parquet`")), _ALL)
+
+
+def detect_looking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns with look-around (persons, phones), for which DuckDB has no expressions; tests hold them against Python's."""
+    return patterns.detect(spark.read.parquet(f"{sf_dir}/documents.parquet"), patterns.LOOKING_PATTERNS)
+
+
+QUERIES |= {"detect_all": detect_all, "detect_looking": detect_looking} | entity_queries.QUERIES | record_queries.QUERIES
+SQL |= {"detect_all": patterns.detect_sql(_ALL, f"({_SAMPLE.format('orders')}) d")} | entity_queries.SQL | record_queries.SQL
