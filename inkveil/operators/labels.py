@@ -170,3 +170,8 @@ def mapped_names(names: DataFrame, targets: DataFrame, fuzzy: bool = True, least
         best = near.groupBy("name").agg(F.max_by("target", F.struct("_s", "target")).alias("_near"))
         out = out.join(best, "name", "left").withColumn("target", F.coalesce("target", "_near"))
     return out.select("name", "target")
+
+
+def gathered(pages: Column | str) -> Column:
+    """The entities of nested answers, pages of texts of entities, as one list."""
+    return F.flatten(F.transform(_col(pages), lambda p: F.flatten(F.filter(F.transform(p["text"], lambda t: t["entities"]), lambda e: e.isNotNull()))))

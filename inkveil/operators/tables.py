@@ -209,3 +209,34 @@ def opened(sealed_text: Column | str, key: Column) -> Column:
 def write_by_day(rows: DataFrame, path: str, time_col: str) -> None:
     """Append rows as JSON lines under a folder for each day."""
     rows.withColumn("date", F.to_date(time_col)).write.mode("append").partitionBy("date").json(path)
+
+
+def next_unprocessed(files: DataFrame, done: DataFrame, key: str, most: int) -> DataFrame:
+    """The first `most` files, by key, that aren't done."""
+    return files.join(done.select(key).distinct(), key, "left_anti").orderBy(key).limit(most)
+
+
+def first_files(files: DataFrame, order: str, most: int = 10) -> DataFrame:
+    """A batch of files, of `most` at most; the rest is left for another batch."""
+    return files.orderBy(order).limit(most)
+
+
+def random_files(files: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
+    """`n` files drawn by a hash of the seed and their key, the same at every run."""
+    return files.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
+
+
+def staged(files: DataFrame, mappings: DataFrame, key: str = "pos") -> DataFrame:
+    """Files with their redaction mappings by position and a status: ready, or what is missing."""
+    both = files.withColumn("_f", F.lit(True)).join(mappings.withColumn("_m", F.lit(True)), key, "full")
+    return both.withColumn("status", F.when(F.col("_f").isNull(), "no file").when(F.col("_m").isNull(), "no mapping").otherwise("ready")).drop("_f", "_m")
+
+
+def idle(clients: DataFrame, now: Column, minutes: int, seen: str = "last_seen") -> DataFrame:
+    """Clients not seen for so long, whose limiters go."""
+    return clients.filter(F.col(seen) < now - F.make_dt_interval(mins=F.lit(minutes)))
+
+
+def verified_keys(given: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
+    """Given (key_id, secret) whose hash is that of a key that hasn't expired."""
+    return given.withColumn("key_hash", F.sha2("secret", 256)).join(alive(keys, now).select("key_id", "key_hash"), ["key_id", "key_hash"], "left_semi").select(*given.columns)

@@ -4,13 +4,14 @@ Stand-ins: orders give log fields (a name and a value), events log lines and req
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.functions import masking
-from inkveil.operators import labels, tables
+from inkveil.operators import labels, models, tables
 from inkveil.sources import logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -405,3 +406,86 @@ def json_repair(spark, sf_dir):
 def answer_json(spark, sf_dir):
     raw = F.expr("""CASE o_orderkey % 3 WHEN 0 THEN 'Here: ```json\n{"a":1}\n``` ok' WHEN 1 THEN 'json {"b":{"c":2}} and {x' ELSE 'sorry' END""")
     return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), labels.answer(raw).alias("answer"))
+
+
+# listings, samples and keys
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20 OFFSET 20")
+def listed_customers(spark, sf_dir):
+    return tables.listed(_table(spark, sf_dir, "customer"), [F.desc("c_acctbal"), F.col("c_custkey")], 20, 2).select("c_custkey", "c_name")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' ORDER BY l_shipdate DESC, l_orderkey, l_linenumber LIMIT 50")
+def entities_of_method(spark, sf_dir):
+    li = tables.where(_table(spark, sf_dir, "lineitem"), l_returnflag="R", l_linestatus="F")
+    return tables.listed(li, [F.desc("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")], 50).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_custkey AS k FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1 ORDER BY 1 LIMIT 15")
+def next_files(spark, sf_dir):
+    done = _table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("k"))
+    return tables.next_unprocessed(_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")).distinct(), done, "k", 15)
+
+
+@query("SELECT p_partkey FROM part ORDER BY p_name, p_partkey LIMIT 10")
+def first_files(spark, sf_dir):
+    p = _table(spark, sf_dir, "part").withColumn("o", F.struct("p_name", "p_partkey"))
+    return tables.first_files(p, "o").select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part ORDER BY md5('5:' || p_partkey), p_partkey LIMIT 12")
+def random_files(spark, sf_dir):
+    return tables.random_files(_table(spark, sf_dir, "part"), "p_partkey", 12, 5).select("p_partkey")
+
+
+@query("SELECT coalesce(c_custkey, s_suppkey + 145) AS pos, CASE WHEN c_custkey IS NULL THEN 'no file' WHEN s_suppkey IS NULL THEN 'no mapping' ELSE 'ready' END AS status FROM (SELECT c_custkey FROM customer WHERE c_custkey <= 150) c FULL JOIN (SELECT s_suppkey FROM supplier WHERE s_suppkey <= 10) s ON c_custkey = s_suppkey + 145")
+def staged_files(spark, sf_dir):
+    files = _table(spark, sf_dir, "customer").filter("c_custkey <= 150").select(F.col("c_custkey").alias("pos"))
+    return tables.staged(files, _table(spark, sf_dir, "supplier").filter("s_suppkey <= 10").select((F.col("s_suppkey") + 145).alias("pos"))).select("pos", "status")
+
+
+@query("SELECT user_id FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 60 MINUTE")
+def idle_clients(spark, sf_dir):
+    seen = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_seen"))
+    return tables.idle(seen, F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"), 60).select("user_id")
+
+
+@query("SELECT c_custkey AS key_id FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 4 <> 1")
+def verified_keys(spark, sf_dir):
+    c = _table(spark, sf_dir, "customer")
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp_ntz")
+    keys = c.select(F.col("c_custkey").alias("key_id"), F.sha2("c_name", 256).alias("key_hash"), F.expr("CASE c_custkey % 4 WHEN 0 THEN NULL WHEN 1 THEN timestamp_ntz '2024-01-01 00:00:00' ELSE timestamp_ntz '2025-01-01 00:00:00' END").alias("expires_at"))
+    given = c.select(F.col("c_custkey").alias("key_id"), F.expr("CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'wrong' END").alias("secret"))
+    return tables.verified_keys(given, keys, now).select("key_id")
+
+
+@query("SELECT c_custkey AS user_id, CASE WHEN c_custkey % 2 = 0 THEN 'dark' ELSE 'system' END AS theme FROM customer")
+def default_settings(spark, sf_dir):
+    users = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    own = users.filter("user_id % 2 = 0").withColumn("theme", F.lit("dark"))
+    return tables.add_missing(own, users.withColumn("theme", F.lit("system")), ["user_id"])
+
+
+@query("SELECT o_orderkey AS id, text, type FROM orders, (VALUES ('a', 'A'), ('b', 'B')) t(text, type) WHERE o_orderkey % 2 = 0 OR type = 'A'")
+def gathered_entities(spark, sf_dir):
+    nested = F.expr("array(named_struct('text', array(named_struct('entities', array(named_struct('text', 'a', 'type', 'A'))))), named_struct('text', array(named_struct('entities', CASE WHEN o_orderkey % 2 = 0 THEN array(named_struct('text', 'b', 'type', 'B')) END))))")
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), nested.alias("pages"))
+    return o.select("id", F.explode(labels.gathered("pages")).alias("e")).select("id", "e.text", "e.type")
+
+
+@query("SELECT item_id, 'Find names in: ' || text || chr(10) || 'Answer in English as JSON {\"names\": []}.' AS p FROM benchmark")
+def prompts(spark, sf_dir):
+    b = _table(spark, sf_dir, "benchmark")
+    return b.select("item_id", models.prompt('Find names in: {text}\nAnswer in {lang} as JSON {"names": []}.', text=F.col("text"), lang=F.lit("English")).alias("p"))
+
+
+@query("SELECT doc_id, 0 AS page, 'CODE' AS entity_type, m AS original_text, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{4}')) AS m FROM documents) t GROUP BY ALL")
+def recognised(spark, sf_dir):
+    """The slot of a model, with digits in groups of four as the model's finds."""
+
+    def model(pieces):
+        return [[(m.start(), m.end(), "CODE", 0.9) for m in re.finditer(r"[0-9]{4}", p)] for p in pieces]
+
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page"), "text")
+    return models.recognise(d, model).groupBy("doc_id", "page", "entity_type", "original_text").agg(F.count("*").alias("n"))
