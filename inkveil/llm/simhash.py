@@ -50,8 +50,9 @@ def _under(fp: Column, positions: tuple[int, ...]) -> Column:
 
 
 def post(nodes: DataFrame, lists: list[tuple[int, ...]]) -> DataFrame:
-    """`nodes` (u, fp) once for each set of positions, with the list's key `h`."""
-    return nodes.withColumn("h", F.explode(F.array(*[_under(F.col("fp"), p) for p in lists])))
+    """`nodes` (u, fp) once for each set of positions, with the list's key `h`. Dealt out before, for a small table has few partitions but gives many rows."""
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.repartition(n, "u").withColumn("h", F.explode(F.array(*[_under(F.col("fp"), p) for p in lists])))
 
 
 def close_pairs(x: np.ndarray, bits: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
