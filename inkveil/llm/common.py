@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: spark.checkpoint.dir, or one of our own where it is unset (tests, local mode)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
         at = "file://" + os.path.join(tempfile.gettempdir(), "inkveil-shared")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")

@@ -23,6 +23,8 @@ BLOCK = 8
 #: Postings of one index shard, the bound of what is broadcast at once; a larger benchmark is taken shard by shard.
 SHARD_POSTINGS = 2_000_000
 K1, B = 1.2, 0.75
+#: Bounds (halves x blocks) that are computed at once.
+CELLS = 1 << 20
 
 
 #: ASCII characters that end a word become spaces.
@@ -109,11 +111,16 @@ class Index:
         n = max(1, -(-n_words // HALF))
         key = np.unique(at // HALF * len(self.terms) + found)
         half, term = key // len(self.terms), key % len(self.terms)
-        size = self.first[term + 1] - self.first[term]
-        posting = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.first[term], size)
-        bound = np.bincount(np.repeat(half, size) * self.blocks + self.block[posting], self.weight[posting], n * self.blocks).reshape(n, -1)
-        passage = bound[:-1] + bound[1:] if n > 1 else bound
-        return np.nonzero((passage >= least - 1e-9).any(1))[0].tolist()
+        out: set[int] = set()
+        step = max(1, min(n, CELLS // self.blocks))
+        for first in range(0, max(1, n - 1), step):  # some halves at a time, so very long texts and large indexes need little memory
+            a, b = np.searchsorted(half, [first, first + step + 1])
+            own, size = term[a:b], self.first[term[a:b] + 1] - self.first[term[a:b]]
+            posting = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.first[own], size)
+            bound = np.bincount(np.repeat(half[a:b] - first, size) * self.blocks + self.block[posting], self.weight[posting], (step + 1) * self.blocks).reshape(step + 1, -1)
+            passage = bound[:-1] + bound[1:] if n > 1 else bound[:1]
+            out.update((np.nonzero((passage >= least - 1e-9).any(1))[0] + first).tolist())
+        return sorted(h for h in out if h < max(1, n - 1))
 
     def search(self, terms: list[int], least: float) -> list[tuple[int, float]]:
         """All probes that score `least` or more for distinct `terms`: block-max WAND with a fixed threshold."""

@@ -145,12 +145,12 @@ def alike(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int]]
     return zip(i.tolist(), j.tolist())
 
 
-def _probable(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of which `wanted` may hold the key: all that it holds and a few others, by a bitmap of at most BITMAP / 32 rows."""
+def _probable(rows: DataFrame, key: str, wanted: DataFrame, absent: bool = False) -> DataFrame:
+    """Rows of which `wanted` may hold the key: all that it holds and a few others, by a bitmap of at most BITMAP / 32 rows; `absent`: all the other rows."""
     place = F.pmod(F.xxhash64(key), F.lit(BITMAP))
     bits = wanted.select(place.alias("p")).groupBy(F.expr("cast(p div 32 AS int)").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 AS int)))").alias("_bits"))
-    held = rows.withColumn("_p", place).withColumn("_w", F.expr("cast(_p div 32 AS int)")).join(F.broadcast(bits), "_w")
-    return held.filter("(shiftright(_bits, cast(_p % 32 AS int)) & 1) = 1").select(*rows.columns)
+    held = rows.withColumn("_p", place).withColumn("_w", F.expr("cast(_p div 32 AS int)")).join(F.broadcast(bits), "_w", "left" if absent else "inner")
+    return held.filter(f"(shiftright(coalesce(_bits, 0L), cast(_p % 32 AS int)) & 1) = {0 if absent else 1}").select(*rows.columns)
 
 
 def verified(members: DataFrame, sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:

@@ -15,7 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import cut, scratch, table
+from .paragraphs import _probable
 
 #: Bytes of records in a frame, and of frames in a bundle, from which the next one is begun.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 24 << 20
@@ -37,14 +38,16 @@ def record(row_id: int | None, url: str | None, payload: bytes, refers_to: int |
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     url = "".join(c for c in url or "" if c > " ")
+    sha = digest(payload)
+    name = lambda i: f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{i} {sha}')}>"
     fields = {
-        "WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{row_id} {url}')}>", "WARC-Date": date, "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{digest(payload)}",
+        "WARC-Type": "response" if refers_to is None else "revisit", "WARC-Record-ID": name(row_id), "WARC-Date": date, "WARC-Target-URI": url, "WARC-Payload-Digest": f"sha1:{sha}",
         "Content-Type": "application/http;msgtype=response", "Content-Length": len(block),
     }
     if row_id is not None:
         fields["X-Row-Id"] = row_id
     if refers_to is not None:
-        fields |= {"WARC-Profile": PROFILE, "X-Refers-To-Row-Id": refers_to}
+        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": name(refers_to), "X-Refers-To-Row-Id": refers_to}
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + "\r\n").encode() + block + b"\r\n\r\n"
 
 
@@ -143,7 +146,11 @@ def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
         if b.index:
             yield pd.DataFrame({"value": [b.finish()[: -len(FOOTER)]]})
 
-    rows = src.join(revisits, ["id", "sha"], "left").select("id", "url", "p", "first").mapInPandas(bundle, "value binary")
+    # most payloads can't be revisits, as a bitmap tells, and need no shuffle
+    revisits = cut(revisits, "revisits")
+    maybe = _probable(src, "id", revisits).join(revisits, ["id", "sha"], "left").select("id", "url", "p", "first")
+    others = _probable(src, "id", revisits, absent=True).select("id", "url", "p", F.lit(None).cast("long").alias("first"))
+    rows = others.unionByName(maybe).mapInPandas(bundle, "value binary")
     rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", FOOTER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
