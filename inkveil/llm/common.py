@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,21 +38,38 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/inkveil-{kind}-{uuid.uuid4().hex}"
 
 
+_made: list[str] = []
+
+
 def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: lineage ends there and a lost executor costs no earlier work."""
     spark = df.sparkSession
     path = scratch(spark, kind)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by cut() that no later step reads."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/inkveil-" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+
+
+def settled(make: Callable[[], DataFrame], kind: str) -> DataFrame:
+    """The table that `make` gives, written; the tables that cut() wrote for it meanwhile are deleted."""
+    mark = len(_made)
+    out = cut(make(), kind)
+    for path in _made[mark:-1]:
+        _delete(out.sparkSession, path)
+    del _made[mark:-1]
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:

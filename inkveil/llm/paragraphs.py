@@ -318,7 +318,12 @@ def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
             out.append(rest if rest.strip() else "")
         return pd.Series(out, dtype=object)
 
-    return docs.join(own, docs[id_col] == F.col("_id"), "left").withColumn(text_col, without(F.col(text_col), F.col("_spans"))).select(*docs.columns)
+    own = cut(own, "spans")
+    # most texts have no spans, as a bitmap tells, and need no shuffle
+    keyed = own.withColumnRenamed("_id", id_col)
+    maybe = _probable(docs, id_col, keyed)
+    done = maybe.join(own, maybe[id_col] == F.col("_id"), "left").withColumn(text_col, without(F.col(text_col), F.col("_spans"))).select(*docs.columns)
+    return _probable(docs, id_col, keyed, absent=True).unionByName(done)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
