@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm import decontamination, packing, paragraphs, quality_crf, simhash
-from inkveil.llm.common import cut, table
+from inkveil.llm.common import cut, settled, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,31 +16,51 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with a key `_row` of its own for each row, in the order they are read. Written, so that the keys stay; no shuffle."""
-    return cut(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    """`docs` with a key `_row` from id and text, the same at every reading, so nothing has to be written; equal rows share it.
+
+    Ids from 0 to below 2 ** 30 come in their order, with 32 bits of the text's hash; others behind them, by 62 bits of a hash of
+    id and text. Other rows share a key by chance only: of n texts with one such id, n * n / 2 ** 33 pairs."""
+    small = F.col("doc_id").between(0, (1 << 30) - 1)
+    own = F.col("doc_id").cast("long") * (1 << 32) + F.pmod(F.xxhash64("text"), F.lit(1 << 32))
+    other = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
+    return docs.withColumn("_row", F.when(small, own).otherwise(other))
+
+
+def single(rows: DataFrame) -> DataFrame:
+    """Each of equal rows (id and text) once; only repeated ones are shuffled if they are few."""
+    twice = cut(rows.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").select("_row"), "twice")
+    return without(rows, twice).unionByName(paragraphs._probable(rows, "_row", twice).join(twice, "_row", "left_semi").dropDuplicates(["_row"]).select(*rows.columns))
+
+
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose `_row` isn't in `gone`; those that a bitmap clears aren't shuffled."""
+    maybe = paragraphs._probable(rows, "_row", gone).join(gone, "_row", "left_anti").select(*rows.columns)
+    return paragraphs._probable(rows, "_row", gone, absent=True).unionByName(maybe)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id of each group of near copies: SimHash candidates with a Jaccard of 5-word shingles of 0.8 or more. Null ids come last."""
+    """The row with the smallest id (see `keyed`) of each group of near copies: SimHash candidates with a Jaccard of 5-word shingles of 0.8 or more. Null ids come last."""
     rows = keyed(docs)
-    order = F.struct(F.col("doc_id").isNull().alias("_null"), "doc_id", F.xxhash64("text").alias("_hash"), "_row").alias("_order")
-    first = simhash.near_copies(rows, "_row").join(rows.select("_row", order), F.col("row") == F.col("_row")).groupBy("component").agg(F.min("_order").alias("first")).select("first._row")
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+
+    def gone() -> DataFrame:
+        return simhash.near_copies(rows, "_row").filter("row <> component").select(F.col("row").alias("_row")).distinct()
+
+    return without(single(rows), settled(gone, "gone")).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without the passages that a row before, in the order they are read, has; those of which nothing is left go."""
+    """Rows without the passages that a row before, by id, has; those of which nothing is left go, so do all but one of equal rows."""
     rows = keyed(docs)
-    spans = paragraphs.passages(rows, "_row").filter("removed")
-    out = paragraphs.remove(rows, spans, "_row")
+    spans = settled(lambda: paragraphs.passages(rows, "_row").filter("removed").select("doc_id", "start", "length"), "passages")
+    out = paragraphs.remove(single(rows), spans, "_row")
     return out.filter("text is null or text <> '' or n_chars = 0").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold no benchmark item."""
     rows = keyed(docs)
-    leaks = decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), "_row").select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(leaks, "_row", "left_anti").select(*docs.columns)
+    leaks = settled(lambda: decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), "_row").select(F.col("doc_id").alias("_row")).distinct(), "leaks")
+    return without(rows, leaks).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
