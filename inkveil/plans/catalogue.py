@@ -14,7 +14,7 @@ from inkveil.plans import entity_queries, record_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-TABLES = "region nation customer supplier part orders lineitem events documents labels pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels pages benchmark conversations".split()
 
 
 def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
