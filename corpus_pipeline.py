@@ -26,18 +26,22 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_row", F.when(small, own).otherwise(other))
 
 
-def single(rows: DataFrame) -> DataFrame:
-    """Each of equal rows (id and text) once; only repeated ones are shuffled if they are few."""
-    twice = cut(rows.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").select("_row"), "twice")
-    return without(rows, twice).unionByName(paragraphs._probable(rows, "_row", twice).join(twice, "_row", "left_semi").dropDuplicates(["_row"]).select(*rows.columns))
-
-
 def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows whose `_row` isn't in `gone`; those that a bitmap clears aren't shuffled."""
     maybe = paragraphs._probable(rows, "_row", gone).join(gone, "_row", "left_anti").select(*rows.columns)
     return paragraphs._probable(rows, "_row", gone, absent=True).unionByName(maybe)
 
 
+def single(rows: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """Rows whose `_row` isn't in `gone`, each of equal rows (id and text) once; those that a bitmap clears aren't shuffled."""
+    twice = cut(rows.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").select("_row"), "twice")
+    odd = gone.unionByName(twice).distinct() if gone is not None else twice
+    maybe = paragraphs._probable(rows, "_row", odd)
+    if gone is not None:
+        maybe = maybe.join(gone, "_row", "left_anti")
+    return paragraphs._probable(rows, "_row", odd, absent=True).unionByName(maybe.dropDuplicates(["_row", "doc_id", "text"]).select(*rows.columns))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the smallest id (see `keyed`) of each group of near copies: SimHash candidates with a Jaccard of 5-word shingles of 0.8 or more. Null ids come last."""
     rows = keyed(docs)
@@ -45,7 +49,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def gone() -> DataFrame:
         return simhash.near_copies(rows, "_row").filter("row <> component").select(F.col("row").alias("_row")).distinct()
 
-    return without(single(rows), settled(gone, "gone")).select(*docs.columns)
+    return single(rows, settled(gone, "gone")).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
