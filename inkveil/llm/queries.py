@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_text, packing, paragraphs, quality_crf, quality_rules, simhash, suffixes, token_counts, warc
+from . import conversations, decontamination, html_text, packing, paragraphs, periodic, quality_crf, quality_rules, simhash, suffixes, token_counts, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         quality_rules.op8_quality_rules,
         suffixes.op9_suffix_dedup,
         quality_crf.op10_quality_classifier,
+        periodic.op11_periodic_runs,
+        url_filter.op12_url_filter,
+        conversations.op13_conversation_repair,
     )
 }
 SQL: dict[str, str] = {"op3_warc": warc.OP3_SQL, "op6_html_text": html_text.OP6_SQL, "op8_quality_rules": quality_rules.OP8_SQL}
