@@ -6,69 +6,76 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.llm import decontamination, packing, paragraphs, quality_crf, simhash
-from inkveil.llm.common import cut, settled, table
+from inkveil.llm.common import cut, free, probable, settled, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line CRF scores 0.5 or more."""
-    model = quality_crf.quality_model(spark, sf_dir)
-    return quality_crf.score(docs, model).filter(F.col("score") >= 0.5).select(*docs.columns)
+    """Documents that the line CRF scores 0.5 or more. Null and empty texts are scored as having no lines; repeated rows stay or go together."""
+    model, score = quality_crf.quality_model(spark, sf_dir), free("_score", docs)
+    return quality_crf.score(docs, model, into=score).filter(F.col(score) >= 0.5).select(*columns(docs))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """`docs` with a key `_row` from id and text, the same at every reading, so nothing has to be written; equal rows share it.
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` with a key from id and text, the same at every reading, so nothing has to be written, and the key's name, which no other column has; equal rows share it.
 
     Ids from 0 to below 2 ** 30 come in their order, with 32 bits of the text's hash; others behind them, by 62 bits of a hash of
     id and text. Other rows share a key by chance only: of n texts with one such id, n * n / 2 ** 33 pairs."""
+    key = free("_row", docs)
     small = F.col("doc_id").between(0, (1 << 30) - 1)
     own = F.col("doc_id").cast("long") * (1 << 32) + F.pmod(F.xxhash64("text"), F.lit(1 << 32))
     other = F.lit(1 << 62) + F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 62))
-    return docs.withColumn("_row", F.when(small, own).otherwise(other))
+    return docs.withColumn(key, F.when(small, own).otherwise(other)), key
 
 
-def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    """Rows whose `_row` isn't in `gone`; those that a bitmap clears aren't shuffled."""
-    maybe = paragraphs._probable(rows, "_row", gone).join(gone, "_row", "left_anti").select(*rows.columns)
-    return paragraphs._probable(rows, "_row", gone, absent=True).unionByName(maybe)
+def columns(df: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in df.columns]
 
 
-def single(rows: DataFrame, gone: DataFrame | None = None) -> DataFrame:
-    """Rows whose `_row` isn't in `gone`, each of equal rows (id and text) once; those that a bitmap clears aren't shuffled."""
-    twice = cut(rows.groupBy("_row").agg(F.count("*").alias("n")).filter("n > 1").select("_row"), "twice")
-    odd = gone.unionByName(twice).distinct() if gone is not None else twice
-    maybe = paragraphs._probable(rows, "_row", odd)
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows whose key isn't in `gone`; those that a bitmap clears aren't shuffled."""
+    maybe = probable(rows, key, gone).join(gone, key, "left_anti").select(*columns(rows))
+    return probable(rows, key, gone, absent=True).unionByName(maybe)
+
+
+def single(rows: DataFrame, key: str, gone: DataFrame | None = None) -> DataFrame:
+    """Rows whose key isn't in `gone`, each of equal rows (id and text) once; those that a bitmap clears aren't shuffled."""
+    twice = cut(rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key), "twice")
+    odd = cut(gone.unionByName(twice).distinct(), "odd") if gone is not None else twice
+    maybe = probable(rows, key, odd)
     if gone is not None:
-        maybe = maybe.join(gone, "_row", "left_anti")
-    return paragraphs._probable(rows, "_row", odd, absent=True).unionByName(maybe.dropDuplicates(["_row", "doc_id", "text"]).select(*rows.columns))
+        maybe = maybe.join(gone, key, "left_anti")
+    return probable(rows, key, odd, absent=True).unionByName(maybe.dropDuplicates([key, "doc_id", "text"]).select(*columns(rows)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest id (see `keyed`) of each group of near copies: SimHash candidates with a Jaccard of 5-word shingles of 0.8 or more. Null ids come last."""
-    rows = keyed(docs)
+    """The row with the smallest id (see `keyed`) of each group of near copies: SimHash candidates with a Jaccard of 5-word shingles of 0.8 or more. Null ids come last.
+
+    Texts without words are copies of each other; of equal rows one stays."""
+    rows, key = keyed(docs)
 
     def gone() -> DataFrame:
-        return simhash.near_copies(rows, "_row").filter("row <> component").select(F.col("row").alias("_row")).distinct()
+        return simhash.near_copies(rows, key).filter("row <> component").select(F.col("row").alias(key)).distinct()
 
-    return single(rows, settled(gone, "gone")).select(*docs.columns)
+    return single(rows, key, settled(gone, "gone")).select(*columns(docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without the passages that a row before, by id, has; those of which nothing is left go, so do all but one of equal rows."""
-    rows = keyed(docs)
-    spans = settled(lambda: paragraphs.passages(rows, "_row").filter("removed").select("doc_id", "start", "length"), "passages")
-    out = paragraphs.remove(single(rows), spans, "_row")
-    return out.filter("text is null or text <> '' or n_chars = 0").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Rows without the passages that a row before, by id, has; those of which nothing is left go, so do all but one of equal rows. Null and empty texts stay."""
+    rows, key = keyed(docs)
+    spans = settled(lambda: paragraphs.passages(rows, key).filter("removed").select("doc_id", "start", "length"), "passages")
+    out = paragraphs.remove(single(rows, key), spans, key)
+    return out.filter("text is null or text <> '' or n_chars = 0").withColumn("n_chars", F.length("text").cast("long")).select(*columns(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item."""
-    rows = keyed(docs)
-    leaks = settled(lambda: decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), "_row").select(F.col("doc_id").alias("_row")).distinct(), "leaks")
-    return without(rows, leaks).select(*docs.columns)
+    """Rows that hold no benchmark item. Null and empty texts hold none; repeated rows stay or go together."""
+    rows, key = keyed(docs)
+    leaks = settled(lambda: decontamination.contaminated(rows, table(spark, sf_dir, "benchmark"), key).select(F.col("doc_id").alias(key)).distinct(), "leaks")
+    return without(rows, leaks, key).select(*columns(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 2048 tokens."""
+    """Pieces of the documents with their places in sequences of 2048 tokens. Null and empty texts are the end token alone; each of repeated rows is packed."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))

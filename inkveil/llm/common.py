@@ -72,18 +72,46 @@ def settled(make: Callable[[], DataFrame], kind: str) -> DataFrame:
     return out
 
 
+def free(name: str, *taken: DataFrame) -> str:
+    """`name`, with underscores behind it as long as a column of `taken` has that name in any case."""
+    names = {c.lower() for df in taken for c in df.columns}
+    while name.lower() in names:
+        name += "_"
+    return name
+
+
+#: Bits of the map of keys for each key, and the most bits, i.e. 2 ** 20 rows of a broadcast table.
+BITS_A_KEY, MOST_BITS = 16, 1 << 26
+
+
+def probable(rows: DataFrame, key: str, wanted: DataFrame, absent: bool = False) -> DataFrame:
+    """Rows of which `wanted` may hold the key: all that it holds and a few others, by a broadcast bitmap; `absent`: all the other rows.
+
+    The map has BITS_A_KEY bits or more for each row of `wanted`, which should be a written table, as it is counted. If that is over MOST_BITS, nothing
+    is told apart: all rows may be held and none is known to be absent. Columns of `rows` may have any names."""
+    n = wanted.count()
+    if n * BITS_A_KEY > MOST_BITS:
+        return rows.filter(F.lit(False)) if absent else rows
+    size = 1 << max(16, (n * BITS_A_KEY - 1).bit_length())
+    place = F.pmod(F.xxhash64(key), F.lit(size))
+    word, held, at = free("_word", rows), free("_held", rows), free("_at", rows)
+    bits = wanted.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 AS int))")).alias(held))
+    kept = rows.withColumn(at, place).withColumn(word, F.shiftright(at, 6)).join(F.broadcast(bits), word, "left" if absent else "inner")
+    return kept.filter(F.expr(f"(shiftright(coalesce(`{held}`, 0L), cast(`{at}` % 64 AS int)) & 1) = {0 if absent else 1}")).select(*(F.col(f"`{c}`") for c in rows.columns))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the undirected graph `edges`(u, v): rows (node, component), component the smallest node.
 
     Alternates the large-star and small-star steps (Kiveris et al., 2014). Each step takes minima by partial
-    aggregation and attaches them by an equi-join, so a hub's neighbours never gather in one task.
+    aggregation, writes them and attaches them by an equi-join of two written tables, which Spark can split where a hub has very many neighbours.
     Self-loops and null ends are ignored; nodes without edges aren't returned; an empty graph gives no rows.
     """
     e = cut(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lows")
         large = both.filter("v > u").join(low, "u").select(F.col("m").alias("u"), "v").filter("u <> v").distinct()
         # small star: each node's lower neighbours and itself go to the lowest of them
         low = large.groupBy("v").agg(F.min("u").alias("m"))

@@ -14,8 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .paragraphs import _probable
+from .common import cut, probable, table
 
 #: A quote that isn't closed before its tag ends, i.e. before a bracket and not in front of the tag's end or another attribute, is a character like others.
 MARKUP = re.compile(
@@ -251,7 +250,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     parsed = cut(src.mapInPandas(run, schema), "parsed")
     flat = parsed.select("host", "face", F.explode(F.arrays_zip("hashes", "main")).alias("s")).select("host", F.col("s.hashes").alias("hash"), F.col("s.main").alias("main"), "face")
     often = cut(flat.groupBy("host", "hash", "main").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).drop("n"), "often")
-    faces = _probable(flat, "hash", often).join(often, ["host", "hash", "main"]).select("host", "hash", "main", F.posexplode("face").alias("k", "v")).distinct()
+    faces = probable(flat, "hash", often).join(often, ["host", "hash", "main"]).select("host", "hash", "main", F.posexplode("face").alias("k", "v")).distinct()
     counts = faces.groupBy("host", "hash", "main", "k").agg(F.count("*").alias("n")).groupBy("host", "hash", "main").agg(F.max("n").alias("n")).filter(F.col("n") >= min_pages)
     contents = parsed.select("host", F.posexplode("face").alias("k", "v")).distinct().groupBy("host", "k").agg(F.count("*").alias("n")).groupBy("host").agg(F.max("n").alias("all"))
     least = F.when(F.col("main"), main_share).otherwise(share) * F.col("all")

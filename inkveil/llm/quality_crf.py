@@ -160,30 +160,30 @@ def fit(features: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndarra
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on at most `sample_docs` labelled documents, chosen by a hash of their ids. Null labels and ids are left out."""
+    """Fit on at most `sample_docs` labelled documents, chosen by a hash of their ids. Null labels and ids are left out; of texts with one id, the one with the least hash is learned."""
     chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample_docs)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(chosen, "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(chosen, "_id").groupBy("_id", "_y").agg(F.min_by("_t", F.xxhash64("_t")).alias("_t"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             lines = [lines_of(t) for t in pdf["_t"]]
             yield pd.DataFrame({"id": pdf["_id"], "x": [line_features(x).ravel() for x in lines], "w": [[len(y) + 1.0 for y in x] for x in lines], "y": pdf["_y"]})
 
-    got = rows.mapInPandas(run, "id long, x array<double>, w array<double>, y int").toPandas().drop_duplicates("id").sort_values("id")
+    got = rows.mapInPandas(run, "id long, x array<double>, w array<double>, y int").toPandas().sort_values("id")
     if got.empty or got["y"].nunique() < 2:
         return Model(np.zeros(3 * N_OWN + 3), np.zeros((2, 2)), 0.0, 0.0 if got.empty or got["y"].iloc[0] else -1.0)
     return fit([np.asarray(x).reshape(-1, N_OWN) for x in got["x"]], [np.asarray(w) for w in got["w"]], got["y"].to_numpy(int))
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """`docs` with `score` (0 to 1) appended, replacing a column of that name. Null and empty texts are scored as one empty line."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", into: str = "score") -> DataFrame:
+    """`docs` with the score (0 to 1) appended as `into`, replacing a column of that name. Null and empty texts are scored as one empty line."""
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) for t in texts], dtype="float64")
 
-    return docs.withColumn("score", of(F.col(text_col)))
+    return docs.withColumn(into, of(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:

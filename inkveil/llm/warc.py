@@ -15,8 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, scratch, table
-from .paragraphs import _probable
+from .common import cut, probable, scratch, table
 
 #: Bytes of records in a frame, and of frames in a bundle, from which the next one is begun.
 FRAME_BYTES, BUNDLE_BYTES = 1 << 20, 24 << 20
@@ -131,7 +130,8 @@ def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     src = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("p"))
     src = src.withColumn("sha", F.sha1(F.col("p").cast("binary")))
     slim = src.filter(F.octet_length("p") >= min_bytes).select("id", "sha")
-    first = slim.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # written first, so that the join's partitions can be split where a payload, such as the empty one, is very common
+    first = cut(slim.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
     revisits = slim.join(first, "sha").filter("id > first").select("id", "sha", "first").distinct()
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,8 +148,8 @@ def write_bundles(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
     # most payloads can't be revisits, as a bitmap tells, and need no shuffle
     revisits = cut(revisits, "revisits")
-    maybe = _probable(src, "id", revisits).join(revisits, ["id", "sha"], "left").select("id", "url", "p", "first")
-    others = _probable(src, "id", revisits, absent=True).select("id", "url", "p", F.lit(None).cast("long").alias("first"))
+    maybe = probable(src, "id", revisits).join(revisits, ["id", "sha"], "left").select("id", "url", "p", "first")
+    others = probable(src, "id", revisits, absent=True).select("id", "url", "p", F.lit(None).cast("long").alias("first"))
     rows = others.unionByName(maybe).mapInPandas(bundle, "value binary")
     rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", FOOTER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 

@@ -14,7 +14,7 @@ from inkveil.llm import common, decontamination, packing, paragraphs, quality_cr
 
 from test_operators import prose
 
-NAMES = ["u", "t", "h", "k", "g", "w", "l", "id", "fp", "sha", "uid", "at", "row", "own", "n", "length", "start", "score", "c", "x", "_id", "piece", "section", "url", "p", "first", "text2", "kind", "removed", "n_words"]
+NAMES = ["u", "t", "h", "k", "g", "w", "l", "id", "fp", "sha", "uid", "at", "row", "own", "n", "length", "start", "score", "c", "x", "piece", "section", "url", "p", "first", "text2", "kind", "removed", "n_words", "_id", "_spans", "_p", "_w", "_bits", "_row", "_words", "_score", "_word", "_held", "_at", "seen"]
 
 
 def odd(spark):
@@ -60,7 +60,15 @@ def test_stages_on_odd_rows(spark, tmp_path):
         assert out.columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
         ids = {r.doc_id for r in out.collect()}
         assert {None, 4, 5, 7} <= ids
+        assert out.select(*NAMES).distinct().collect() == [(1,) * len(NAMES)]
     assert corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).filter("doc_id = 4").count() == 1
+    docs.select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1), (5, 0), (None, 1), (3, None)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    scored = corpus_pipeline.quality_classifier(spark, docs, str(tmp_path))
+    assert scored.columns == docs.columns and scored.filter("score <> 1").count() == 0
+    assert corpus_pipeline.quality_classifier(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert corpus_pipeline.pack(spark, docs, str(tmp_path)).filter("piece = 0").count() == docs.count()
+    assert corpus_pipeline.pack(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
 @pytest.mark.parametrize("rule", token_counts.RULES)
