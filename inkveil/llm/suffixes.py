@@ -12,8 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .paragraphs import _probable
+from .common import cut, probable, table
 
 #: Bytes of a repeated string.
 LENGTH = 400
@@ -232,9 +231,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     flat = texts.select("uid", F.explode(F.arrays_zip("at", "l", "r")).alias("x")).select("uid", "x.at", F.explode(F.array("x.l", "x.r")).alias("h")).filter("h <> 0")
     # written first, so that the join's partitions can be split where a key is very common
     often = cut(flat.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
-    places = _probable(flat, "h", often).join(often, "h").select("uid", "at").distinct().groupBy("uid").agg(F.collect_list("at").alias("at"))
-    chosen = texts.select("uid", "sha", "doc_id").join(places, "uid")
-    pick = src.join(chosen.withColumnRenamed("doc_id", "rep"), "sha").filter(F.col("doc_id").eqNullSafe(F.col("rep")))
+    places = probable(flat, "h", often).join(often, "h").select("uid", "at").distinct().groupBy("uid").agg(F.collect_list("at").alias("at"))
+    chosen = cut(texts.select("uid", "sha", "doc_id").join(places, "uid").select("uid", F.col("sha").alias("own"), F.col("doc_id").alias("rep"), "at"), "chosen")
+    # a text's copies stay where they are, but for the one that stands for them (and rows that repeat its id)
+    pick = probable(src, "sha", chosen.select(F.col("own").alias("sha"))).join(chosen, (F.col("sha") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     cand = cut(pick.dropDuplicates(["uid"]).select("uid", "sha", "t", "at"), "candidates")
     total = cand.agg(F.sum(F.size("at"))).first()[0] or 0
 
