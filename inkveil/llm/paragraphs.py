@@ -11,15 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, free, probable, table
 
 SHINGLE = 5
 #: Shorter paragraphs are no passages.
 MIN_WORDS = 8
 #: Paragraphs that repeat count as a passage where neighbouring ones have so many words together; NEAR bytes apart is neighbouring.
 MIN_RUN, NEAR = 20, 80
-#: Bits of the map of keys that a later join keeps; a full map costs time only.
-BITMAP = 1 << 23
 #: Members of a bucket that one task compares at a time.
 BLOCK = 64
 #: White space other than spaces and line feeds becomes a space.
@@ -145,14 +143,6 @@ def alike(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int]]
     return zip(i.tolist(), j.tolist())
 
 
-def _probable(rows: DataFrame, key: str, wanted: DataFrame, absent: bool = False) -> DataFrame:
-    """Rows of which `wanted` may hold the key: all that it holds and a few others, by a bitmap of at most BITMAP / 32 rows; `absent`: all the other rows."""
-    place = F.pmod(F.xxhash64(key), F.lit(BITMAP))
-    bits = wanted.select(place.alias("p")).groupBy(F.expr("cast(p div 32 AS int)").alias("_w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 32 AS int)))").alias("_bits"))
-    held = rows.withColumn("_p", place).withColumn("_w", F.expr("cast(_p div 32 AS int)")).join(F.broadcast(bits), "_w", "left" if absent else "inner")
-    return held.filter(f"(shiftright(coalesce(_bits, 0L), cast(_p % 32 AS int)) & 1) = {0 if absent else 1}").select(*rows.columns)
-
-
 def verified(members: DataFrame, sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """Labels (node, component) of nodes that share a bucket and whose sets have a Jaccard similarity of `threshold` or more.
 
@@ -204,9 +194,9 @@ def prints(src: DataFrame, bands: int, min_words: int) -> DataFrame:
     Texts of equal words (in lower case) are one kind, told apart by two 64-bit hashes and the number of words; `first` is
     the (doc_id, u) of the kind's first text. Written as a file.
     """
-    from .runs import chosen
+    from .runs import chains, chosen
 
-    arrays = {"p_start": "int", "p_len": "int", "p_words": "int", "p_same": "long", "p_also": "long", **{f"p_b{i}": "long" for i in range(bands)}, "w": "int", "start": "int", "stop": "int", "g": "long", "c": "long"}
+    arrays = {"p_start": "int", "p_len": "int", "p_words": "int", "p_same": "long", "p_also": "long", **{f"p_b{i}": "long" for i in range(bands)}, "w": "int", "start": "int", "stop": "int", "g": "long", "c": "long", "k_from": "int", "k_to": "int", "k_hash": "long"}
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -218,7 +208,8 @@ def prints(src: DataFrame, bands: int, min_words: int) -> DataFrame:
                 norm = [h[a:b].tobytes() for a, b in zip(first.tolist(), last.tolist())]
                 same = [np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in norm), np.uint64, len(norm)).view(np.int64) for seed in (0, 1)]
                 kind = [np.uint64(xxhash.xxh64_intdigest(h.tobytes(), seed)).view(np.int64) for seed in (0, 1)]
-                rows.append((u, doc_id, len(h), len(raw), *kind, begin, stop - begin, last - first, *same, *values.T, *chosen(start, end, h)))
+                grams = chosen(start, end, h)
+                rows.append((u, doc_id, len(h), len(raw), *kind, begin, stop - begin, last - first, *same, *values.T, *grams, *chains(*grams[3:])))
             yield pd.DataFrame(rows, columns=["u", "doc_id", "n_words", "n_bytes", "kind", "also", *arrays])
 
     schema = "u long, doc_id long, n_words int, n_bytes int, kind long, also long" + "".join(f", {k} array<{v}>" for k, v in arrays.items())
@@ -248,12 +239,12 @@ def _paragraphs(texts: DataFrame, src: DataFrame, bands: int, threshold: float,
                     rows.append((x["node"], shingle_set(h[a:b]).tobytes()))
             yield pd.DataFrame(rows, columns=["u", "s"])
 
-    sets = cut(_probable(src, "u", asked).join(asked, "u").mapInPandas(carry, "u long, s binary").dropDuplicates(["u"]), "sets")
+    sets = cut(probable(src, "u", asked).join(asked, "u").mapInPandas(carry, "u long, s binary").dropDuplicates(["u"]), "sets")
     label = verified(members.select("h", F.col("node").alias("u"), "hub", "size"), sets, threshold)
     told = units.groupBy("k", "also").agg(F.count("*").alias("n")).join(label, F.col("k") == F.col("node"), "left").filter("n > 1 or node is not null").select("k", "also", F.coalesce("component", "k").alias("component"))
     told = cut(told, "told")
-    out = cut(_probable(units.select("u", "doc_id", "start", "length", "n_words", "k", "also"), "k", told).join(told, ["k", "also"]).drop("k", "also"), "clustered")
-    first = out.groupBy("component").agg(F.min(F.struct("doc_id", "start", "u")).alias("first"))
+    out = cut(probable(units.select("u", "doc_id", "start", "length", "n_words", "k", "also"), "k", told).join(told, ["k", "also"]).drop("k", "also"), "clustered")
+    first = cut(out.groupBy("component").agg(F.min(F.struct("doc_id", "start", "u")).alias("first")), "firsts")
     out = out.join(first, "component").select(
         "u", "doc_id", "start", "length", "n_words", F.col("first.doc_id").alias("cluster_doc_id"), F.col("first.start").alias("cluster_start"), (F.struct("doc_id", "start", "u") != F.col("first")).alias("removed")
     )
@@ -286,8 +277,9 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     src = src.withColumn("u", F.xxhash64("doc_id", "t"))
     all_texts = prints(src, bands, max(SHINGLE, min_words))
     own = all_texts.filter("n_words > 0").groupBy("u").agg(*(F.min(c).alias(c) for c in ("doc_id", "n_words", "n_bytes", "kind", "also")))
-    first = own.groupBy("kind", "also", "n_words").agg(F.min(F.struct("doc_id", "u")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copies = cut(_probable(own, "kind", first).join(first, ["kind", "also", "n_words"]).withColumn("removed", F.struct("doc_id", "u") != F.col("first")), "copies")
+    # written first, so that the join's partitions can be split where a text has very many copies
+    first = cut(own.groupBy("kind", "also", "n_words").agg(F.min(F.struct("doc_id", "u")).alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
+    copies = cut(probable(own, "kind", first).join(first, ["kind", "also", "n_words"]).withColumn("removed", F.struct("doc_id", "u") != F.col("first")), "copies")
     # of equal rows one is looked at, of equal texts the first
     twice = cut(all_texts.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u"), "twice")
     single = all_texts.join(copies.filter("removed").select("u"), "u", "left_anti")
@@ -301,7 +293,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
 def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the bytes of `spans` (doc_id, start, length). Documents without spans stay as they are; a text of which only white space is left becomes empty."""
-    own = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("start", "length")).alias("_spans"))
+    key, held = free("_id", docs), free("_spans", docs)
+    own = cut(spans.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("start", "length")).alias(held)), "spans")
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -318,12 +311,11 @@ def remove(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
             out.append(rest if rest.strip() else "")
         return pd.Series(out, dtype=object)
 
-    own = cut(own, "spans")
     # most texts have no spans, as a bitmap tells, and need no shuffle
-    keyed = own.withColumnRenamed("_id", id_col)
-    maybe = _probable(docs, id_col, keyed)
-    done = maybe.join(own, maybe[id_col] == F.col("_id"), "left").withColumn(text_col, without(F.col(text_col), F.col("_spans"))).select(*docs.columns)
-    return _probable(docs, id_col, keyed, absent=True).unionByName(done)
+    wanted = own.select(F.col(key).alias(id_col))
+    maybe = probable(docs, id_col, wanted)
+    done = maybe.join(own, maybe[id_col] == own[key], "left").withColumn(text_col, without(F.col(text_col), F.col(held))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return probable(docs, id_col, wanted, absent=True).unionByName(done)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

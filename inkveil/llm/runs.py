@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
-from .paragraphs import MIX, _mix, _probable, word_lists
+from .common import cut, probable
+from .paragraphs import MIX, _mix, word_lists
 
 #: Words of a gram and grams of a window: a run of GRAM + WINDOW - 1 = 51 words holds a chosen gram.
 GRAM, WINDOW = 12, 40
@@ -18,6 +19,8 @@ GRAM, WINDOW = 12, 40
 LEAST = GRAM + WINDOW - 1
 #: In a stretch of equal grams (one word over and over), one in so many is taken.
 THIN = 20
+#: Grams between the ends of chains, on average.
+CHAIN = 4
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 5)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
 
@@ -70,6 +73,15 @@ def chosen(start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarra
     return at.astype(np.int32), start[at].astype(np.int32), end[at + GRAM - 1].astype(np.int32), g[at].view(np.int64), stretch.view(np.int64)
 
 
+def chains(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chains of neighbouring stretches of a text: places of the first and last gram, and the hash of the stretches.
+
+    Chains meet at about one gram in CHAIN, chosen by its hash, so equal runs have equal chains but for those over their ends."""
+    cuts = np.nonzero(_mix(g.view(np.uint64)) % np.uint64(CHAIN) == 0)[0]
+    h = np.array([xxhash.xxh64_intdigest(c[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], np.uint64)
+    return cuts[:-1].astype(np.int32), cuts[1:].astype(np.int32), h.view(np.int64)
+
+
 def around(h: np.ndarray, start: np.ndarray, end: np.ndarray, w: int, right: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words beside the gram at word `w`, nearest first, and the bytes where each of them ends (on the left: starts)."""
     if right:
@@ -101,19 +113,46 @@ def runs(texts: DataFrame, src: DataFrame) -> DataFrame:
     joined to runs; those over 50 words count. So a run with two or more chosen grams is found whole; of a run with a
     single one, a part can stay if that gram's first occurrence stands among other words.
 
+    Chains of several stretches are looked up first. One that occurs before is covered whole, and grams within it, or between two such
+    chains, aren't looked up themselves, so copies of long runs cost a row for each chain and not for each gram.
+
     Groups are only aggregated to their least member, which is joined back; contexts are cut to WINDOW words.
     """
+    at = lambda c, i: F.get(F.col(c), F.col(i))
+    links = texts.select("u", "doc_id", "w", "start", "stop", F.explode(F.arrays_zip("k_from", "k_to", "k_hash")).alias("x")).select("u", "doc_id", "w", "start", "stop", F.col("x.k_from").alias("a"), F.col("x.k_to").alias("b"), F.col("x.k_hash").alias("k"))
+    links = links.select("doc_id", "u", "a", "b", "k", at("w", "a").alias("w"), at("start", "a").alias("start"), at("stop", "a").alias("stop"), at("w", "b").alias("w_last"), at("stop", "b").alias("stop_last"))
+    here = F.struct("doc_id", "u", "w", "start", "stop")
+    earlier = cut(links.groupBy("k").agg(F.min(here).alias("f"), F.count("*").alias("n")).filter("n > 1").select("k", "f"), "chains")
+    seen = cut(probable(links, "k", earlier).join(earlier, "k").filter(here > F.col("f")), "seen")
+    by_text = cut(seen.groupBy("u").agg(F.collect_list(F.struct("a", "b")).alias("seen")), "seen")
+
+    def left_over(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for n, seen in zip(pdf["n"], pdf["seen"]):
+                right, left = np.zeros(n, bool), np.zeros(n, bool)  # the stretch behind, before a gram is in a chain that was seen
+                for x in seen:
+                    right[x["a"] : x["b"]] = True
+                    left[x["a"] + 1 : x["b"] + 1] = True
+                out.append(np.nonzero(~(left & right))[0].astype(np.int32))
+            yield pd.DataFrame({"u": pdf["u"], "i": out})
+
+    part = ["u", "doc_id", "w", "start", "stop", "g", "c"]
+    places = probable(texts.select("u", F.size("g").alias("n")), "u", by_text).join(by_text, "u").mapInPandas(left_over, "u long, i array<int>")
+    whole = F.sequence(F.lit(0), F.size("g") - 1)
+    some = texts.filter("size(g) > 0").select(*part)
+    texts = probable(some, "u", by_text).join(cut(places, "places"), "u", "left").withColumn("i", F.coalesce("i", whole)).unionByName(probable(some, "u", by_text, absent=True).withColumn("i", whole))
 
     def beside(c: str, by: int):
         return F.get(F.col(c), F.col("i") + by)
 
-    flat = texts.select("u", "doc_id", "w", "start", "stop", "c", F.posexplode("g").alias("i", "g"))
+    flat = texts.withColumn("i", F.explode("i"))
     flat = flat.select(
-        "u", "doc_id", "g", beside("w", 0).alias("w"), beside("start", 0).alias("start"), beside("stop", 0).alias("stop"), beside("c", 0).alias("c"), F.coalesce(beside("c", -1), F.lit(0)).alias("cp"),
+        "u", "doc_id", beside("g", 0).alias("g"), beside("w", 0).alias("w"), beside("start", 0).alias("start"), beside("stop", 0).alias("stop"), beside("c", 0).alias("c"), F.coalesce(beside("c", -1), F.lit(0)).alias("cp"),
         beside("w", -1).alias("w_before"), beside("start", -1).alias("start_before"), beside("w", 1).alias("w_after"), beside("stop", 1).alias("stop_after"),
     )
     many = cut(flat.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "often")
-    held = cut(_probable(flat, "g", many).join(many, "g"), "held")
+    held = cut(probable(flat, "g", many).join(many, "g"), "held")
     me = F.struct("doc_id", "u", "w", "start", "stop")
     # written first, so that the joins' partitions can be split where a gram is very common
     first = cut(held.groupBy("g").agg(F.min(me).alias("f")), "firsts")
@@ -144,7 +183,7 @@ def runs(texts: DataFrame, src: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["u", "doc_id", "w", "right", "mine", "pu", "pw", "words", "at", "start", "stop"])
 
     schema = "u long, doc_id long, w int, right boolean, mine boolean, pu long, pw int, words binary, at array<int>, start int, stop int"
-    near = cut(_probable(src, "u", wanted).join(wanted, "u").mapInPandas(contexts, schema).dropDuplicates(["u", "w", "right", "mine"]), "contexts")
+    near = cut(probable(src, "u", wanted).join(wanted, "u").mapInPandas(contexts, schema).dropDuplicates(["u", "w", "right", "mine"]), "contexts")
     other = near.filter("not mine").select(F.col("u").alias("pu"), F.col("w").alias("pw"), "right", F.col("words").alias("theirs"))
     far = near.filter("mine").join(other, ["pu", "pw", "right"]).withColumn("n", F.pandas_udf(in_common, "int")("words", "theirs")).filter("n > 0")
     reached = far.select(
@@ -152,7 +191,8 @@ def runs(texts: DataFrame, src: DataFrame) -> DataFrame:
         F.when(F.col("right"), F.col("start")).otherwise(F.expr("at[n - 1]")).alias("start"), F.when(F.col("right"), F.expr("at[n - 1]")).otherwise(F.col("stop")).alias("stop"),
     )
     by = Window.partitionBy("u").orderBy("lo", "hi")
-    out = covered.unionByName(reached, allowMissingColumns=True)
+    chained = seen.select("u", "doc_id", F.col("w").alias("lo"), (F.col("w_last") + GRAM).alias("hi"), "start", F.col("stop_last").alias("stop"), "f")
+    out = covered.unionByName(chained).unionByName(reached, allowMissingColumns=True)
     out = out.withColumn("new", F.coalesce(F.col("lo") > F.max("hi").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
     out = out.withColumn("run", F.sum(F.col("new").cast("int")).over(by))
     out = out.groupBy("doc_id", "u", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), (F.max("hi") - F.min("lo")).alias("n_words"), F.min("f").alias("f"))
