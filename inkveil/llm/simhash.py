@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import components, cut, probable, table
 
 BYTES = 8
 #: Fingerprints of a posting list that are compared in one piece.
@@ -92,6 +92,41 @@ def forest(values: np.ndarray, bits: int) -> Iterator[tuple[int, int]]:
             yield i, j
 
 
+ONES = 0x1111111111111111
+#: Of the bins of two sketches that aren't both empty, this share must be equal; asked of ENOUGH bins or more. At a similarity of 0.8, 16 bins are under it once in 50,000 times, 32 bins never.
+SAME, ENOUGH = 1 / 3, 16
+
+
+def sketch(s: np.ndarray) -> tuple[int, int]:
+    """Four bits for each of 32 ranges of hashes, as two longs: of the least of the sorted values `s` in the range, 0 if there is none."""
+    first = np.searchsorted(s, np.arange(32, dtype=np.uint64) << np.uint64(59))
+    out = np.zeros(32, np.uint64)
+    held = np.append(first[1:], len(s)) > first
+    out[held] = s[first[held]] % np.uint64(15) + np.uint64(1)
+    half = (out.reshape(2, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
+    return int(half[0]), int(half[1])
+
+
+def may_be_alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Whether sketches, as pairs of arrays of halves, have enough in common."""
+
+    def filled(x: np.ndarray) -> np.ndarray:
+        return (x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & np.uint64(ONES)
+
+    used = sum(np.bitwise_count(filled(x) | filled(y)).astype(np.int32) for x, y in zip(a, b))
+    differ = sum(np.bitwise_count(filled(x ^ y)).astype(np.int32) for x, y in zip(a, b))
+    return (used < ENOUGH) | (used - differ >= SAME * used)
+
+
+def _may_be_alike(a: list[Column], b: list[Column]) -> Column:
+    def filled(x: Column) -> Column:
+        return x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(ONES))
+
+    used = sum((F.bit_count(filled(x).bitwiseOR(filled(y))) for x, y in zip(a, b)), F.lit(0))
+    differ = sum((F.bit_count(filled(x.bitwiseXOR(y))) for x, y in zip(a, b)), F.lit(0))
+    return (used < ENOUGH) | (used - differ >= SAME * used)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2, k: int = 3) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id) for every row of `docs`.
 
@@ -102,8 +137,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     positions, which no more than 256 ** bits can share, whatever the corpus. Only a spanning forest leaves a list.
     Equal fingerprints are one node, so copies are never expanded.
 
-    component_id is the smallest id reachable. Null or empty texts have fingerprint zero and link to each other. Rows with
-    a null id get a null component unless copies give one. Repeated ids keep their rows. Other columns of `docs` are
+    component_id is the smallest id reachable, also through rows with a null id. Null or empty texts have fingerprint zero and link to each other. Rows with
+    a null id get a null component unless others give one. Repeated ids keep their rows. Other columns of `docs` are
     ignored, whatever their names.
     """
     if bits not in (1, 2):
@@ -131,7 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return lists.select("l.fp", "l.u").mapInPandas(join, "u long, v long").distinct()
 
     short = covering(BYTES - bits, 4)
-    posts = post(reps.filter("u is not null"), short).repartition("h")
+    posts = post(reps.select(F.col("fp").alias("u"), "fp"), short).repartition("h")
     large = cut(posts.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK).select("h"), "large")
     if large.isEmpty():
         edges = cut(linked(posts), "links")
@@ -139,8 +174,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         again = posts.join(large, "h", "left_semi").select("u", "fp").distinct()
         again = post(again, list(combinations(range(BYTES), BYTES - bits)))
         edges = cut(linked(posts.join(large, "h", "left_anti")).unionByName(linked(again)).distinct(), "links")
-    label = components(edges)
-    classes = reps.join(label, F.col("u") == F.col("node"), "left").select("fp", F.coalesce("component", "u").alias("component_id"))
+    classes = reps.join(components(edges), F.col("fp") == F.col("node"), "left").select("fp", "u", F.coalesce("component", "fp").alias("c"))
+    lowest = cut(classes.groupBy("c").agg(F.min("u").alias("component_id")), "lowest")
+    classes = classes.join(lowest, "c").select("fp", "component_id")
     return fps.join(classes, "fp", "left").select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -149,7 +185,8 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", threshold
 
     Candidates come from the byte-position index over SimHash fingerprints of the distinct words: pairs that share `shared`
     positional bytes or more and differ in `bits` or fewer bits. Any pair of 8 - `shared` differing bits has that minimum;
-    of pairs with more bits, up to `bits`, those are found that do share so many bytes. A candidate is linked if the
+    of pairs with more bits, up to `bits`, those are found that do share so many bytes. Candidates whose sketches (the least shingle of each
+    of 32 ranges, 16 bytes together) say that they are far under the threshold are dropped; any other is linked if the
     Jaccard similarity of its 5-word shingles (words in lower case, 64-bit hashes) is `threshold` or more. component is
     the least row reachable. Texts of equal shingle sets are one node, so copies are never expanded; texts without words
     are copies of each other.
@@ -157,7 +194,7 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", threshold
     Each node of a list is first compared with the list's least one. In lists that then still hold several components,
     pairs of different components are tallied, in blocks of at most BLOCK x BLOCK.
     """
-    from .paragraphs import _probable, alike, shingle_set, word_lists
+    from .paragraphs import alike, shingle_set, word_lists
 
     src = docs.select(F.col(row_col).alias("row"), F.col(text_col).alias("t"))
 
@@ -166,8 +203,8 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", threshold
             rows = []
             for (i, t), _, _, _, h in word_lists(zip(pdf["row"], pdf["t"]), pdf["t"]):
                 s = shingle_set(h)
-                rows.append((i, *(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), x)).view(np.int64) for x in (0, 1)), len(s), np.uint64(fingerprint(t, 1, True)).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["row", "same", "also", "n", "fp"])
+                rows.append((i, *(np.uint64(xxhash.xxh64_intdigest(s.tobytes(), x)).view(np.int64) for x in (0, 1)), len(s), np.uint64(fingerprint(t, 1, True)).view(np.int64), *sketch(s)))
+            yield pd.DataFrame(rows, columns=["row", "same", "also", "n", "fp", "s1", "s2"])
 
     def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -180,37 +217,40 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", threshold
     def verified(pairs: DataFrame) -> DataFrame:
         """Of candidates (u, v) those with the similarity."""
         wanted = cut(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct(), "wanted")
-        sets = cut(_probable(src.withColumnRenamed("row", "u"), "u", wanted).join(wanted, "u").mapInPandas(carry, "u long, s binary"), "sets")
+        sets = cut(probable(src.withColumnRenamed("row", "u"), "u", wanted).join(wanted, "u").mapInPandas(carry, "u long, s binary"), "sets")
         both = pairs.join(sets.withColumnRenamed("s", "a"), "u").join(sets.select(F.col("u").alias("v"), F.col("s").alias("b")), "v")
         sizes = F.least(F.length("a"), F.length("b")) >= F.lit(threshold) * F.greatest(F.length("a"), F.length("b")) - 1e-9
         return cut(both.filter(sizes).filter(close("a", "b")).select("u", "v"), "verified")
 
-    units = cut(src.mapInPandas(sign, "row long, same long, also long, n int, fp long"), "signatures")
-    kinds = cut(units.groupBy("same", "also", "n").agg(F.min("row").alias("u"), F.min("fp").alias("fp")), "kinds")
-    posts = post(kinds.filter("n > 0").select("u", "fp"), covering(shared, shared)).repartition("h")
-    heads = posts.groupBy("h").agg(F.min(F.struct("u", "fp")).alias("hub"), F.count("*").alias("size")).filter("size > 1")
+    units = cut(src.mapInPandas(sign, "row long, same long, also long, n int, fp long, s1 long, s2 long"), "signatures")
+    own = ["u", "fp", "s1", "s2"]
+    kinds = cut(units.groupBy("same", "also", "n").agg(F.min("row").alias("u"), *(F.min(c).alias(c) for c in own[1:])), "kinds")
+    posts = post(kinds.filter("n > 0").select(*own), covering(shared, shared)).repartition("h")
+    heads = posts.groupBy("h").agg(F.min(F.struct(*own)).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     members = cut(posts.join(heads, "h"), "members")
-    hubs = cut(members.filter((F.col("u") != F.col("hub.u")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= bits)).select("u", F.col("hub.u").alias("v")).distinct(), "pairs")
+    likely = _may_be_alike([F.col("s1"), F.col("s2")], [F.col("hub.s1"), F.col("hub.s2")])
+    hubs = cut(members.filter((F.col("u") != F.col("hub.u")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= bits) & likely).select("u", F.col("hub.u").alias("v")).distinct(), "pairs")
     links = verified(hubs)
     label = cut(components(links), "labels")
 
-    tagged = members.filter("size > 2").join(label, F.col("u") == F.col("node"), "left").select("h", "size", "u", "fp", F.coalesce("component", "u").alias("c"))
+    tagged = members.filter("size > 2").join(label, F.col("u") == F.col("node"), "left").select("h", "size", *own, F.coalesce("component", "u").alias("c"))
     spans = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
     blocks = F.ceil(F.col("size") / (BLOCK // 2)).cast("int")
     rest = tagged.join(spans, "h").withColumn("i", F.pmod(F.xxhash64("u"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.groupBy("h", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j")).agg(F.collect_list(F.struct("u", "c", "fp")).alias("l"))
+    rest = rest.groupBy("h", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j")).agg(F.collect_list(F.struct("c", *own)).alias("l"))
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for u, c, fp in zip(pdf["u"], pdf["c"], pdf["fp"]):
-                i, j = close_pairs(np.asarray(fp, np.int64).view(np.uint64), bits, shared)
-                other = np.asarray(c)[i] != np.asarray(c)[j]
+            for u, c, *rest in zip(*(pdf[x] for x in ("u", "c", "fp", "s1", "s2"))):
+                fp, s1, s2 = (np.asarray(x, np.int64).view(np.uint64) for x in rest)
+                i, j = close_pairs(fp, bits, shared)
+                other = (np.asarray(c)[i] != np.asarray(c)[j]) & may_be_alike((s1[i], s2[i]), (s1[j], s2[j]))
                 a, b = np.asarray(u)[i[other]], np.asarray(u)[j[other]]
                 out.append(pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)}))
             yield pd.concat(out) if out else pd.DataFrame({"u": [], "v": []}, dtype="int64")
 
-    more = cut(rest.select("l.u", "l.c", "l.fp").mapInPandas(tally, "u long, v long").distinct().join(hubs, ["u", "v"], "left_anti"), "more")
+    more = cut(rest.select("l.u", "l.c", "l.fp", "l.s1", "l.s2").mapInPandas(tally, "u long, v long").distinct().join(hubs, ["u", "v"], "left_anti"), "more")
     if not more.isEmpty():
         label = cut(components(links.unionByName(verified(more))), "labels")
     told = kinds.join(label, F.col("u") == F.col("node"), "left").select("same", "also", "n", F.coalesce("component", "u").alias("component"))
