@@ -56,20 +56,49 @@ def _slide(x: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[: len(x) - (width - size)], x[width - size :]) if width > size else x
 
 
-def seeds(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the seeds of a text that are least in some string of LENGTH bytes, and hashes of each with SIDE bytes more to the left and to the right (0: there aren't so many).
-
-    Equal strings have equal least seeds at equal places, wherever they stand. All of equally small seeds are taken. A
+def thinned(raw: bytes, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds to keep of those at `at` with hashes `h`, and stretches (start, end) of a text that repeat themselves.
+
+    Equal seeds at equal distances q of SEED at most lie in a stretch of period q. In a stretch of LENGTH + 2q bytes or more, every string of LENGTH bytes starts
+    again q bytes later or earlier, so the stretch is removed and nothing need be looked up for strings within it. A string over its
+    left end holds the first of these seeds, one over its right end the last; an equal string elsewhere has the same end and holds the same one. A
+    string within a shorter stretch of another text equals one here that has the second seed where it has its own first. So these three are kept."""
+    order = np.lexsort((at, h))
+    p, same = at[order], h[order][1:] == h[order][:-1]
+    step = np.where(same, np.diff(p), 0)
+    drop, stretches = np.zeros(len(at), bool), []
+    starts = np.nonzero((step > 0) & (step <= SEED) & (np.append(0, step[:-1]) != step))[0]
+    for i in starts.tolist():
+        q, j = int(step[i]), i
+        while j < len(step) and step[j] == q:
+            j += 1
+        a, b = int(p[i]), int(p[j]) + SEED
+        while a > 0 and raw[a - 1] == raw[a - 1 + q]:
+            a -= 1
+        while b < len(raw) and raw[b] == raw[b - q]:
+            b += 1
+        if b - a >= LENGTH + 2 * q:
+            drop[order[i + 2 : j]] = True
+            stretches.append((a, b))
+    return ~drop, np.array(stretches, np.int64).reshape(-1, 2)
+
+
+def seeds(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the seeds of a text that are least in some string of LENGTH bytes, and hashes of each with SIDE bytes more to the left and to the right (0: there aren't so many); stretches of thinned().
+
+    Equal strings have equal least seeds at equal places, wherever they stand. All of equally small seeds are taken, but in periodic stretches (see thinned). A
     string of LENGTH bytes over a seed holds SIDE bytes to its left or to its right, so one of the hashes recurs with it."""
     n = len(raw)
     if n < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
     up, down = _power(n)
     sums = np.concatenate([[np.uint64(0)], np.cumsum(_LETTER[np.frombuffer(raw, np.uint8)] * down)])
     h = _mix((sums[SEED:] - sums[:-SEED]) * up[: n - SEED + 1])
     least = _slide(h, SEEDS, np.minimum)
     pad = np.zeros(SEEDS - 1, np.uint64)
     at = np.nonzero(_slide(np.concatenate([pad, least, pad]), SEEDS, np.maximum) == h)[0]
+    keep, stretches = thinned(raw, at, h[at])
+    at = at[keep]
 
     def wide(start: np.ndarray, kind: int) -> np.ndarray:
         ok = (start >= 0) & (start + SEED + SIDE <= n)
@@ -78,7 +107,7 @@ def seeds(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out[ok] = _mix((sums[a + SEED + SIDE] - sums[a]) * up[a] + np.uint64(kind)) | np.uint64(1)
         return out
 
-    return at, wide(at - SIDE, 1), wide(at, 2)
+    return at, wide(at - SIDE, 1), wide(at, 2), stretches
 
 
 def common_prefix(a: bytes, b: bytes, start: int = 0) -> int:
@@ -223,18 +252,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for pdf in batches:
             raws = [t.encode("utf-8", "replace") for t in pdf["t"]]
             found = [seeds(r) for r in raws]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "sha": pdf["sha"], "n_bytes": [len(r) for r in raws], "at": [x[0] for x in found], "l": [x[1].view(np.int64) for x in found], "r": [x[2].view(np.int64) for x in found]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "sha": pdf["sha"], "n_bytes": [len(r) for r in raws], "at": [x[0] for x in found], "l": [x[1].view(np.int64) for x in found], "r": [x[2].view(np.int64) for x in found], "own": [[{"start": a, "end": b} for a, b in x[3].tolist()] for x in found]})
 
-    all_docs = cut(src.mapInPandas(find, "doc_id long, sha string, n_bytes long, at array<int>, l array<long>, r array<long>"), "seeds")
-    texts = all_docs.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("at").alias("at"), F.first("l").alias("l"), F.first("r").alias("r"))
+    spans_type = "array<struct<start:long,end:long>>"
+    all_docs = cut(src.mapInPandas(find, f"doc_id long, sha string, n_bytes long, at array<int>, l array<long>, r array<long>, own {spans_type}"), "seeds")
+    texts = all_docs.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("at", "l", "r", "own")))
     texts = cut(texts.filter(F.size("at") > 0).withColumn("uid", F.monotonically_increasing_id()), "texts")
     flat = texts.select("uid", F.explode(F.arrays_zip("at", "l", "r")).alias("x")).select("uid", "x.at", F.explode(F.array("x.l", "x.r")).alias("h")).filter("h <> 0")
     # written first, so that the join's partitions can be split where a key is very common
     often = cut(flat.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "often")
     places = probable(flat, "h", often).join(often, "h").select("uid", "at").distinct().groupBy("uid").agg(F.collect_list("at").alias("at"))
-    chosen = cut(texts.select("uid", "sha", "doc_id").join(places, "uid").select("uid", F.col("sha").alias("own"), F.col("doc_id").alias("rep"), "at"), "chosen")
+    chosen = texts.select("uid", "sha", "doc_id", "own").join(places, "uid", "left").filter("at is not null or size(own) > 0")
+    chosen = cut(chosen.select("uid", F.col("sha").alias("kind"), F.col("doc_id").alias("rep"), "own", F.coalesce("at", F.array().cast("array<int>")).alias("at")), "chosen")
     # a text's copies stay where they are, but for the one that stands for them (and rows that repeat its id)
-    pick = probable(src, "sha", chosen.select(F.col("own").alias("sha"))).join(chosen, (F.col("sha") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    pick = probable(src, "sha", chosen.select(F.col("kind").alias("sha"))).join(chosen, (F.col("sha") == F.col("kind")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     cand = cut(pick.dropDuplicates(["uid"]).select("uid", "sha", "t", "at"), "candidates")
     total = cand.agg(F.sum(F.size("at"))).first()[0] or 0
 
@@ -331,6 +362,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     edges = found.filter("edge").dropDuplicates(["h", "uid", "start"])
     twice = cut(edges.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "twice")
     hits = found.filter("not edge").select("uid", "start", "end").unionByName(edges.join(twice, "h").select("uid", "start", "end"))
+    hits = hits.unionByName(chosen.select("uid", F.explode("own").alias("x")).select("uid", "x.start", "x.end"))
 
     def carve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
