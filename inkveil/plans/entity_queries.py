@@ -163,21 +163,33 @@ def redaction_summary(spark, sf_dir):
     return entities.redaction_summary(done)
 
 
-@over(r"""SELECT doc_id, page, CASE WHEN w[1] = 'The' AND w[-1] = 'of' THEN [array_to_string(w[2:-2], ' ')] ELSE [text] END[1] AS first FROM (SELECT doc_id, page, text, string_split(text, ' ') AS w FROM txt) t WHERE NOT contains(lower(' ' || text || ' '), ' the of ')""")
+def _removal_sql(phrase: str) -> str:
+    """What is left of each page's text after `phrase` is removed, a row for each part, by the rules of entities.without_phrase."""
+    words = phrase.split(" ")
+    n, low = len(words), [w.lower() for w in words]
+    at = " AND ".join(f"l[i + {k}] = '{w}'" for k, w in enumerate(low))
+    return f"""SELECT doc_id, page, unnest(range(len(parts)))::INT AS part, unnest(parts) AS text FROM (SELECT doc_id, page, list_filter(CASE WHEN len(w) < {n} THEN [text] WHEN text = '{phrase}' THEN [] WHEN l[1] = '{low[0]}' AND l[-1] = '{low[-1]}' THEN [array_to_string(w[2:-2], ' ')]
+ WHEN pos IS NOT NULL THEN [array_to_string(w[1:pos - 1], ' '), array_to_string(w[pos + {n}:], ' ')] ELSE [text] END, lambda x: x <> '') AS parts FROM (SELECT *, list_filter(range(1, len(l) - {n - 2}), lambda i: {at})[1] AS pos FROM (SELECT doc_id, page, text, string_split(text, ' ') AS w, string_split(lower(text), ' ') AS l FROM txt) a) b) c"""
+
+
+def _removed(spark: SparkSession, sf_dir: str, phrase: str) -> DataFrame:
+    return entities.page_text(page_words(spark, sf_dir)).select("doc_id", "page", F.posexplode(entities.without_phrase("text", F.lit(phrase))).alias("part", "text"))
+
+
+@over(_removal_sql("The of"))
 def phrase_ends(spark, sf_dir):
-    pages = entities.page_text(page_words(spark, sf_dir)).filter("not contains(lower(concat(' ', text, ' ')), ' the of ') and text not rlike '(?i)^the .* of$' or text rlike '^The .* of$'")
-    return pages.filter("not contains(lower(concat(' ', text, ' ')), ' the of ')").select("doc_id", "page", F.get(entities.without_phrase("text", F.lit("The of")), F.lit(0)).alias("first"))
+    """Every page without a phrase of two frequent words, so that pages that begin and end with them come up."""
+    return _removed(spark, sf_dir, "The of")
 
 
-@over("""SELECT doc_id, page, string_split(lower(text), ' of the ')[1] AS head FROM txt WHERE contains(lower(text), ' of the ') AND length(string_split(lower(text), ' of the ')[1]) > 0 AND NOT (split_part(lower(text), ' ', 1) = 'of' AND split_part(lower(text), ' ', -1) = 'the') AND NOT starts_with(lower(text), 'of the ')""")
+@over(_removal_sql("of the"))
 def phrase_removal(spark, sf_dir):
-    pages = entities.page_text(page_words(spark, sf_dir)).filter("contains(lower(text), ' of the ') and not (lower(text) like 'of %' and lower(text) like '% the') and lower(text) not like 'of the %'")
-    return pages.select("doc_id", "page", F.lower(F.get(entities.without_phrases("text", ["of the"]), F.lit(0))).alias("head"))
+    return _removed(spark, sf_dir, "of the")
 
 
-@query(r"SELECT doc_id, list_filter(range(0, length(text) - 2), lambda p: substr(text, p + 1, 3) = 'ana')::INT[]::VARCHAR AS places FROM documents WHERE length(text) BETWEEN 3 AND 3000")
+@query(r"SELECT doc_id, list_filter(range(0, length(text) - 2), lambda p: c[p + 1] = 'a' AND c[p + 2] = 'n' AND c[p + 3] = 'a')::INT[]::VARCHAR AS places FROM (SELECT doc_id, text, string_split(text, '') AS c FROM documents WHERE text IS NOT NULL)")
 def all_occurrences(spark, sf_dir):
-    d = documents(spark, sf_dir).filter("length(text) between 3 and 3000")
+    d = documents(spark, sf_dir).filter("text is not null")
     return d.select("doc_id", F.concat(F.lit("["), F.array_join(entities.occurrences("text", F.lit(" ana ")).cast("array<string>"), ", "), F.lit("]")).alias("places"))
 
 
@@ -192,7 +204,7 @@ def padded_words(spark, sf_dir):
     return search.padded(page_words(spark, sf_dir)).select("doc_id", "page", "idx", "y0", "y1")
 
 
-@over("SELECT doc_id, page, idx, w FROM pw WHERE EXISTS (SELECT 1 FROM eb WHERE eb.doc_id = pw.doc_id AND eb.page = pw.page AND eb.original_text = pw.w)")
+@over("SELECT doc_id, page, idx, w FROM pw SEMI JOIN (SELECT DISTINCT doc_id, page, original_text AS w FROM eb) e USING (doc_id, page, w)")
 def entity_word_places(spark, sf_dir):
     w = page_words(spark, sf_dir)
     return search.entity_words(engine_b(w), w).select("doc_id", "page", "idx", "w")
@@ -208,10 +220,12 @@ def word_places(spark, sf_dir):
     return search.phrase_places(page_words(spark, sf_dir), "License")
 
 
-@over("""SELECT a.doc_id, a.page, a.x0, a.y0, c.x1, a.y1 FROM offs a JOIN offs b ON b.doc_id = a.doc_id AND b.page = a.page AND b.idx = a.idx + 1 JOIN offs c ON c.doc_id = a.doc_id AND c.page = a.page AND c.idx = a.idx + 2 WHERE a.w = 'under' AND b.w = 'the' AND c.w = 'MIT' AND a.y0 = c.y0""")
+@over(""", s AS (SELECT doc_id, page, unnest(list_filter(range(0, length(text) - 12), lambda p: substr(text, p + 1, 13) = 'under the MIT'))::INT AS start FROM txt WHERE contains(text, 'under the MIT')),
+t AS (SELECT s.doc_id, s.page, s.start, x0, y0, x1, y1 FROM s JOIN offs o ON o.doc_id = s.doc_id AND o.page = s.page AND o.w_end >= s.start AND o.w_end - length(o.w) <= s.start + 13),
+l AS (SELECT doc_id, page, start, y0, min(x0) AS x0, max(x1) AS x1, least(max(y1), y0 + 40) AS y1 FROM t GROUP BY doc_id, page, start, y0)
+SELECT doc_id, page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, CASE WHEN count(*) > 1 THEN least(max(y1), min(y0) + 20) ELSE max(y1) END AS y1 FROM l GROUP BY doc_id, page, start""")
 def phrase_places(spark, sf_dir):
-    w = page_words(spark, sf_dir)
-    return search.phrase_places(w, "under the MIT").filter("y1 - y0 = 10")
+    return search.phrase_places(page_words(spark, sf_dir), "under the MIT")
 
 
 @over("""SELECT doc_id, page, first, n, phrase FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, first) AS k FROM (SELECT doc_id, page, min(idx)::INT AS first, count(*) AS n, string_agg(w, ' ' ORDER BY idx) AS phrase, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1
@@ -286,7 +300,12 @@ def likeness(spark, sf_dir):
     return left.join(right, "g").select("a", "b", chunking.similarity("t", "u").cast("double").alias("likeness"))
 
 
-@query("""SELECT doc_id, v AS value, p::INT AS start, (p + length(v))::INT AS "end" FROM (SELECT doc_id, v, unnest(list_filter(range(0, greatest(0, length(text) - length(v) + 1)), lambda p: substr(text, p + 1, length(v)) = v)) AS p FROM (SELECT doc_id, text, unnest(['the', 'e.', 'anan']) AS v FROM documents WHERE length(text) < 2000) a) b""")
+_VALUES = ("the", "e.", "anan")
+
+
+@query("WITH d AS (SELECT doc_id, string_split(text, '') AS c FROM documents) " + " UNION ALL ".join(
+    f"""SELECT doc_id, '{v}' AS value, p::INT AS start, (p + {len(v)})::INT AS "end" FROM (SELECT doc_id, unnest(list_filter(range(0, len(c) - {len(v) - 1}), lambda p: {" AND ".join(f"c[p + {k + 1}] = '{x}'" for k, x in enumerate(v))})) AS p FROM d)""" for v in _VALUES
+))
 def value_spans(spark, sf_dir):
-    d = documents(spark, sf_dir).filter("length(text) < 2000")
-    return d.select("doc_id", F.explode(chunking.value_spans("text", F.array(F.lit("the"), F.lit("e."), F.lit("anan")))).alias("s")).select("doc_id", "s.*")
+    d = documents(spark, sf_dir)
+    return d.select("doc_id", F.explode(chunking.value_spans("text", F.array(*map(F.lit, _VALUES)))).alias("s")).select("doc_id", "s.*")

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 import regex
@@ -126,11 +127,38 @@ def test_items_and_search(spark):
 
 
 def test_looking_patterns(spark):
-    texts = ["Navn: Kari og Ola Nordmann bor i Storgata vei, ring +47 91 23 45 67 eller 12345678.", "Etternavn Åsen. Per Hansen gate 3", "nr 123456789 og 0047 22334455"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    got = {(r.doc_id, r.pattern, r.start, r.original_text) for r in patterns.detect(df, patterns.LOOKING_PATTERNS).collect()}
-    want = {(i, n, m.start(), m[0]) for _, n, rx, _ in patterns.LOOKING_PATTERNS for i, t in enumerate(texts) for m in regex.finditer(rx, t, regex.I)}
-    assert got == want and len({x[1] for x in got}) == 4
+    texts = ["Navn: Kari og Ola Nordmann bor i Storgata vei, ring +47 91 23 45 67 eller 12345678.", "Etternavn Åsen. Per Hansen gate 3", "nr 123456789 og 0047 22334455", None, "", "Fornavn" + " " * 300 + "Ola Per"]
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[1]), (0, texts[0])], "doc_id int, text string").selectExpr("*", "1 AS start", "2 AS pattern")
+    got = sorted(((r.doc_id, r.pattern, r.start, r.original_text) for r in patterns.detect(df, patterns.LOOKING).collect()), key=str)
+    want = [(i, n, m.start(), m[0]) for _, n, rx, _, _ in patterns.LOOKING for i, t in [*enumerate(texts), (None, texts[1]), (0, texts[0])] for m in regex.finditer(rx, t or "", regex.I)]
+    assert got == sorted(want, key=str) and len({x[1] for x in got}) == 4
+    assert patterns.detect(df.limit(0), patterns.PATTERNS).count() == 0
+
+
+def test_every_pattern():
+    """All 28 against the expressions themselves, on texts made of pieces that they meet."""
+    rng = random.Random(28)
+    pieces = "Storgata vei alle Kirkegata tun gate 12 5B 0150 Oslo Ås Bø-Per navn: etternavn fornavn Ola Nordmann kommune +47 0047 22334455 91-23 45 67 1 2 3 4 5 6 7 8 é ü_ . , - \n @ ola@firma.no a.b www.firma.no https://x.y/%20z 01019012345 123 456 789 org.nr. AB 12345 reg.nr. 1234.56.78901 kontonr. NO93 8601 1117 947 12.03.2024 14:30 3. mars 2024-02-03 1BoatSLRHtKNngkdXEeobR76b53LETtpyT 10.0.0.1 fe80:0:0:0:1:2:3:4 HPR-1234567 e-post: 0x52908400098527886E0F7030069857D2E4169EE7 , .".split(" ")
+    pieces += ["12.03.2024 14:30", "3. mars 2024", "org.nr. 123 456 789", "orgnr: 123456789", "Storgata 5 0150 Oslo", "reg.nr. AB 12345", "kontonr. 1234.56.78901", "NO93 8601 1117 947", "e-post: ola@firma.no"]
+    find = patterns.finder(patterns.PATTERNS)
+    hits = set()
+    for _ in range(2500):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " ", " ", " ", "  ", "\n"]) for _ in range(rng.randrange(1, 16)))
+        for i, (_, name, rx, _, _) in enumerate(patterns.PATTERNS):
+            want = [m.span() for m in regex.finditer(rx, text, regex.I)]
+            assert [(a, b) for k, a, b in find(text) if k == i] == want, (name, text)
+            hits |= {name} if want else set()
+    assert hits == {p[1] for p in patterns.PATTERNS}
+
+
+def test_long_texts():
+    """Time grows with the text, whatever it is made of."""
+    find = patterns.finder(patterns.PATTERNS)
+    word, long = "ab" * 500_000, "Storgata and the vei " * 20_000
+    for text in (word, word + "@1", "1" * 300_000, long, long + "5", "a-b." * 100_000 + "1", " " * 200_000 + "1", ("navn: " * 20_000) + "1", "12 " * 100_000):
+        began = time.perf_counter()
+        n = sum(1 for _ in find(text))
+        assert time.perf_counter() - began < 30 and n >= 0, text[:20]
 
 
 def test_labels(spark):
