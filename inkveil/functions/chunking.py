@@ -21,33 +21,26 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def packed(parts: Column, most: int) -> Column:
-    """Parts joined by spaces, in order, each chunk as long as it can be up to `most` characters; a longer part is alone."""
-    none = F.array().cast("array<string>")
-    add = lambda a, x: F.when(
-        (F.size(a) > 0) & (F.length(F.element_at(a, -1)) + 1 + F.length(x) <= most), F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.concat(F.get(a, F.size(a) - 1), F.lit(" "), x)))
-    ).otherwise(F.concat(a, F.array(x)))
-    return F.aggregate(parts, none, lambda a, x: F.when(F.size(a) == 0, F.array(x)).otherwise(add(a, x)))
+def _packed(joined: Column, separator: str, most: int) -> Column:
+    """What stands between single separators, in runs of at most `most` characters as long as they can be; a longer part is alone.
+
+    One expression goes over the text once, and back by `most` characters at most for each run."""
+    return F.regexp_extract_all(joined, F.lit(f"(?s)[^{separator}].{{0,{most - 1}}}(?![^{separator}])|[^{separator}]+"), F.lit(0))
 
 
 def word_chunks(text: Column | str, most: int) -> Column:
     """Words of a text in chunks of at most `most` characters; a longer word is a chunk of its own."""
-    return packed(_words(_col(text)), most)
+    return _packed(F.array_join(_words(_col(text)), " "), " ", most)
 
 
-def sentence_groups(text: Column | str, most: int = 800) -> Column:
-    """Sentences in groups of at most `most` characters; a longer sentence is divided between words and shares no group."""
-    none = F.array().cast("array<struct<t:string,alone:boolean>>")
+#: A code point that is no character, and so in no text, between sentences.
+BETWEEN = "\ufdd0"
 
-    def add(a: Column, s: Column) -> Column:
-        long = F.transform(word_chunks(s, most), lambda w: F.struct(w.alias("t"), F.lit(True).alias("alone")))
-        own = F.struct(s.alias("t"), F.lit(False).alias("alone"))
-        last = F.get(a, F.size(a) - 1)
-        joined = F.struct(F.concat(last["t"], F.lit(" "), s).alias("t"), F.lit(False).alias("alone"))
-        fits = (F.size(a) > 0) & ~F.coalesce(last["alone"], F.lit(True)) & (F.length(last["t"]) + 1 + F.length(s) <= most)
-        return F.when(F.length(s) > most, F.concat(a, long)).when(fits, F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(a, F.array(own)))
 
-    return F.transform(F.aggregate(sentences(text), none, add), lambda x: x["t"])
+def sentence_groups(text: Column | str, most: int = 800) -> Column:
+    """Sentences in groups of at most `most` characters; a longer sentence is divided between words and shares no group."""
+    groups = _packed(F.array_join(sentences(text), BETWEEN), BETWEEN, most)
+    return F.flatten(F.transform(groups, lambda g: F.when(F.length(g) > most, word_chunks(g, most)).otherwise(F.array(F.replace(g, F.lit(BETWEEN), F.lit(" "))))))
 
 
 def boundary_chunks(text: Column | str, most: int = 10_000, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> Column:
@@ -89,7 +82,6 @@ def similarity(a: Column | str, b: Column | str) -> Column:
 
 # References in which slashes stay.
 REFERENCES = r"\b(?:ref|referanse)[:\s]+[A-Za-z0-9\-]+/[A-Za-z0-9\-/]+|\b\d{4}/\d+\b"
-LETTER_REFERENCES = r"Deres\s+ref:?\s*[A-Za-z0-9\-/]+|Vår\s+ref:?\s*[A-Za-z0-9\-/]+|\bN/A\b"
 
 
 def scrubbed(text: Column | str, references: str = REFERENCES) -> Column:

@@ -162,6 +162,22 @@ def united(engines: dict[str, DataFrame]) -> DataFrame:
     return best.select(*PAGE, "entity_type", "start", "end", "b.score", "b.engine")
 
 
+def sanitised(found: DataFrame, items: DataFrame, digits: int = 1) -> DataFrame:
+    """Rows (doc_id, total, by_type, by_page) of a detection: equal entities and equal items once, then their counts as maps.
+
+    Entities are equal by type and place, whatever their page; items by page, type, place and rounded box. by_page counts `items`, from which
+    removed ones may be missing, total and by_type count `found`. Both go through one deduplication, as kinds of one table, whose keys are spread
+    over tasks also where a document is large; what is grouped by document then are counts. Documents of items without entities have a total of 0."""
+    box = ["x0", "y0", "x1", "y1"]
+    key = lambda t: [F.coalesce("entity_type", F.lit("UNKNOWN")).alias("entity_type"), F.coalesce("start", F.lit(0)).alias("start"), F.coalesce("end", F.lit(0)).alias("end")]
+    one = found.select("doc_id", F.lit(None).cast(items.schema["page"].dataType).alias("page"), *key(found), *(F.lit(None).cast("double").alias(c) for c in box), F.lit(True).alias("entity"))
+    two = items.select("doc_id", "page", *key(items), *(F.round(c, digits).alias(c) for c in box), F.lit(False).alias("entity"))
+    unique = one.unionByName(two).distinct()
+    counts = unique.groupBy("doc_id", "entity", "page", F.when(F.col("entity"), F.col("entity_type")).alias("kind")).agg(F.count("*").alias("n"))
+    pairs = lambda entity, name: F.map_from_entries(F.collect_list(F.when(F.col("entity") == entity, F.struct(name, "n"))))
+    return counts.groupBy("doc_id").agg(F.coalesce(F.sum(F.when(F.col("entity"), F.col("n"))), F.lit(0)).alias("total"), pairs(True, "kind").alias("by_type"), pairs(False, "page").alias("by_page"))
+
+
 def page_lists(items: DataFrame) -> DataFrame:
     """One row for each document with items: its pages in order, each with its items in order of place."""
     one = items.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("start", "end", "entity_type", "score"))).alias("sensitive"))

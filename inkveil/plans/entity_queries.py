@@ -147,6 +147,19 @@ def boxes_only(spark, sf_dir):
     return page_words(spark, sf_dir).drop("w")
 
 
+@over(""", e AS (SELECT DISTINCT doc_id, entity_type, start, "end" FROM ea), i AS (SELECT DISTINCT doc_id, page, entity_type, start, "end", round(x0, 1) AS x0, round(y0, 1) AS y0, round(x1, 1) AS x1, round(y1, 1) AS y1 FROM items WHERE NOT contains(original_text, '@')),
+t AS (SELECT doc_id, string_agg(entity_type || ':' || n, ' ' ORDER BY entity_type) AS by_type, sum(n)::BIGINT AS total FROM (SELECT doc_id, entity_type, count(*) AS n FROM e GROUP BY ALL) GROUP BY doc_id),
+p AS (SELECT doc_id, string_agg('page_' || page || ':' || n, ' ' ORDER BY page) AS by_page FROM (SELECT doc_id, page, count(*) AS n FROM i GROUP BY ALL) GROUP BY doc_id)
+SELECT doc_id, total, by_type, coalesce(by_page, '') AS by_page FROM t LEFT JOIN p USING (doc_id)""")
+def sanitised(spark, sf_dir):
+    """The composed response of a detection; items of mail addresses are removed, which changes the pages' counts but not the entities'."""
+    w = page_words(spark, sf_dir)
+    found = engine_a(w)
+    out = entities.sanitised(found, entities.entity_items(found, w).filter("not contains(original_text, '@')"))
+    text = lambda m, prefix: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat(F.lit(prefix), x["key"].cast("string"), F.lit(":"), x["value"].cast("string"))), " ")
+    return out.select("doc_id", "total", text("by_type", "").alias("by_type"), text("by_page", "page_").alias("by_page"))
+
+
 @over("SELECT t.doc_id, 'page_' || t.page AS page, coalesce(n, 0) AS n FROM txt t LEFT JOIN (SELECT doc_id, page, count(*) AS n FROM items GROUP BY 1, 2) i USING (doc_id, page)")
 def counts_by_page(spark, sf_dir):
     return entities.counts_by_page(entities.page_text(page_words(spark, sf_dir)), entity_items(spark, sf_dir))
@@ -257,12 +270,24 @@ def sentences(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.sentences("text")).alias("idx", "s"))
 
 
-@query()
+_SENTENCES = r"list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+
+
+def _words_sql(text: str, most: int) -> str:
+    return rf"regexp_extract_all(array_to_string(list_filter(string_split_regex({text}, '\s+'), lambda w: w <> ''), ' ') || ' ', '(?s)([^ ].{{0,{most - 1}}}|[^ ]+) ', 1)"
+
+
+@query(f"SELECT doc_id, unnest(range(len(c)))::INT AS idx, unnest(c) AS chunk FROM (SELECT doc_id, {_words_sql('text', 60)} AS c FROM documents)")
 def word_chunks(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.word_chunks("text", 60)).alias("idx", "chunk"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE p AS (SELECT doc_id, unnest(range(len(s))) AS k, unnest(s) AS s FROM (SELECT doc_id, {_SENTENCES} AS s FROM documents) a),
+q AS (SELECT doc_id, k, length(s) AS n FROM p), r AS (SELECT doc_id, k, n, n AS size, 0 AS g FROM q WHERE k = 0
+UNION ALL SELECT q.doc_id, q.k, q.n, CASE WHEN r.size + 1 + q.n <= 800 THEN r.size + 1 + q.n ELSE q.n END, CASE WHEN r.size + 1 + q.n <= 800 THEN r.g ELSE r.g + 1 END FROM r JOIN q ON q.doc_id = r.doc_id AND q.k = r.k + 1),
+t AS (SELECT doc_id, g, string_agg(s, ' ' ORDER BY k) AS t FROM r JOIN p USING (doc_id, k) GROUP BY ALL),
+u AS (SELECT doc_id, g, 0 AS h, t FROM t WHERE length(t) <= 800 UNION ALL SELECT doc_id, g, unnest(range(len(c))), unnest(c) FROM (SELECT doc_id, g, {_words_sql('t', 800)} AS c FROM t WHERE length(t) > 800) x)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g, h) - 1)::INT AS idx, t AS chunk FROM u""")
 def sentence_groups(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.posexplode(chunking.sentence_groups("text")).alias("idx", "chunk"))
 
