@@ -31,6 +31,8 @@ class Bucket(StatefulProcessor):
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         tokens, last = self.bucket.get() if self.bucket.exists() else (self.burst, None)
+        if last is not None and int(last * 1000) + self.idle_ms <= timerValues.getCurrentWatermarkInMs():
+            tokens, last = self.burst, None  # its timer is due too, but timers come behind a batch's rows
         pdf = pd.concat(list(rows)).sort_values(["at", "request_id"])
         out = []
         for at in pdf["at"]:
