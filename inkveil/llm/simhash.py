@@ -107,24 +107,29 @@ def sketch(s: np.ndarray) -> tuple[int, int]:
     return int(half[0]), int(half[1])
 
 
-def may_be_alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Whether sketches, as pairs of arrays of halves, have enough in common."""
+def may_be_alike(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...], threshold: float) -> np.ndarray:
+    """Whether sets, as triples of arrays (halves of sketches, sizes), may have a Jaccard similarity of `threshold` or more.
+
+    Two bounds hold for certain: the smaller size is `threshold` of the larger one or more, and bins differ by no more than the values
+    that one set alone has, (1 - threshold) / (1 + threshold) of both sizes at most. The third is SAME."""
 
     def filled(x: np.ndarray) -> np.ndarray:
         return (x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)) & np.uint64(ONES)
 
-    used = sum(np.bitwise_count(filled(x) | filled(y)).astype(np.int32) for x, y in zip(a, b))
-    differ = sum(np.bitwise_count(filled(x ^ y)).astype(np.int32) for x, y in zip(a, b))
-    return (used < ENOUGH) | (used - differ >= SAME * used)
+    used = sum(np.bitwise_count(filled(x) | filled(y)).astype(np.int32) for x, y in zip(a[:2], b[:2]))
+    differ = sum(np.bitwise_count(filled(x ^ y)).astype(np.int32) for x, y in zip(a[:2], b[:2]))
+    sizes = (np.minimum(a[2], b[2]) >= threshold * np.maximum(a[2], b[2]) - 1e-9) & (differ <= (1 - threshold) / (1 + threshold) * (a[2] + b[2]) + 1e-9)
+    return sizes & ((used < ENOUGH) | (used - differ >= SAME * used))
 
 
-def _may_be_alike(a: list[Column], b: list[Column]) -> Column:
+def _may_be_alike(a: list[Column], b: list[Column], threshold: float) -> Column:
     def filled(x: Column) -> Column:
         return x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3)).bitwiseAND(F.lit(ONES))
 
-    used = sum((F.bit_count(filled(x).bitwiseOR(filled(y))) for x, y in zip(a, b)), F.lit(0))
-    differ = sum((F.bit_count(filled(x.bitwiseXOR(y))) for x, y in zip(a, b)), F.lit(0))
-    return (used < ENOUGH) | (used - differ >= SAME * used)
+    used = sum((F.bit_count(filled(x).bitwiseOR(filled(y))) for x, y in zip(a[:2], b[:2])), F.lit(0))
+    differ = sum((F.bit_count(filled(x.bitwiseXOR(y))) for x, y in zip(a[:2], b[:2])), F.lit(0))
+    sizes = (F.least(a[2], b[2]) >= threshold * F.greatest(a[2], b[2]) - 1e-9) & (differ <= (1 - threshold) / (1 + threshold) * (a[2] + b[2]) + 1e-9)
+    return sizes & ((used < ENOUGH) | (used - differ >= SAME * used))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 2, k: int = 3) -> DataFrame:
@@ -186,7 +191,7 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", threshold
     Candidates come from the byte-position index over SimHash fingerprints of the distinct words: pairs that share `shared`
     positional bytes or more and differ in `bits` or fewer bits. Any pair of 8 - `shared` differing bits has that minimum;
     of pairs with more bits, up to `bits`, those are found that do share so many bytes. Candidates whose sketches (the least shingle of each
-    of 32 ranges, 16 bytes together) say that they are far under the threshold are dropped; any other is linked if the
+    of 32 ranges, 16 bytes together) or sizes say that they are under the threshold are dropped; any other is linked if the
     Jaccard similarity of its 5-word shingles (words in lower case, 64-bit hashes) is `threshold` or more. component is
     the least row reachable. Texts of equal shingle sets are one node, so copies are never expanded; texts without words
     are copies of each other.
@@ -223,12 +228,12 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", threshold
         return cut(both.filter(sizes).filter(close("a", "b")).select("u", "v"), "verified")
 
     units = cut(src.mapInPandas(sign, "row long, same long, also long, n int, fp long, s1 long, s2 long"), "signatures")
-    own = ["u", "fp", "s1", "s2"]
-    kinds = cut(units.groupBy("same", "also", "n").agg(F.min("row").alias("u"), *(F.min(c).alias(c) for c in own[1:])), "kinds")
+    own = ["u", "fp", "s1", "s2", "n"]
+    kinds = cut(units.groupBy("same", "also", "n").agg(F.min("row").alias("u"), *(F.min(c).alias(c) for c in own[1:4])), "kinds")
     posts = post(kinds.filter("n > 0").select(*own), covering(shared, shared)).repartition("h")
     heads = posts.groupBy("h").agg(F.min(F.struct(*own)).alias("hub"), F.count("*").alias("size")).filter("size > 1")
     members = cut(posts.join(heads, "h"), "members")
-    likely = _may_be_alike([F.col("s1"), F.col("s2")], [F.col("hub.s1"), F.col("hub.s2")])
+    likely = _may_be_alike([F.col(c) for c in own[2:]], [F.col(f"hub.{c}") for c in own[2:]], threshold)
     hubs = cut(members.filter((F.col("u") != F.col("hub.u")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("hub.fp"))) <= bits) & likely).select("u", F.col("hub.u").alias("v")).distinct(), "pairs")
     links = verified(hubs)
     label = cut(components(links), "labels")
@@ -242,15 +247,16 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", threshold
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for u, c, *rest in zip(*(pdf[x] for x in ("u", "c", "fp", "s1", "s2"))):
+            for u, c, n, *rest in zip(*(pdf[x] for x in ("u", "c", "n", "fp", "s1", "s2"))):
+                n = np.asarray(n, np.int64)
                 fp, s1, s2 = (np.asarray(x, np.int64).view(np.uint64) for x in rest)
                 i, j = close_pairs(fp, bits, shared)
-                other = (np.asarray(c)[i] != np.asarray(c)[j]) & may_be_alike((s1[i], s2[i]), (s1[j], s2[j]))
+                other = (np.asarray(c)[i] != np.asarray(c)[j]) & may_be_alike((s1[i], s2[i], n[i]), (s1[j], s2[j], n[j]), threshold)
                 a, b = np.asarray(u)[i[other]], np.asarray(u)[j[other]]
                 out.append(pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)}))
             yield pd.concat(out) if out else pd.DataFrame({"u": [], "v": []}, dtype="int64")
 
-    more = cut(rest.select("l.u", "l.c", "l.fp", "l.s1", "l.s2").mapInPandas(tally, "u long, v long").distinct().join(hubs, ["u", "v"], "left_anti"), "more")
+    more = cut(rest.select("l.u", "l.c", "l.fp", "l.s1", "l.s2", "l.n").mapInPandas(tally, "u long, v long").distinct().join(hubs, ["u", "v"], "left_anti"), "more")
     if not more.isEmpty():
         label = cut(components(links.unionByName(verified(more))), "labels")
     told = kinds.join(label, F.col("u") == F.col("node"), "left").select("same", "also", "n", F.coalesce("component", "u").alias("component"))
