@@ -15,7 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Rows of a batch that goes to Python at once; texts can be long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB
 
 #: Multipliers of a word's bytes by place; bytes of a text that are hashed at a time.
 POWERS = np.cumprod(np.full(1024, MIX[4]))
-STEP = 1 << 20
+STEP = 1 << 19
 
 
 def tune_bands(threshold: float, recall: float = 0.99) -> int:
@@ -68,7 +68,7 @@ def words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def gathered(ids: Iterable, texts: Iterable[str | None]) -> Iterator[tuple[list, list[bytes]]]:
-    """Ids and lower-case bytes of texts, about STEP bytes at a time."""
+    """Ids and lower-case bytes of texts, about STEP bytes at a time, which bounds what a worker holds."""
     own, raws, size = [], [], 0
     for i, text in zip(ids, texts):
         own.append(i)
