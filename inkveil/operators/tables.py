@@ -165,17 +165,19 @@ def in_network(ip: Column | str, network: Column | str) -> Column:
 
 def banned(requests: DataFrame, bans: DataFrame, ip: str = "ip") -> DataFrame:
     """`requests` whose address a row of `bans` (network) names or holds. Single addresses are joined on equality; networks are
-    joined on each prefix length that occurs (33 at most), so neither side is gone through for every row of the other."""
+    joined on each prefix length that occurs (33 at most), so neither side is gone through for every row of the other. Distinct addresses
+    are looked up, and requests, repeated ones too, kept by their address; null addresses aren't banned."""
     single = bans.filter(~F.col("network").contains("/")).select(F.col("network").alias("_k"))
     wide = bans.filter(F.col("network").rlike(r"^[^/]+/\d+$")).select(F.substring_index("network", "/", 1).alias("_a"), F.substring_index("network", "/", -1).cast("int").alias("_bits")).filter("_bits between 0 and 32")
     number = lambda c: sum((F.element_at(F.split(c, r"\."), i + 1).cast("long") * (1 << 8 * (3 - i)) for i in range(4)), F.lit(0).cast("long"))
     cut = lambda n: F.concat(F.col("_bits").cast("string"), F.lit("/"), F.floor(n / F.call_function("shiftleft", F.lit(1).cast("long"), 32 - F.col("_bits"))).cast("string"))
     nets = wide.select(cut(number("_a")).alias("_k"))
     lengths = [r[0] for r in wide.select("_bits").distinct().collect()]  # 33 at most
-    ipv4 = requests.filter(F.col(ip).rlike(r"^\d+\.\d+\.\d+\.\d+$"))
+    addresses = requests.select(ip).distinct()
+    ipv4 = addresses.filter(F.col(ip).rlike(r"^\d+\.\d+\.\d+\.\d+$"))
     keys = ipv4.withColumn("_bits", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>"))).withColumn("_k", cut(number(ip)))
-    hit = requests.withColumn("_k", F.col(ip)).join(single, "_k", "left_semi").unionByName(keys.drop("_bits").join(nets, "_k", "left_semi"), allowMissingColumns=True)
-    return hit.drop("_k").distinct()
+    hit = addresses.withColumn("_k", F.col(ip)).join(single, "_k", "left_semi").select(ip).unionByName(keys.join(nets, "_k", "left_semi").select(ip))
+    return requests.join(hit, ip, "left_semi").select(*requests.columns)
 
 
 def expiry(duration: Column | str, since: Column) -> Column:
