@@ -7,10 +7,15 @@ original_text), offsets counting characters of the page's text, i.e. its words j
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkveil.operators import boxes
 
@@ -141,11 +146,36 @@ def placed(spans: DataFrame, words: DataFrame, line_height: float = 40, height:
     return out.select("doc_id.doc_id", "doc_id.page", *rest, "x0", "y0", "x1", "y1")
 
 
+def needle_places(pages: DataFrame) -> DataFrame:
+    """Rows (doc_id, page, the fields of each needle, start): every place, overlapping ones too, of each of a page's needles in its text.
+
+    `pages` has doc_id, page, text and needles, an array of structs of which the field original_text isn't empty. An automaton of all
+    needles of a page goes over the text once, so the work is linear in the text, the needles and the places."""
+    needle = pages.schema["needles"].dataType.elementType
+    schema = T.StructType([*(pages.schema[c] for c in PAGE), *needle.fields, T.StructField("start", T.IntegerType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for doc, page, text, needles in zip(pdf["doc_id"], pdf["page"], pdf["text"], pdf["needles"]):
+                automaton, owners = ahocorasick.Automaton(), {}
+                for n in needles:
+                    owners.setdefault(n["original_text"], []).append(tuple(n[f] for f in needle.names))
+                for t in owners:
+                    automaton.add_word(t, t)
+                automaton.make_automaton()
+                found = ((doc, page, *n, end + 1 - len(t)) for end, t in automaton.iter(text) for n in owners[t])
+                while rows := list(islice(found, 10_000)):
+                    yield pd.DataFrame(rows, columns=schema.names)
+
+    return pages.select(*PAGE, "text", "needles").mapInPandas(run, schema)
+
+
 def entity_items(entities: DataFrame, words: DataFrame, pad: dict[str, float] | None = None) -> DataFrame:
     """Redaction items: every occurrence of each entity's text on its page, with a box; equal items once."""
-    found = entities.withColumn("original_text", F.trim("original_text")).filter("original_text <> ''").join(page_text(words), PAGE)
-    spans = found.select(*PAGE, "entity_type", "score", "original_text", F.explode(occurrences("text", "original_text")).alias("start")).withColumn("end", F.col("start") + F.length("original_text")).distinct()
-    return placed(spans, words, pad=pad)
+    found = entities.withColumn("original_text", F.trim("original_text")).filter("original_text <> ''")
+    needles = found.groupBy(*PAGE).agg(F.collect_set(F.struct("entity_type", "score", "original_text")).alias("needles"))
+    spans = needle_places(needles.join(page_text(words), PAGE)).withColumn("end", F.col("start") + F.length("original_text"))
+    return placed(spans.select(*PAGE, "entity_type", "score", "original_text", "start", "end"), words, pad=pad)
 
 
 def best_items(items: DataFrame, digits: int = 1) -> DataFrame:
