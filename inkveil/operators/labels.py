@@ -97,13 +97,60 @@ def flat(results: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame
     return rows.replace(mapping, subset=["type"]) if mapping else rows
 
 
+#: Characters of a gram. Texts of at most so many are looked up whole.
+GRAM = 3
+
+
+def _grams(text: str, size: int) -> Column:
+    """The distinct runs of `size` characters, by one expression that goes over the text once."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?=(\P{{Cs}}{{{size}}}))"), F.lit(1)))
+
+
+def _held_pairs(needles: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
+    """Rows (key, _n, _t): needles `_n` of more than `GRAM` characters and the texts `_t` that hold them.
+
+    A needle is looked up by that of its grams which the fewest texts of its key have, so a pair is made where a text shares the
+    needle's rarest gram; a needle with a gram that no text has is dropped. Only texts that are candidates are joined back whole."""
+    grams = texts.select(*key, F.md5("_t").alias("_id"), F.explode(_grams("_t", GRAM)).alias("_g"))
+    counts = grams.groupBy(*key, "_g").agg(F.count("*").alias("_c"))
+    own = needles.filter(F.length("_n") > GRAM).withColumn("_all", _grams("_n", GRAM))
+    rare = own.select(*key, "_n", F.size("_all").alias("_size"), F.explode("_all").alias("_g")).join(counts, [*key, "_g"])
+    rare = rare.groupBy(*key, "_n", "_size").agg(F.count("*").alias("_hits"), F.min_by("_g", F.struct("_c", "_g")).alias("_g")).filter("_hits = _size")
+    near = rare.select(*key, "_n", "_g").join(grams, [*key, "_g"]).select(*key, "_n", "_id")
+    return near.join(texts.withColumn("_id", F.md5("_t")), [*key, "_id"]).filter(F.contains("_t", F.col("_n"))).select(*key, "_n", "_t")
+
+
+def _short(texts: DataFrame, key: list[str], *kept: str) -> DataFrame:
+    """The runs of 1 to `GRAM` characters of texts, as `_n`."""
+    return texts.select(*key, *kept, F.explode(F.concat(*(_grams("_t", k) for k in range(1, GRAM + 1)))).alias("_n"))
+
+
+def held(needles: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
+    """The distinct needles (key, _n) that some text (key, _t) of equal key holds. An empty needle is held by any text; nulls hold and match nothing."""
+    needles, texts = needles.select(*key, "_n").distinct(), texts.select(*key, "_t").filter("_t is not null").distinct()
+    short = needles.filter(F.length("_n").between(1, GRAM)).join(_short(texts, key).distinct(), [*key, "_n"], "left_semi")
+    empty = needles.filter("_n = ''").join(texts, key, "left_semi")
+    return short.unionByName(empty).unionByName(_held_pairs(needles, texts, key).select(*key, "_n").distinct())
+
+
+def holders(needles: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
+    """The distinct texts (key, _t) that hold some needle (key, _n) of equal key."""
+    needles, texts = needles.select(*key, "_n").distinct(), texts.select(*key, "_t").filter("_t is not null").distinct()
+    short = _short(texts, key, "_t").join(needles.filter(F.length("_n").between(1, GRAM)), [*key, "_n"], "left_semi").select(*key, "_t")
+    empty = texts.join(needles.filter("_n = ''"), key, "left_semi")
+    return short.unionByName(empty).unionByName(_held_pairs(needles, texts, key).select(*key, "_t")).distinct()
+
+
 def partial(found: DataFrame, labelled: DataFrame, typed: bool = False) -> DataFrame:
-    """Distinct found labels with `matched`: whether a label of the file holds its text or is held by it, without case, and, if `typed`, has its type."""
+    """Distinct found labels with `matched`: whether a label of the file holds its text or is held by it, without case, and, if `typed`, has its type.
+
+    Texts meet by rare grams, not all with all of a file."""
     key = ["file", "type"] if typed else ["file"]
-    other = labelled.select(*key, F.lower("text").alias("_m")).distinct()
-    t = F.lower("text")
-    hits = found.join(other, key).filter(F.contains(t, F.col("_m")) | F.contains(F.col("_m"), t)).select("file", "text", "type").distinct()
-    return found.distinct().join(hits.withColumn("matched", F.lit(True)), ["file", "text", "type"], "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
+    own, other = found.select(*key, F.lower("text").alias("_n")), labelled.select(*key, F.lower("text").alias("_n"))
+    as_text = lambda df: df.withColumnRenamed("_n", "_t")
+    hits = held(own, as_text(other), key).unionByName(holders(other, as_text(own), key).withColumnRenamed("_t", "_n")).distinct()
+    rows = found.select("file", "text", "type").distinct().withColumn("_n", F.lower("text"))
+    return rows.join(hits.withColumn("matched", F.lit(True)), [*key, "_n"], "left").select("file", "text", "type", F.coalesce("matched", F.lit(False)).alias("matched"))
 
 
 def greedy(found: DataFrame, labelled: DataFrame, least: float = 0.7) -> DataFrame:
@@ -155,20 +202,26 @@ def ranked(rows: DataFrame, by: str = "engine") -> DataFrame:
 
 def mapped_names(names: DataFrame, targets: DataFrame, fuzzy: bool = True, least: float = 0.5) -> DataFrame:
     """Rows (name, target): the equal file name, else one of equal base name without folder and extension, else (`fuzzy`) the
-    one that holds it or is held, the shorter base being more than `least` of the longer; those are looked up by their first three letters."""
+    best that holds it or is held: the distinct characters of the shorter base are more than `least` of the longer's length; of equal ones the last by name."""
     base = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), r"^.*/", ""), r"\.[^.]*$", "")
     n, t = names.distinct().withColumn("_b", base("name")), targets.distinct().withColumn("_b", base("target"))
     exact = n.join(t.select(F.col("target").alias("name"), F.col("target").alias("_exact")), "name", "left")
     by_base = t.groupBy("_b").agg(F.min("target").alias("_based"))
     out = exact.join(by_base, "_b", "left").withColumn("target", F.coalesce("_exact", "_based")).select("name", "target", "_b")
     if fuzzy:
-        grams = lambda df, k: df.withColumn("_k", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_b") - 2, F.lit(1))), lambda i: F.substr(k, i, F.lit(3))))))
-        left = grams(out.filter("target is null").select("name", "_b"), F.col("_b"))
-        right = t.select("target", F.col("_b").alias("_t"), F.substr("_b", F.lit(1), F.lit(3)).alias("_k")).unionByName(grams(t, F.col("_b")).select("target", F.col("_b").alias("_t"), "_k")).distinct()
-        score = F.least(F.length("_b"), F.length("_t")) / F.greatest(F.length("_b"), F.length("_t"))
-        near = left.join(right, "_k").filter(F.contains("_b", F.col("_t")) | F.contains("_t", F.col("_b"))).withColumn("_s", score).filter(F.col("_s") > least)
-        best = near.groupBy("name").agg(F.max_by("target", F.struct("_s", "target")).alias("_near"))
-        out = out.join(best, "name", "left").withColumn("target", F.coalesce("target", "_near"))
+        # bases of up to GRAM characters reach `least` only in bases that are hardly longer, which are found by their runs
+        one = F.lit(0).alias("_k")
+        left, right = out.filter("target is null and _b <> ''").select(one, F.col("_b").alias("_n")).distinct(), t.filter("_b <> ''").select(one, F.col("_b").alias("_t")).distinct()
+        fits = lambda short, long: F.size(F.array_distinct(F.split(short, ""))) / F.length(long)
+        swapped = lambda df: df.select("_k", F.col("_t" if "_t" in df.columns else "_n").alias("_n" if "_t" in df.columns else "_t"))
+
+        def pairs(needles: DataFrame, texts: DataFrame) -> DataFrame:
+            brief = needles.filter(F.length("_n") <= GRAM).join(_short(texts.filter(F.length("_t") < GRAM / least), ["_k"], "_t"), ["_k", "_n"])
+            return _held_pairs(needles, texts, ["_k"]).unionByName(brief.select("_k", "_n", "_t")).withColumn("_s", fits("_n", "_t")).filter(F.col("_s") > least)
+
+        near = pairs(left, right).select(F.col("_n").alias("_b"), F.col("_t").alias("_o"), "_s").unionByName(pairs(swapped(right), swapped(left)).select(F.col("_t").alias("_b"), F.col("_n").alias("_o"), "_s"))
+        best = near.join(t.select(F.col("_b").alias("_o"), F.col("target").alias("_near")), "_o").groupBy("_b").agg(F.max_by("_near", F.struct("_s", "_near")).alias("_near"))
+        out = out.join(best, "_b", "left").withColumn("target", F.coalesce("target", "_near"))
     return out.select("name", "target")
 
 

@@ -341,6 +341,33 @@ def label_matches(spark, sf_dir):
     return labels.partial(f, m).withColumnRenamed("matched", "partial").join(labels.partial(f, m, typed=True).withColumnRenamed("matched", "typed"), ["file", "text", "type"])
 
 
+_LINES = "SELECT DISTINCT lower(line) AS line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) t"
+
+
+@query(f"SELECT line AS text, EXISTS (SELECT 1 FROM benchmark b WHERE contains(lower(b.text), line) OR contains(line, lower(b.text))) AS matched FROM ({_LINES}) l")
+def benchmark_lines(spark, sf_dir):
+    """All lines of documents, and whether one holds or is held by an item of the benchmark."""
+    as_labels = lambda df: df.select(F.lit("all").alias("file"), "text", F.lit("LINE").alias("type"))
+    lines = _table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("text")).select(F.lower("text").alias("text"))
+    return labels.partial(as_labels(lines), as_labels(_table(spark, sf_dir, "benchmark"))).select("text", "matched")
+
+
+_STEM = "lower(regexp_replace(regexp_replace({}, '^.*/', ''), '[.][^.]*$', ''))"
+_CHARS = "len(list_distinct(string_split({0}, '')))"
+
+
+@query(
+    f"""WITH n AS (SELECT name, {_STEM.format("name")} AS b FROM (SELECT DISTINCT p_name || '.pdf' AS name FROM part) p), t AS (SELECT target, {_STEM.format("target")} AS b FROM (SELECT DISTINCT split_part(p_name, ' ', 1) || '.json' AS target FROM part) p),
+based AS (SELECT b, min(target) AS target FROM t GROUP BY 1),
+near AS (SELECT n.name, arg_max(t.target, struct_pack(s := s, t := t.target)) AS target FROM n, t, LATERAL (SELECT CASE WHEN contains(t.b, n.b) THEN {_CHARS.format("n.b")} / length(t.b) WHEN contains(n.b, t.b) THEN {_CHARS.format("t.b")} / length(n.b) END AS s) WHERE s > 0.2 AND n.b <> '' AND t.b <> '' GROUP BY 1)
+SELECT n.name, coalesce(based.target, near.target) AS target FROM n LEFT JOIN based USING (b) LEFT JOIN near ON near.name = n.name"""
+)
+def near_file_names(spark, sf_dir):
+    """Names of parts as files, mapped to files that are named by a first word."""
+    p = _table(spark, sf_dir, "part")
+    return labels.mapped_names(p.select(F.concat("p_name", F.lit(".pdf")).alias("name")), p.select(F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(".json")).alias("target")), least=0.2)
+
+
 @query()
 def greedy_matches(spark, sf_dir):
     """One manual label for each found one, in order; tests hold it against a loop."""
