@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.operators import boxes, numbering, patterns, relational, text
-from inkveil.plans import entity_queries, model_queries, record_queries, stream_queries
+from inkveil.plans import access_queries, entity_queries, model_queries, record_queries, stream_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -105,5 +105,5 @@ def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "entity_type").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("end").alias("last"), F.max("score").alias("score"))
 
 
-QUERIES |= {"detect_all": detect_all, "detect_looking": detect_looking} | entity_queries.QUERIES | record_queries.QUERIES | stream_queries.QUERIES | model_queries.QUERIES
-SQL |= entity_queries.SQL | record_queries.SQL | stream_queries.SQL | model_queries.SQL
+QUERIES |= {"detect_all": detect_all, "detect_looking": detect_looking} | entity_queries.QUERIES | record_queries.QUERIES | stream_queries.QUERIES | model_queries.QUERIES | access_queries.QUERIES
+SQL |= entity_queries.SQL | record_queries.SQL | stream_queries.SQL | model_queries.SQL | access_queries.SQL
