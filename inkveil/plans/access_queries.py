@@ -1,4 +1,4 @@
-"""Queries on quotas of calls and on persons in masked logs, with DuckDB's SQL."""
+"""Queries on quotas of calls, on persons in masked logs and on records by day, with DuckDB's SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkveil.operators import quota
-from inkveil.sources import subjects
+from inkveil.sources import days, logs, subjects
+from inkveil.sources.shared import scratch
 
 MOST, AT_ONCE, GAP, SECONDS = 200, 4, 30, 20
 
@@ -35,7 +36,23 @@ def masked_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.counts(*_dated(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"call_quota": call_quota, "masked_subjects": masked_subjects}
+def retained_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by sink and day after they were written to folders, old folders were deleted and the entries of users 7, 14, 21 and so on erased."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    sinks = [F.lit(s) for s in logs.DAYS]
+    at = scratch(spark, "days")
+    records = events.withColumn("sink", F.coalesce(F.element_at(F.array(*sinks), (F.length("event_type") % 3 + 1).cast("int")), sinks[0])).withColumn("who", F.col("user_id").cast("string"))
+    kind = records.schema
+    days.append(records, at, "ts")
+    today = days.read(spark, at, kind).agg(F.max("date")).first()[0]
+    if today is not None:
+        days.purge(spark, at, today, logs.DAYS, kind)
+    days.erase(spark, at, F.col("user_id") % 7 == 0, {"who": F.lit(logs.REDACTED)}, kind)
+    rows = days.read(spark, at, kind).groupBy("sink", "date").agg(F.count("*").alias("n"), F.count_if(F.col("who") == logs.REDACTED).alias("erased"))
+    return rows.select("sink", F.date_format("date", "yyyy-MM-dd").alias("day"), "n", "erased")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"call_quota": call_quota, "masked_subjects": masked_subjects, "retained_days": retained_days}
 SQL: dict[str, str] = {
     "call_quota": f"""WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) AS a, CAST(ts AS DATE) AS d, greatest(round(value * {SECONDS} * 1e6), 0)::BIGINT AS us, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) AS k FROM events WHERE ts IS NOT NULL),
 r AS (SELECT NULL::BIGINT AS event_id, d, 0::BIGINT AS k, NULL::BIGINT AS last, []::BIGINT[] AS ends, 0 AS used, NULL::VARCHAR AS reason FROM e WHERE k = 1
@@ -49,4 +66,6 @@ l AS (SELECT l_orderkey || '-' || l_linenumber AS subject_id, strftime(l_shipdat
 i AS (SELECT DISTINCT identifier FROM l),
 c AS (SELECT i.identifier, coalesce(sum(n) FILTER (WHERE value = identifier), 0)::BIGINT AS exact, coalesce(sum(n) FILTER (WHERE value <> identifier AND contains(value, '[') AND contains(value, ']') AND (contains(value, identifier[1:2]) OR contains(value, identifier[-2:]) OR (value[1] = identifier[1] AND value[-1] = identifier[-1]))), 0)::BIGINT AS masked FROM i, v GROUP BY 1)
 SELECT subject_id, identifier, exact, masked FROM l JOIN c USING (identifier)""",
+    "retained_days": """WITH e AS (SELECT ['standard', 'personal', 'sensitive'][coalesce(length(event_type), 0) % 3 + 1] AS sink, [90, 30, 15][coalesce(length(event_type), 0) % 3 + 1] AS kept, CAST(ts AS DATE) AS d, user_id FROM events)
+SELECT sink, strftime(d, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (WHERE user_id % 7 = 0) AS erased FROM e WHERE d IS NULL OR d >= (SELECT max(d) FROM e) - kept::INT GROUP BY sink, d""",
 }

@@ -17,3 +17,11 @@ def scratch(spark: SparkSession, kind: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors reach")
         at = "file://" + os.path.join(tempfile.gettempdir(), "inkveil-shared")
     return f"{at.rstrip('/')}/inkveil-{kind}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Delete folders, in whatever store they are."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
