@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows of a batch that goes to Python at once; texts can be long.
-BATCH_ROWS = 500
+#: Rows and bytes of a batch that goes to Python at once; texts can be long.
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
+#: Bytes of a row group of a table between steps, which its writer holds in memory.
+GROUP_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -45,7 +48,7 @@ def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: lineage ends there and a lost executor costs no earlier work."""
     spark = df.sparkSession
     path = scratch(spark, kind)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
