@@ -70,7 +70,8 @@ def _folded(rows: DataFrame, at_once: int, gap: int) -> DataFrame:
                 starts.append(last if last is not None else at)
             yield pdf.assign(ok=ok, start=starts)[[*kind.names[:-1], "ok"]]
 
-    rows = rows.select("call_id", "day", "slot", "at", "us", "k", "session", "start")
+    # written first: if the rows came from a join on the same keys, the shuffle would be left out and adaptive execution might divide a large session between tasks
+    rows = _written(rows.select("call_id", "day", "slot", "at", "us", "k", "session", "start"))
     kind = rows.withColumn("ok", F.lit(True)).schema
     return rows.repartition("day", "session").sortWithinPartitions("day", "session", "k").mapInPandas(fold, kind)
 

@@ -44,3 +44,12 @@ def test_nothing(spark):
     assert quota.admitted(none, 3, 1, 1).count() == 0
     with pytest.raises(ValueError):
         quota.admitted(none, 3, 0, 1)
+
+
+def test_large_session_is_folded_by_one_task(spark):
+    """No join stands below the fold's shuffle, which would be left out then, so that adaptive execution could divide a large session."""
+    calls = spark.range(10).selectExpr("id AS call_id", "1L AS day", "id AS slot", "id AS at", "5L AS us", "id + 1 AS k", "1L AS session", "id AS start")
+    joined = calls.hint("merge").join(calls.groupBy("day", "session").count(), ["day", "session"]).drop("count")
+    folded = quota._folded(joined, 2, 0)
+    assert "Join" not in folded._jdf.queryExecution().executedPlan().toString()
+    assert [r["call_id"] for r in folded.filter("ok").orderBy("k").collect()] == [0, 1, 5, 6]
