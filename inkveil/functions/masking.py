@@ -118,7 +118,7 @@ def mask_value(name: Column | str, value: Column | str, kind: T.DataType) -> Col
     elif isinstance(kind, T.IntegralType):
         masked = F.when(_has(n, "id"), "***").when(v > 0, F.concat(F.lit("~1"), F.repeat(F.lit("0"), F.length(v.cast("string")) - 1))).otherwise("0")
     elif isinstance(kind, (T.FractionalType,)):
-        masked = F.when(_has(n, "id"), "***").otherwise(F.format_string("~%.1f", v.cast("double")))
+        masked = F.when(_has(n, "id"), "***").otherwise(F.regexp_replace(F.format_string("~%.1f", v.cast("double")), r"^~-0\.0$", "~0.0"))
     elif isinstance(kind, T.BooleanType):
         masked = v.cast("string")
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):

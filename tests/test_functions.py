@@ -218,3 +218,8 @@ def test_tables(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/days").filter("date = '2024-01-02'").count() == 4
     key = F.lit("0123456789abcdef").cast("binary")
     assert t.withColumn("s", tables.sealed("v", key)).withColumn("s", F.overlay("s", F.lit("AAAA"), F.lit(20))).select(tables.opened("s", key)).first()[0] is None
+
+
+def test_small_negative_numbers_are_masked_without_a_sign(spark):
+    df = spark.createDataFrame([(i, x) for i, x in enumerate((-0.04, -0.0, 0.04, -0.05, -3.25))], "k int, balance double")
+    assert [r[1] for r in masking.mask_columns(df, ["balance"]).orderBy("k").collect()] == ["~0.0", "~0.0", "~0.0", "~-0.1", "~-3.3"]
