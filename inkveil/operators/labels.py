@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions.chunking import similarity
+from inkveil.sources.shared import scratch
 
 
 def _col(c: Column | str) -> Column:
@@ -101,26 +102,45 @@ def flat(results: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame
 GRAM = 3
 
 
+#: Bits of a gram's hash; the bits above hold how many texts have it, at most RARE.
+BITS, RARE = 40, (1 << 22) - 1
+
+
 def _grams(text: str, size: int) -> Column:
     """The distinct runs of `size` characters, by one expression that goes over the text once."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?=(\P{{Cs}}{{{size}}}))"), F.lit(1)))
 
 
+def _by_gram(df: DataFrame) -> DataFrame:
+    """A row for each of `_all`, distinct grams, with its hash `_g`. Grams only find candidates, so equal hashes of different ones do no harm. (The outer form keeps Spark from taking the grams once more in a filter.)"""
+    rows = df.withColumn("_g", F.explode_outer("_all")).filter("_g is not null").drop("_all")
+    return rows.withColumn("_g", F.xxhash64("_g").bitwiseAND((1 << BITS) - 1))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """`df` as a table whose size is known when the next join is planned, so that a small one is sent to all tasks and the other side isn't shuffled."""
+    at = scratch(df.sparkSession, "labels")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def _held_pairs(needles: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
     """Rows (key, _n, _t): needles `_n` of more than `GRAM` characters and the texts `_t` that hold them.
 
     A needle is looked up by that of its grams which the fewest texts of its key have, so a pair is made where a text shares the
-    needle's rarest gram; a needle with a gram that no text has is dropped. Only texts that are candidates are joined back whole."""
-    grams = texts.select(*key, F.md5("_t").alias("_id"), F.explode(_grams("_t", GRAM)).alias("_g"))
-    counts = grams.groupBy(*key, "_g").agg(F.count("*").alias("_c"))
-    own = needles.filter(F.length("_n") > GRAM).withColumn("_all", _grams("_n", GRAM))
-    rare = own.select(*key, "_n", F.size("_all").alias("_size"), F.explode("_all").alias("_g")).join(counts, [*key, "_g"])
-    rare = rare.groupBy(*key, "_n", "_size").agg(F.count("*").alias("_hits"), F.min_by("_g", F.struct("_c", "_g")).alias("_g")).filter("_hits = _size")
-    near = rare.select(*key, "_n", "_g").join(grams, [*key, "_g"]).select(*key, "_n", "_id")
-    return near.join(texts.withColumn("_id", F.md5("_t")), [*key, "_id"]).filter(F.contains("_t", F.col("_n"))).select(*key, "_n", "_t")
-
-
-def _short(texts: DataFrame, key: list[str], *kept: str) -> DataFrame:
+    needle's rarest gram; a needle with a gram that no text has is dropped. Needles and texts go by digests until they are candidates."""
+    grams = _by_gram(texts.select(*key, F.md5("_t").alias("_id"), _grams("_t", GRAM).alias("_all")))
+    counts = _written(grams.groupBy(*key, "_g").agg(F.count("*").alias("_c")))
+    own = needles.filter(F.length("_n") > GRAM).select(*key, F.md5("_n").alias("_nid"), _grams("_n", GRAM).alias("_all")).withColumn("_size", F.size("_all"))
+    place = F.shiftleft(F.least("_c", F.lit(RARE)), BITS) + F.col("_g")
+    rare = _by_gram(own).join(counts, [*key, "_g"]).groupBy(*key, "_nid", "_size").agg(F.count("*").alias("_hits"), F.min(place).alias("_p"))
+    rare = _written(rare.filter("_hits = _size").select(*key, "_nid", F.col("_p").bitwiseAND((1 << BITS) - 1).alias("_g")))
+    near = _written(grams.join(rare, [*key, "_g"]).select(*key, "_nid", "_id"))
+    whole = near.join(needles.withColumn("_nid", F.md5("_n")), [*key, "_nid"]).join(texts.withColumn("_id", F.md5("_t")), [*key, "_id"])
+    return whole.filter(F.contains("_t", F.col("_n"))).select(*key, "_n", "_t")
+
+
+def _short(texts: DataFrame, key: list[str], *kept: str | Column) -> DataFrame:
     """The runs of 1 to `GRAM` characters of texts, as `_n`."""
     return texts.select(*key, *kept, F.explode(F.concat(*(_grams("_t", k) for k in range(1, GRAM + 1)))).alias("_n"))
 
@@ -136,9 +156,12 @@ def held(needles: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
 def holders(needles: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
     """The distinct texts (key, _t) that hold some needle (key, _n) of equal key."""
     needles, texts = needles.select(*key, "_n").distinct(), texts.select(*key, "_t").filter("_t is not null").distinct()
-    short = _short(texts, key, "_t").join(needles.filter(F.length("_n").between(1, GRAM)), [*key, "_n"], "left_semi").select(*key, "_t")
-    empty = texts.join(needles.filter("_n = ''"), key, "left_semi")
-    return short.unionByName(empty).unionByName(_held_pairs(needles, texts, key).select(*key, "_t")).distinct()
+    brief = _written(needles.filter(F.length("_n").between(1, GRAM)))
+    out = texts.join(needles.filter("_n = ''"), key, "left_semi").unionByName(_held_pairs(needles, texts, key).select(*key, "_t"))
+    if not brief.isEmpty():  # else the texts needn't be read for it
+        ids = _written(_short(texts, key, F.md5("_t").alias("_id")).join(brief, [*key, "_n"], "left_semi").select(*key, "_id").distinct())
+        out = out.unionByName(texts.withColumn("_id", F.md5("_t")).join(ids, [*key, "_id"], "left_semi").select(*key, "_t"))
+    return out.distinct()
 
 
 def partial(found: DataFrame, labelled: DataFrame, typed: bool = False) -> DataFrame:

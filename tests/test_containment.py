@@ -37,3 +37,12 @@ def test_names_against_all_pairs(spark):
                 s = len(set(min(a, base(t), key=len))) / max(len(a), len(base(t)))
                 near += [(s, t)] if s > 0.3 else []
         assert got[name] == (min(equal) if equal else max(near)[1] if near else None)
+
+
+def test_small_sides_leave_the_other_unshuffled_by_grams(spark):
+    """A needle's grams aren't sorted or shuffled when what they are looked up in is small: the rows shuffled are needles, not grams."""
+    needles = spark.range(2000).selectExpr("'k' AS f", "concat('some words of a longer line, number ', id, ' of them, that nothing holds') AS _n")
+    texts = spark.createDataFrame([("k", "xx " + "some words of a longer line, number 77 of them, that nothing holds" + " yy"), ("k", "other")], "f string, _t string")
+    out = labels._held_pairs(needles, texts, ["f"])
+    assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString() and "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r["_n"] for r in out.collect()] == ["some words of a longer line, number 77 of them, that nothing holds"]
