@@ -6,6 +6,8 @@ from __future__ import annotations
 
 import json
 import re
+from collections import deque
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -179,21 +181,37 @@ def partial(found: DataFrame, labelled: DataFrame, typed: bool = False) -> DataF
 def greedy(found: DataFrame, labelled: DataFrame, least: float = 0.7) -> DataFrame:
     """Rows (file, found_text, label_text, type): each found label, in order, takes its file's first label of its type with a similarity over `least` that is still free.
 
-    The fold is over one file's and type's labels, which are a document's."""
-    a = found.groupBy("file", "type").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("f"))
-    b = labelled.groupBy("file", "type").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("m"))
-    both = a.join(b, ["file", "type"])
-    start = F.struct(F.col("m").alias("free"), F.array().cast("array<struct<f:string,m:string>>").alias("out"))
-
-    def take(s: Column, x: Column) -> Column:
-        fits = F.filter(s["free"], lambda y: similarity(x["text"], y["text"]) > least)
-        first = F.get(fits, F.lit(0))
-        at = F.array_position(s["free"], first).cast("int")
-        rest = F.concat(F.slice(s["free"], F.lit(1), at - 1), F.slice(s["free"], at + 1, F.greatest(F.size(s["free"]) - at, F.lit(0))))
-        return F.when(F.size(fits) == 0, s).otherwise(F.struct(rest.alias("free"), F.concat(s["out"], F.array(F.struct(x["text"].alias("f"), first["text"].alias("m")))).alias("out")))
-
-    pairs = both.select("file", "type", F.explode(F.aggregate("f", start, take)["out"]).alias("p"))
-    return pairs.select("file", F.col("p.f").alias("found_text"), F.col("p.m").alias("label_text"), "type")
+    Similarities are of distinct texts only. Which label is free hangs on all found before, so one task takes a file's labels of a type as a
+    stream of sorted rows: it holds the numbers of those that are free, by text, and the texts that fit."""
+    group = ["file", "type"]
+    f, m = found.select(*group, "pos", "text").dropna(subset=group), labelled.select(*group, "pos", "text").dropna(subset=group)
+    texts = f.select(*group, F.col("text").alias("_f")).distinct().join(m.select(*group, F.col("text").alias("_m")).distinct(), group)
+    fits = texts.filter(similarity("_f", "_m") > least)
+    rows = m.select(*group, F.lit(0).alias("step"), F.col("pos").alias("_pm"), F.lit(None).alias("_pf"), "text", F.lit(None).cast("string").alias("other"))
+    rows = rows.unionByName(fits.select(*group, F.lit(1).alias("step"), F.lit(None).alias("_pm"), F.lit(None).alias("_pf"), F.col("_f").alias("text"), F.col("_m").alias("other")))
+    rows = rows.unionByName(f.select(*group, F.lit(2).alias("step"), F.lit(None).alias("_pm"), F.col("pos").alias("_pf"), "text", F.lit(None).cast("string").alias("other")))
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, free, fitting, n = None, {}, {}, 0
+        for pdf in batches:
+            out = []
+            for file, kind, step, text, other in zip(pdf["file"], pdf["type"], pdf["step"], pdf["text"], pdf["other"]):
+                if (file, kind) != now:
+                    now, free, fitting = (file, kind), {}, {}
+                if step == 0:
+                    n += 1
+                    free.setdefault(text, deque()).append(n)
+                elif step == 1:
+                    fitting.setdefault(text, []).append(other)
+                elif left := [(free[t][0], t) for t in fitting.get(text, ()) if free[t]]:
+                    label = min(left)[1]
+                    free[label].popleft()
+                    out.append((file, text, label, kind))
+            yield pd.DataFrame(out, columns=["file", "found_text", "label_text", "type"])
+
+    kinds = {c: found.schema[c].dataType.simpleString() for c in group}
+    rows = rows.repartition(*group).sortWithinPartitions(*group, "step", "_pm", "_pf", "text").select(*group, "step", "text", "other")
+    return rows.mapInPandas(take, f"file {kinds['file']}, found_text string, label_text string, type {kinds['type']}")
 
 
 def figures(outcomes: DataFrame, by: list[str]) -> DataFrame:

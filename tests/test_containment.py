@@ -46,3 +46,15 @@ def test_small_sides_leave_the_other_unshuffled_by_grams(spark):
     out = labels._held_pairs(needles, texts, ["f"])
     assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString() and "Generate" not in out._jdf.queryExecution().executedPlan().toString()
     assert [r["_n"] for r in out.collect()] == ["some words of a longer line, number 77 of them, that nothing holds"]
+
+
+def test_greedy_over_many_copies(spark):
+    """Similarities are taken of distinct texts and the fold is linear, so thousands of labels of one file and type take seconds."""
+    import time
+
+    found = spark.range(6000).selectExpr("'f' AS file", "id AS pos", "concat('label ', id % 3) AS text", "'T' AS type")
+    known = spark.range(4000).selectExpr("'f' AS file", "id AS pos", "upper(concat('label ', id % 2)) AS text", "'T' AS type")
+    began = time.monotonic()
+    got = {(r.found_text, r.label_text): r["count"] for r in labels.greedy(found, known, 0.9).groupBy("found_text", "label_text").count().collect()}
+    assert got == {("label 0", "LABEL 0"): 2000, ("label 1", "LABEL 1"): 2000}
+    assert time.monotonic() - began < 30
