@@ -4,6 +4,8 @@ Ids of documents are taken to be unique; offsets count characters from 0."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,36 +16,50 @@ TOKEN = f"[{WORD}]+|[^{WORD}{SPACE}]"
 MOST, OVERLAP = 384, 50
 
 
-def tokens(docs: DataFrame, expression: str = TOKEN) -> DataFrame:
-    """Rows (doc_id, i, t_start, t_end, n): the tokens of each text and how many it has. Null and blank texts have none.
+def pieces(docs: DataFrame, expression: str = TOKEN) -> DataFrame:
+    """Rows (doc_id, pieces): the lengths of each text's tokens, in order, and less than 0 those of the white space between. Null and blank texts have no tokens.
 
     What lies between tokens must be white space: one expression cuts a text into tokens and gaps, whose lengths add up to the offsets."""
-    pieces = docs.select("doc_id", F.regexp_extract_all("text", F.lit(f"{expression}|[{SPACE}]+"), F.lit(0)).alias("p"))
-    is_token = lambda x: ~x.rlike(f"^[{SPACE}]")
-    counted = pieces.withColumn("n", F.size(F.filter("p", is_token)))  # in a step of its own, else it is counted for each piece
-    rows = counted.select("doc_id", "n", F.posexplode("p").alias("k", "x")).select("doc_id", "n", "k", is_token(F.col("x")).alias("is_token"), F.length("x").alias("size"))
-    before = Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.select("doc_id", "n", "is_token", "size", (F.sum(F.col("is_token").cast("int")).over(before) - 1).cast("int").alias("i"), F.sum("size").over(before).cast("int").alias("t_end"))
-    return placed.filter("is_token").select("doc_id", "i", (F.col("t_end") - F.col("size")).alias("t_start"), "t_end", "n")
+    size = lambda x: F.when(x.rlike(f"^[{SPACE}]"), -F.length(x)).otherwise(F.length(x))
+    return docs.select("doc_id", F.transform(F.regexp_extract_all("text", F.lit(f"{expression}|[{SPACE}]+"), F.lit(0)), size).alias("pieces"))
+
+
+def tokens(docs: DataFrame, expression: str = TOKEN) -> DataFrame:
+    """Rows (doc_id, i, t_start, t_end, n): the tokens of each text and how many it has, placed where the text is, without a shuffle."""
+
+    @F.pandas_udf("array<int>")
+    def ends(pieces: pd.Series) -> pd.Series:
+        return pieces.map(lambda p: None if p is None else np.cumsum(np.abs(p))[p > 0])
+
+    own = pieces(docs, expression).select("doc_id", F.filter("pieces", lambda x: x > 0).alias("size"), ends("pieces").alias("t_end"))
+    rows = own.select("doc_id", F.size("size").alias("n"), F.posexplode(F.arrays_zip("size", "t_end")).alias("i", "z"))
+    return rows.select("doc_id", "i", (F.col("z.t_end") - F.col("z.size")).alias("t_start"), "z.t_end", "n")
 
 
 def aligned(entities: DataFrame, tokens: DataFrame) -> DataFrame:
     """Distinct rows (doc_id, entity_type, start, end, first, last, n): the first token that ends behind an entity's start, and the
     one that reaches its end. Entities that are empty, or end behind the last token or in a gap, go.
 
-    A sweep over the places of a document: ends of entities, then tokens, then starts of entities, in one shuffle of both sides;
-    the tokens begun and ended so far are the numbers looked for."""
-    zero = F.lit(0)
-    span = F.struct("start", "end", "entity_type")
-    side = lambda at, order, own: own.select("doc_id", F.col(at).alias("at"), F.lit(order).alias("o"), zero.alias("begun"), zero.alias("ended"), F.lit(None).cast("int").alias("n"), span.alias("span"))
-    own = entities.select("doc_id", "entity_type", "start", "end").filter("start < end").distinct()
-    none = F.lit(None).cast(own.select(span.alias("s")).schema["s"].dataType)
-    edges = F.explode(F.array(F.struct(F.col("t_start").alias("at"), F.lit(1).alias("begun"), zero.alias("ended")), F.struct(F.col("t_end").alias("at"), zero.alias("begun"), F.lit(1).alias("ended"))))
-    steps = tokens.select("doc_id", "n", edges.alias("e")).select("doc_id", "e.at", F.lit(1).alias("o"), "e.begun", "e.ended", "n", none.alias("span"))
-    so_far = Window.partitionBy("doc_id").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = steps.unionByName(side("start", 2, own)).unionByName(side("end", 0, own)).select("doc_id", "o", "span", *(F.sum(c).over(so_far).cast("int").alias(c) for c in ("begun", "ended")), F.max("n").over(so_far).alias("n"))
-    found = swept.filter("span is not null").groupBy("doc_id", "span").agg(F.max(F.when(F.col("o") == 2, F.col("ended"))).alias("first"), F.max(F.when((F.col("o") == 0) & (F.col("begun") > F.col("ended")), F.col("ended"))).alias("last"), F.max("n").alias("n"))
-    return found.filter("last is not null").select("doc_id", "span.entity_type", "span.start", "span.end", "first", "last", "n")
+    `tokens` are rows of tokens or of `pieces`, which aren't taken apart: a document's entities come to it and are found by bisection."""
+    if "pieces" not in tokens.columns:
+        gap = lambda s, x, i: x["t_start"] - F.coalesce(F.get(s, i - 1)["t_end"], F.lit(0))
+        sizes = lambda s: F.flatten(F.transform(s, lambda x, i: F.array(-gap(s, x, i), x["t_end"] - x["t_start"])))
+        own = tokens.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("i", "t_start", "t_end"))).alias("s"))
+        tokens = own.select("doc_id", F.transform(F.array("s"), sizes)[0].alias("pieces"))
+
+    @F.pandas_udf("first array<int>, last array<int>")
+    def places(pieces: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, a, b in zip(pieces, starts, ends):
+            end = np.cumsum(np.abs(p))[p > 0]
+            last = np.searchsorted(end, b)
+            out.append((np.searchsorted(end, a, "right"), np.where(np.searchsorted(end - p[p > 0], b) > last, last, -1)))
+        return pd.DataFrame(out, columns=["first", "last"])
+
+    spans = entities.filter("start < end").groupBy("doc_id").agg(F.collect_set(F.struct("entity_type", "start", "end")).alias("spans"))
+    both = tokens.filter("pieces is not null").join(spans, "doc_id").select("doc_id", "spans", F.size(F.filter("pieces", lambda x: x > 0)).alias("n"), places("pieces", F.transform("spans", lambda x: x["start"]), F.transform("spans", lambda x: x["end"])).alias("at"))
+    rows = both.select("doc_id", "n", F.explode(F.arrays_zip("spans", F.col("at.first").alias("first"), F.col("at.last").alias("last"))).alias("z"))
+    return rows.filter("z.last >= 0").select("doc_id", "z.spans.entity_type", "z.spans.start", "z.spans.end", "z.first", "z.last", "n")
 
 
 def windowed(spans: DataFrame, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:

@@ -14,7 +14,7 @@ from inkveil.sources.shared import scratch
 
 def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return tokens.windowed(tokens.aligned(patterns.detect(docs), tokens.tokens(docs)))
+    return tokens.windowed(tokens.aligned(patterns.detect(docs), tokens.pieces(docs)))
 
 
 def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
