@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,22 +45,11 @@ def sentence_groups(text: Column | str, most: int = 800) -> Column:
 def boundary_chunks(text: Column | str, most: int = 10_000, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> Column:
     """Chunks of at most `most` characters, each ending behind its last paragraph break, else line break, else ". ", else space, else at the limit."""
 
-    def one(t: str | None) -> list[str] | None:
-        if t is None:
-            return None
-        out, at = [], 0
-        while len(t) - at > most:
-            ends = (t.rfind(s, at, at + most) + len(s) for s in separators if t.rfind(s, at, at + most) >= 0)
-            end = next(ends, at + most)
-            out.append(t[at:end])
-            at = end
-        return [*out, t[at:]] if at < len(t) or not out else out
-
-    @F.pandas_udf("array<string>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
-
-    return chunks(_col(text))
+    # of more than `most` characters, the longest stretch that ends with the first separator it can; then the rest. Quoted, so any separator can be given
+    ends = "|".join(f".{{0,{most - len(s)}}}\\Q{s}\\E" for s in separators if len(s) <= most)
+    expression = f"(?s)(?=.{{{most + 1}}})(?:{ends}{'|' if ends else ''}.{{{most}}})|.{{1,{most}}}"
+    t = _col(text)
+    return F.when(t == "", F.array(F.lit(""))).otherwise(F.regexp_extract_all(t, F.lit(expression), F.lit(0)))
 
 
 def at_last_space(text: Column | str, most: int = 10_000) -> Column:
