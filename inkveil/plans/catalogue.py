@@ -64,7 +64,7 @@ def entity_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that each entity touches; entities' offsets count in the text of words joined by single spaces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array_join(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r]+"), F.lit(0)), " ").alias("text"))
     found = patterns.detect(docs).select("doc_id", "pattern", "start", "end")
-    return boxes.span_join(boxes.words(docs), found).select("doc_id", "pattern", "start", "end", "idx", "w")
+    return boxes.touched(docs, found).select("doc_id", "pattern", "start", "end", "idx", "w")
 
 
 QUERIES["entity_words"] = entity_words
