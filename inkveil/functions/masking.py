@@ -139,20 +139,23 @@ def log_category(fields: Column | str) -> Column:
     return F.when(F.exists(entries, lambda e: sensitive_field(e["key"], e["value"])), "sensitive").when(F.exists(entries, lambda e: personal_field(e["key"], e["value"])), "personal").otherwise("standard")
 
 
-def sanitise_fields(fields: Column | str, level: str) -> Column:
-    """A map of fields with sensitive ones redacted, and personal ones by `level`: low masks e-mail addresses, medium all, high withholds them; none leaves all."""
+def sanitise_fields(fields: Column | str, level: str, sensitive: Column | None = None) -> Column:
+    """A map of fields with sensitive ones redacted, and personal ones by `level`: low masks e-mail addresses, medium all, high withholds them; none leaves all.
+
+    sensitive: whether any field is sensitive, where that is known; else every field is tested."""
     if level not in ("none", "low", "medium", "high"):
         raise ValueError("level must be none, low, medium or high")
     m = _col(fields)
     if level == "none":
         return m
 
-    def of(k: Column, v: Column) -> Column:
-        now = F.when(sensitive_field(k, v), F.lit("[REDACTED]")).otherwise(v)
-        personal = {"low": F.when(email_field(k, now), mask_email(now)).otherwise(now), "medium": mask_value(k, now, T.StringType()), "high": F.lit("[PERSONAL_DATA]")}[level]
-        return F.when(personal_field(k, now), personal).otherwise(now)
+    def personal(k: Column, v: Column) -> Column:
+        masked = {"low": F.when(email_field(k, v), mask_email(v)).otherwise(v), "medium": mask_value(k, v, T.StringType()), "high": F.lit("[PERSONAL_DATA]")}[level]
+        return F.when(personal_field(k, v), masked).otherwise(v)
 
-    return F.transform_values(m, of)
+    # two passes, so that a mask, which looks at its value many times, has the redacted value at hand
+    redacted = F.transform_values(m, lambda k, v: F.when(sensitive_field(k, v), F.lit("[REDACTED]")).otherwise(v))
+    return F.transform_values(redacted if sensitive is None else F.when(sensitive, redacted).otherwise(m), personal)
 
 
 def redact_keys(text: Column | str, keys: tuple[str, ...] = REDACTED_KEYS) -> Column:

@@ -23,7 +23,8 @@ def scan(spark: SparkSession, path: str, modified_after: str | None = None) -> D
 
 def parsed(lines: DataFrame) -> DataFrame:
     """Typed entries of raw JSON lines, with the line; lines that are no JSON objects go."""
-    out = lines.withColumn("e", F.from_json("value", ENTRY)).filter("e is not null and trim(value) like '{%'")
+    # given out by a generator, below which no filter is pushed, so that a line is parsed once
+    out = lines.filter("trim(value) like '{%'").select("*", F.explode(F.array(F.from_json("value", ENTRY))).alias("e")).filter("e is not null")
     return out.select("*", "e.*").drop("e").withColumn("ts", F.try_to_timestamp("timestamp")).withColumn("ip", F.coalesce("ip", "remote_addr")).drop("remote_addr")
 
 
@@ -53,9 +54,13 @@ def erased(entries: DataFrame) -> DataFrame:
 def categorised(entries: DataFrame, level: str = "medium") -> DataFrame:
     """Entries by the sinks they go to: (sink, message, fields). Personal and sensitive ones go whole to their own sink and sanitised to the standard one."""
     category = masking.log_category("fields")
-    own = entries.withColumn("sink", category)
-    copy = own.filter("sink <> 'standard'").withColumn("fields", masking.sanitise_fields("fields", level)).withColumn("sink", F.lit("standard"))
-    return own.unionByName(copy)
+    copy = "_copy"
+    while copy in (c.lower() for c in entries.columns):
+        copy += "_"
+    # an entry is read, parsed and put into its category once, then doubled
+    both = entries.withColumn("sink", category).withColumn(copy, F.explode(F.array(F.lit(False), F.lit(True)))).filter(~F.col(copy) | (F.col("sink") != "standard"))
+    sanitised = F.when(F.col(copy), masking.sanitise_fields("fields", level, F.col("sink") == "sensitive")).otherwise(F.col("fields"))
+    return both.withColumns({"fields": sanitised, "sink": F.when(F.col(copy), "standard").otherwise(F.col("sink"))}).drop(copy)
 
 
 def kept(entries: DataFrame, now: Column, days: dict[str, int] = DAYS, category: str = "category", time_col: str = "ts") -> DataFrame:
