@@ -11,15 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, free, probable, table
+from .common import block_pairs, components, cut, free, probable, table
 
 SHINGLE = 5
 #: Shorter paragraphs are no passages.
 MIN_WORDS = 8
 #: Paragraphs that repeat count as a passage where neighbouring ones have so many words together; NEAR bytes apart is neighbouring.
 MIN_RUN, NEAR = 20, 80
-#: Members of a bucket that one task compares at a time.
-BLOCK = 64
+#: Members of a bucket, and bytes of their sets, that are compared with as many others at a time; cells of a matrix for that.
+BLOCK, BLOCK_BYTES, CELLS = 256, 1 << 20, 1 << 18
 #: White space other than spaces and line feeds becomes a space.
 SPACES = bytes.maketrans(b"\t\v\f\r", b"    ")
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -125,22 +125,32 @@ def shingle_set(h: np.ndarray) -> np.ndarray:
     return np.unique(_mix(s))
 
 
-def alike(sets: list[np.ndarray], threshold: float) -> Iterator[tuple[int, int]]:
-    """Places (i, j) of sets whose Jaccard similarity is `threshold` or more."""
+def alike(sets: list[np.ndarray], threshold: float, apart: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of sets whose Jaccard similarity is `threshold` or more; only pairs with i < `apart` <= j, if it isn't 0."""
     n = len(sets)
     x = np.concatenate(sets)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    order = np.argsort(x, kind="stable")
-    x, owner = x[order], owner[order]
-    common, d = np.zeros(n * n, np.int64), 1
-    while d < n and (same := x[d:] == x[:-d]).any():  # owners of equal values ascend
-        common += np.bincount(owner[:-d][same] * n + owner[d:][same], minlength=n * n)
-        d += 1
-    common = common.reshape(n, n)
+    values, place, often = np.unique(x, return_inverse=True, return_counts=True)
+    rank = np.cumsum(often > 1) - 1
+    shared = np.nonzero(often[place] > 1)[0]
+    owner, column = owner[shared], rank[place[shared]]
+    # sets against sets by products of 0/1 matrices, so many shared values at a time as need little memory
+    a, b = (slice(0, apart), slice(apart, n)) if apart else (slice(0, n), slice(0, n))
+    common = np.zeros((a.stop - a.start, b.stop - b.start), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    n_columns = int(column[-1]) + 1 if len(column) else 0
+    wide = min(max(64, CELLS // n), n_columns)
+    for at in range(0, n_columns, wide or 1):
+        s = slice(*np.searchsorted(column, [at, at + wide]))
+        own = np.zeros((n, wide), np.float32)
+        own[owner[s], column[s] - at] = 1
+        common += own[a] @ own[b].T
     size = np.array([len(s) for s in sets])
-    close = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-9
-    i, j = np.nonzero(np.triu(close & (common > 0), 1))
-    return zip(i.tolist(), j.tolist())
+    close = common >= threshold * (size[a][:, None] + size[b][None, :] - common) - 1e-9
+    close &= common > 0
+    i, j = np.nonzero(close if apart else np.triu(close, 1))
+    return i, j + b.start
 
 
 def verified(members: DataFrame, sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
@@ -148,12 +158,12 @@ def verified(members: DataFrame, sets: DataFrame, threshold: float, block: int =
 
     members: (h, u, hub, size), a row for each node u of bucket h with the bucket's hub and size. sets: (u, s), sorted
     64-bit values. Every node is compared with its bucket's hub. If a bucket then still spans several components, all its
-    pairs of different components are compared, in blocks, so no link is lost in large buckets.
+    pairs of different components are compared, in blocks of about `block` nodes or BLOCK_BYTES, so no link is lost in large buckets.
     """
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([any(alike([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)], threshold)) for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([len(alike([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)], threshold)[0]) > 0 for x, y in zip(a, b)], dtype=bool)
 
     pairs = members.filter("u <> hub").select("u", F.col("hub").alias("v")).distinct()
     near = pairs.join(sets.select("u", F.col("s").alias("a")), "u").join(sets.select(F.col("u").alias("v"), F.col("s").alias("b")), "v")
@@ -161,30 +171,34 @@ def verified(members: DataFrame, sets: DataFrame, threshold: float, block: int =
     sizes = F.least(F.length("a"), F.length("b")) >= F.lit(threshold) * F.greatest(F.length("a"), F.length("b")) - 1e-9
     links = cut(near.filter(sizes).filter(close("a", "b")).select("u", "v"), "links")
     label = cut(components(links), "labels")
-    tagged = members.filter("size > 2").join(label, F.col("u") == F.col("node"), "left").select("h", "size", "u", F.coalesce("component", "u").alias("c"))
+    tagged = members.filter("size > 2").join(label, F.col("u") == F.col("node"), "left").select("h", "u", F.coalesce("component", "u").alias("c"))
     spans = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    rest = tagged.join(spans, "h").withColumn("i", F.pmod(F.xxhash64("u"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.join(sets, "u").groupBy("h", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j")).agg(F.collect_list(F.struct("u", "c", "s")).alias("l"))
+    rest = cut(tagged.join(spans, "h").join(sets, "u"), "rest")
+    weight = rest.groupBy("h").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.length("s")) / BLOCK_BYTES)).alias("blocks"))
+    pairs = block_pairs(rest.join(weight, "h").select("h", "blocks", "u", "c", "s"), "u")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for own in pdf["l"]:
-                # only links that join what isn't joined yet, so a block gives fewer links than it has members
-                group = {m["c"]: m["c"] for m in own}
-                for i, j in alike([np.frombuffer(m["s"], np.uint64) for m in own], threshold):
+            for mine, others in zip(pdf["l"], pdf["o"]):
+                # only links that join what isn't joined yet, so a pair of blocks gives fewer links than it has members
+                own = list(mine) if others is None else [*mine, *others]
+                c = np.array([m["c"] for m in own], np.int64)
+                group = dict(zip(c.tolist(), c.tolist()))
+                i, j = alike([np.frombuffer(m["s"], np.uint64) for m in own], threshold, 0 if others is None else len(mine))
+                new = c[i] != c[j]
+                for i, j in zip(i[new].tolist(), j[new].tolist()):
                     a, b = (own[x]["c"] for x in (i, j))
                     while group[a] != a:
-                        a = group[a]
+                        group[a] = a = group[group[a]]
                     while group[b] != b:
-                        b = group[b]
+                        group[b] = b = group[group[b]]
                     if a != b:
                         group[max(a, b)] = min(a, b)
                         out.append((own[i]["u"], own[j]["u"]))
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    more = cut(rest.select("l").mapInPandas(compare, "u long, v long").distinct(), "more")
+    more = cut(pairs.mapInPandas(compare, "u long, v long").distinct(), "more")
     return label if more.isEmpty() else cut(components(links.unionByName(more)), "labels")
 
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, probable, table
+from .common import block_pairs, components, cut, probable, table
 
 BYTES = 8
 #: Fingerprints of a posting list that are compared in one piece.
@@ -217,7 +217,7 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", threshold
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([any(alike([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)], threshold)) for x, y in zip(a, b)], dtype=bool)
+        return pd.Series([len(alike([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)], threshold)[0]) > 0 for x, y in zip(a, b)], dtype=bool)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of candidates (u, v) those with the similarity."""
@@ -240,23 +240,25 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", threshold
 
     tagged = members.filter("size > 2").join(label, F.col("u") == F.col("node"), "left").select("h", "size", *own, F.coalesce("component", "u").alias("c"))
     spans = tagged.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("h")
-    blocks = F.ceil(F.col("size") / (BLOCK // 2)).cast("int")
-    rest = tagged.join(spans, "h").withColumn("i", F.pmod(F.xxhash64("u"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rest = rest.groupBy("h", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j")).agg(F.collect_list(F.struct("c", *own)).alias("l"))
+    rest = tagged.join(spans, "h").select("h", F.ceil(F.col("size") / (BLOCK // 2)).alias("blocks"), "c", *own)
+    rest = block_pairs(rest, "u").select(F.when(F.col("o").isNull(), 0).otherwise(F.size("l")).alias("apart"), F.when(F.col("o").isNull(), F.col("l")).otherwise(F.concat("l", "o")).alias("l"))
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for u, c, n, *rest in zip(*(pdf[x] for x in ("u", "c", "n", "fp", "s1", "s2"))):
+            for apart, u, c, n, *rest in zip(*(pdf[x] for x in ("apart", "u", "c", "n", "fp", "s1", "s2"))):
                 n = np.asarray(n, np.int64)
                 fp, s1, s2 = (np.asarray(x, np.int64).view(np.uint64) for x in rest)
                 i, j = close_pairs(fp, bits, shared)
+                if apart:  # two blocks: each has met itself elsewhere
+                    across = (i < apart) & (j >= apart)
+                    i, j = i[across], j[across]
                 other = (np.asarray(c)[i] != np.asarray(c)[j]) & may_be_alike((s1[i], s2[i], n[i]), (s1[j], s2[j], n[j]), threshold)
                 a, b = np.asarray(u)[i[other]], np.asarray(u)[j[other]]
                 out.append(pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)}))
             yield pd.concat(out) if out else pd.DataFrame({"u": [], "v": []}, dtype="int64")
 
-    more = cut(rest.select("l.u", "l.c", "l.fp", "l.s1", "l.s2", "l.n").mapInPandas(tally, "u long, v long").distinct().join(hubs, ["u", "v"], "left_anti"), "more")
+    more = cut(rest.select("apart", "l.u", "l.c", "l.fp", "l.s1", "l.s2", "l.n").mapInPandas(tally, "u long, v long").distinct().join(hubs, ["u", "v"], "left_anti"), "more")
     if not more.isEmpty():
         label = cut(components(links.unionByName(verified(more))), "labels")
     told = kinds.join(label, F.col("u") == F.col("node"), "left").select("same", "also", "n", F.coalesce("component", "u").alias("component"))
