@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -64,16 +65,24 @@ class WordTokenizer:
         return cls._made[path]
 
     def _piece(self, piece: str) -> bytes:
-        written = piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = np.array([t.id for t in self.tokenizer.model.tokenize(written)], np.uint32).tobytes()
+        # printable ASCII is written as itself
+        written = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
         self.pieces[piece] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
-        if PLAIN.match(word):
-            ids = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECE.findall(word.lower())])
-        else:
+        core, last = word[:-1], word[-1]
+        if not PLAIN.match(word):
             ids = self._whole(word).tobytes()
+        elif word.isalpha():  # one piece, as most words are
+            p = word.lower()
+            ids = self.pieces.get(p) or self._piece(p)
+        elif core.isalpha() and not last.isalnum():  # letters and a mark behind them
+            p = core.lower()
+            ids = (self.pieces.get(p) or self._piece(p)) + (self.pieces.get(last) or self._piece(last))
+        else:
+            ids = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECE.findall(word.lower())])
         self.words[word] = ids
         return ids
 
