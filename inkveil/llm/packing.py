@@ -7,7 +7,7 @@ import re
 import zlib
 from array import array
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,10 +23,12 @@ LENGTH = 2048
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Texts with these go through the tokenizer whole: separators that only Python takes for white space, and a letter whose lower case depends on its neighbours.
 ODD = re.compile("[\x1c-\x1f\u03a3]")
-#: Words of letters that every Unicode version classes alike; other words go through the tokenizer as they are.
-PLAIN = re.compile(r"[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*\Z")
-#: Words whose ids a Python worker keeps; beyond it the memory is cleared, which changes no result.
-MEMORY = 200_000
+#: Texts, or words, of ASCII and letters that every Unicode version classes alike, without separators that only Python takes for white space.
+PLAIN = re.compile(r"[\x00-\x1b\x20-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*\Z")
+#: PIECE for such texts in lower case, quicker.
+PLAIN_PIECE = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\x09-\x0d a-z0-9\xdf-\xf6\xf8-\xff]+")
+#: Pieces whose ids a Python worker keeps before it begins anew (see Kept).
+MEMORY = 100_000
 #: Texts by which it is seen whether a tokenizer file splits as PIECE does; if not, whole texts go through it.
 PROBES = ("Hello, world's 2nd caf\u00e9: na\u00efve?!", "a\x00b\x01 \x7f\x0ec", "it's WE'LL '' x_y-z 12.5%", "\u00c9t\u00e9 \u00df\u00fc", " lead  and\ttrail\n")
 
@@ -38,8 +40,23 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+class Kept(dict):
+    """What `make` gives for each key. Beyond `most` keys a new table begins, which takes over what is asked for again from the last one; nothing older is kept."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        self.make, self.most, self.before = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        value = self.before.get(key) or self.make(key)
+        self[key] = value
+        return value
+
+
 class WordTokenizer:
-    """Ids of whole texts by a tokenizer file of lower-case words, each distinct word being encoded once per worker."""
+    """Ids of whole texts by a tokenizer file of lower-case words, a worker keeping the ids of pieces that it has met."""
 
     _made: dict[str, WordTokenizer] = {}
 
@@ -50,8 +67,8 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Kept(self._piece, MEMORY)
+        self.words = Kept(self._word, MEMORY // 4)  # of texts that aren't plain
         self.known = True
         self.known = all(self.encode(t).tolist() == self._whole(t).tolist() for t in PROBES)
 
@@ -67,33 +84,22 @@ class WordTokenizer:
     def _piece(self, piece: str) -> bytes:
         # printable ASCII is written as itself
         written = piece if piece.isascii() and piece.isprintable() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
-        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
-        self.pieces[piece] = ids
-        return ids
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(written)]).tobytes()
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, PLAIN_PIECE.findall(text.lower())))
 
     def _word(self, word: str) -> bytes:
-        core, last = word[:-1], word[-1]
-        if not PLAIN.match(word):
-            ids = self._whole(word).tobytes()
-        elif word.isalpha():  # one piece, as most words are
-            p = word.lower()
-            ids = self.pieces.get(p) or self._piece(p)
-        elif core.isalpha() and not last.isalnum():  # letters and a mark behind them
-            p = core.lower()
-            ids = (self.pieces.get(p) or self._piece(p)) + (self.pieces.get(last) or self._piece(last))
-        else:
-            ids = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECE.findall(word.lower())])
-        self.words[word] = ids
-        return ids
+        return self._plain(word) if PLAIN.match(word) else self._whole(word).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.known or ODD.search(text) or any(s in text for s in self.special):
+        if not self.known or any(s in text for s in self.special):
+            return self._whole(text)
+        if PLAIN.match(text):
+            return np.frombuffer(self._plain(text), np.uint32)
+        if ODD.search(text):
             return self._whole(text)
-        if len(self.words) > MEMORY:
-            self.words.clear()
-            self.pieces.clear()
-        known = self.words
-        return np.frombuffer(b"".join([known[w] if w in known else self._word(w) for w in text.split()]), np.uint32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, text.split())), np.uint32)
 
 
 def plan(counts: dict[int, int], size: int = LENGTH) -> list[tuple[list[tuple[int, int]], int]]:
