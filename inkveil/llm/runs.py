@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, probable
+from .common import cut, probable, tidy
 from .paragraphs import MIX, _mix, word_lists
 
 #: Words of a gram and grams of a window: a run of GRAM + WINDOW - 1 = 51 words holds a chosen gram.
@@ -76,10 +76,14 @@ def chosen(start: np.ndarray, end: np.ndarray, h: np.ndarray) -> tuple[np.ndarra
 def chains(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Chains of neighbouring stretches of a text: places of the first and last gram, and the hash of the stretches.
 
-    Chains meet at about one gram in CHAIN, chosen by its hash, so equal runs have equal chains but for those over their ends."""
+    Chains meet at about one gram in CHAIN, chosen by its hash, so equal runs have equal chains but for those over their ends. Of equal
+    neighbours, as in a phrase over and over, all but the first are one: each of them occurs before, and so does what they cover together."""
     cuts = np.nonzero(_mix(g.view(np.uint64)) % np.uint64(CHAIN) == 0)[0]
     h = np.array([xxhash.xxh64_intdigest(c[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())], np.uint64)
-    return cuts[:-1].astype(np.int32), cuts[1:].astype(np.int32), h.view(np.int64)
+    again = np.diff(h, prepend=~h[:1]) == 0
+    keep = ~(again & np.append(False, again[:-1]))
+    last = np.append(np.nonzero(keep)[0][1:], len(h))
+    return cuts[:-1][keep].astype(np.int32), cuts[last[: keep.sum()]].astype(np.int32), h[keep].view(np.int64)
 
 
 def around(h: np.ndarray, start: np.ndarray, end: np.ndarray, w: int, right: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +142,7 @@ def runs(texts: DataFrame, src: DataFrame) -> DataFrame:
             yield pd.DataFrame({"u": pdf["u"], "i": out})
 
     part = ["u", "doc_id", "w", "start", "stop", "g", "c"]
-    places = probable(texts.select("u", F.size("g").alias("n")), "u", by_text).join(by_text, "u").mapInPandas(left_over, "u long, i array<int>")
+    places = probable(texts.select("u", F.size("g").alias("n")), "u", by_text).join(by_text, "u").mapInPandas(tidy(left_over), "u long, i array<int>")
     whole = F.sequence(F.lit(0), F.size("g") - 1)
     some = texts.filter("size(g) > 0").select(*part)
     texts = probable(some, "u", by_text).join(cut(places, "places"), "u", "left").withColumn("i", F.coalesce("i", whole)).unionByName(probable(some, "u", by_text, absent=True).withColumn("i", whole))
@@ -183,7 +187,7 @@ def runs(texts: DataFrame, src: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["u", "doc_id", "w", "right", "mine", "pu", "pw", "words", "at", "start", "stop"])
 
     schema = "u long, doc_id long, w int, right boolean, mine boolean, pu long, pw int, words binary, at array<int>, start int, stop int"
-    near = cut(probable(src, "u", wanted).join(wanted, "u").mapInPandas(contexts, schema).dropDuplicates(["u", "w", "right", "mine"]), "contexts")
+    near = cut(probable(src, "u", wanted).join(wanted, "u").mapInPandas(tidy(contexts), schema).dropDuplicates(["u", "w", "right", "mine"]), "contexts")
     other = near.filter("not mine").select(F.col("u").alias("pu"), F.col("w").alias("pw"), "right", F.col("words").alias("theirs"))
     far = near.filter("mine").join(other, ["pu", "pw", "right"]).withColumn("n", F.pandas_udf(in_common, "int")("words", "theirs")).filter("n > 0")
     reached = far.select(

@@ -28,3 +28,17 @@ def test_planted_passages(spark):
     assert [(i, kept[i]) for i, _ in want] == want
     assert kept[901] == (prose(3, 30) + " " + prose(4, 30)).split()
     assert len(kept[904]) >= runs.GRAM
+
+
+def test_a_phrase_over_and_over_makes_few_chains():
+    def chains(raw):
+        (_, _, start, end, h), = paragraphs.word_lists([1], [raw])
+        chosen = runs.chosen(start, end, h)
+        return chosen[0], runs.chains(*chosen[3:])
+
+    for k in range(40):  # some phrases end chains at each of their grams, others never
+        phrase = " ".join(prose(300 + k, 7).split()[:7])
+        w, (a, b, h) = chains(prose(1, 90) + " " + " ".join([phrase] * 200) + " " + prose(2, 90))
+        assert len(a) < 30 and (a[1:] == b[:-1]).all() and (a < b).all() and len(set(h)) >= len(h) - 1
+    for text in ("", "a " * 60, prose(4, 50)):
+        assert [len(x) for x in chains(text)[1]] == [0, 0, 0]
