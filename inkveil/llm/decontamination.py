@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, tidy
 
 TERM = re.compile(r"\w+")
 #: Words of half a passage. A passage is two neighbouring halves, so any run of HALF words lies in one passage.
@@ -209,7 +209,7 @@ def index_shards(bench: DataFrame, id_col: str = "item_id", text_col: str = "tex
             yield pd.DataFrame(rows, columns=["item", "text", "part", "size", "terms"])
 
     items = bench.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).dropna().distinct()
-    probes = cut(items.mapInPandas(run, schema).withColumn("probe", F.xxhash64("item", "text", "part")), "probes")
+    probes = cut(items.mapInPandas(tidy(run), schema).withColumn("probe", F.xxhash64("item", "text", "part")), "probes")
     n, mean, postings = probes.agg(F.count("*"), F.avg("size"), F.sum(F.size("terms"))).first()
     if not n:
         return
@@ -246,7 +246,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text
                 rows = [(doc, item, *m) for doc, text in zip(pdf["id"], pdf["t"]) for item, m in index.matches(text, least, overlap).items()]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-        parts.append(src.mapInPandas(run, schema))
+        parts.append(src.mapInPandas(tidy(run), schema))
     if not parts:
         return spark.createDataFrame([], schema)
     return reduce(DataFrame.unionByName, parts)

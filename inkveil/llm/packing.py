@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import zlib
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, table, tidy
 
 LENGTH = 2048
 #: How the tokenizer file splits normalised text before it looks for merges; no token crosses these pieces or white space.
@@ -189,7 +190,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, siz
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = WordTokenizer.of(tokenizer_path)
+        tokenizer = WordTokenizer(tokenizer_path)  # goes with its task, else every worker of a job would keep one
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["id"], pdf["t"]):
@@ -199,8 +200,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, siz
                     rows.append((None if pd.isna(doc) else int(doc), k, s, len(x), zlib.crc32(x.astype("<u4").tobytes()), *([x.astype(np.int32)] if keep_ids else [])))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
             yield out.astype({"doc_id": "Int64"})
+        del tokenizer
+        gc.collect()  # it refers to itself
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInPandas(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInPandas(tidy(run), schema)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = LENGTH, keep_ids: bool = False, groups: int | None = None) -> DataFrame:
@@ -250,7 +253,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     numbered = got.withColumn("r", F.expr("row_number() OVER (PARTITION BY length, g ORDER BY doc_id, piece, ids_crc32) - 1"))
     numbered = numbered.join(before, ["length", "g"]).withColumn("number", F.col("r") + F.col("before")).drop("r", "before", "g")
-    return numbered.select(*(f.name for f in schema.fields[:-2]), "number").mapInPandas(place, schema)
+    return numbered.select(*(f.name for f in schema.fields[:-2]), "number").mapInPandas(tidy(place), schema)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, cut, free, probable, table
+from .common import block_pairs, components, cut, free, probable, table, tidy
 
 SHINGLE = 5
 #: Shorter paragraphs are no passages.
@@ -198,7 +198,7 @@ def verified(members: DataFrame, sets: DataFrame, threshold: float, block: int =
                         out.append((own[i]["u"], own[j]["u"]))
             yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    more = cut(pairs.mapInPandas(compare, "u long, v long").distinct(), "more")
+    more = cut(pairs.mapInPandas(tidy(compare), "u long, v long").distinct(), "more")
     return label if more.isEmpty() else cut(components(links.unionByName(more)), "labels")
 
 
@@ -227,7 +227,7 @@ def prints(src: DataFrame, bands: int, min_words: int) -> DataFrame:
             yield pd.DataFrame(rows, columns=["u", "doc_id", "n_words", "n_bytes", "kind", "also", *arrays])
 
     schema = "u long, doc_id long, n_words int, n_bytes int, kind long, also long" + "".join(f", {k} array<{v}>" for k, v in arrays.items())
-    return cut(src.mapInPandas(look, schema), "prints")
+    return cut(src.mapInPandas(tidy(look), schema), "prints")
 
 
 def _paragraphs(texts: DataFrame, src: DataFrame, bands: int, threshold: float, min_run: int) -> DataFrame:
@@ -253,7 +253,7 @@ def _paragraphs(texts: DataFrame, src: DataFrame, bands: int, threshold: float,
                     rows.append((x["node"], shingle_set(h[a:b]).tobytes()))
             yield pd.DataFrame(rows, columns=["u", "s"])
 
-    sets = cut(probable(src, "u", asked).join(asked, "u").mapInPandas(carry, "u long, s binary").dropDuplicates(["u"]), "sets")
+    sets = cut(probable(src, "u", asked).join(asked, "u").mapInPandas(tidy(carry), "u long, s binary").dropDuplicates(["u"]), "sets")
     label = verified(members.select("h", F.col("node").alias("u"), "hub", "size"), sets, threshold)
     told = units.groupBy("k", "also").agg(F.count("*").alias("n")).join(label, F.col("k") == F.col("node"), "left").filter("n > 1 or node is not null").select("k", "also", F.coalesce("component", "k").alias("component"))
     told = cut(told, "told")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import block_pairs, components, cut, probable, table
+from .common import block_pairs, components, cut, probable, table, tidy
 
 BYTES = 8
 #: Fingerprints of a posting list that are compared in one piece.
@@ -154,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             fp = np.array([fingerprint(t, k) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["id", "fp"])
 
-    fps = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(prints, "id long, fp long"), "fingerprints")
+    fps = cut(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(tidy(prints), "id long, fp long"), "fingerprints")
     reps = cut(fps.groupBy("fp").agg(F.min("id").alias("u")), "reps")
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def linked(posts: DataFrame) -> DataFrame:
         lists = posts.groupBy("h").agg(F.collect_list(F.struct("fp", "u")).alias("l")).filter(F.size("l") > 1)
-        return lists.select("l.fp", "l.u").mapInPandas(join, "u long, v long").distinct()
+        return lists.select("l.fp", "l.u").mapInPandas(tidy(join), "u long, v long").distinct()
 
     short = covering(BYTES - bits, 4)
     posts = post(reps.select(F.col("fp").alias("u"), "fp"), short).repartition("h")
@@ -222,12 +222,12 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", threshold
     def verified(pairs: DataFrame) -> DataFrame:
         """Of candidates (u, v) those with the similarity."""
         wanted = cut(pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct(), "wanted")
-        sets = cut(probable(src.withColumnRenamed("row", "u"), "u", wanted).join(wanted, "u").mapInPandas(carry, "u long, s binary"), "sets")
+        sets = cut(probable(src.withColumnRenamed("row", "u"), "u", wanted).join(wanted, "u").mapInPandas(tidy(carry), "u long, s binary"), "sets")
         both = pairs.join(sets.withColumnRenamed("s", "a"), "u").join(sets.select(F.col("u").alias("v"), F.col("s").alias("b")), "v")
         sizes = F.least(F.length("a"), F.length("b")) >= F.lit(threshold) * F.greatest(F.length("a"), F.length("b")) - 1e-9
         return cut(both.filter(sizes).filter(close("a", "b")).select("u", "v"), "verified")
 
-    units = cut(src.mapInPandas(sign, "row long, same long, also long, n int, fp long, s1 long, s2 long"), "signatures")
+    units = cut(src.mapInPandas(tidy(sign), "row long, same long, also long, n int, fp long, s1 long, s2 long"), "signatures")
     own = ["u", "fp", "s1", "s2", "n"]
     kinds = cut(units.groupBy("same", "also", "n").agg(F.min("row").alias("u"), *(F.min(c).alias(c) for c in own[1:4])), "kinds")
     posts = post(kinds.filter("n > 0").select(*own), covering(shared, shared)).repartition("h")
@@ -258,7 +258,7 @@ def near_copies(docs: DataFrame, row_col: str, text_col: str = "text", threshold
                 out.append(pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)}))
             yield pd.concat(out) if out else pd.DataFrame({"u": [], "v": []}, dtype="int64")
 
-    more = cut(rest.select("apart", "l.u", "l.c", "l.fp", "l.s1", "l.s2", "l.n").mapInPandas(tally, "u long, v long").distinct().join(hubs, ["u", "v"], "left_anti"), "more")
+    more = cut(rest.select("apart", "l.u", "l.c", "l.fp", "l.s1", "l.s2", "l.n").mapInPandas(tidy(tally), "u long, v long").distinct().join(hubs, ["u", "v"], "left_anti"), "more")
     if not more.isEmpty():
         label = cut(components(links.unionByName(verified(more))), "labels")
     told = kinds.join(label, F.col("u") == F.col("node"), "left").select("same", "also", "n", F.coalesce("component", "u").alias("component"))
